@@ -162,7 +162,7 @@ class Index:
 def _count_batches(index):
     def run(batches):
         total: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in shared.slices(whole, "text")):
             total.update(index.value.shingle_counts(Words.of_column(batch.column(0))))
         if total:
             yield pa.RecordBatch.from_pydict({"s": pa.array([k[0] for k in total], pa.int32()), "shingle": pa.array(np.array([k[1] for k in total], np.uint64).view(np.int64)), "n": pa.array(list(total.values()), pa.int64())})
@@ -176,7 +176,7 @@ _SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 def _scan_batches(index):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in shared.slices(whole, "text")):
             w, own = Words.of_column(batch.column("text")), index.value
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[set] = [set() for _ in range(batch.num_rows)]
@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 def _clean_batches(index):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in shared.slices(whole, "text")):
             w = Words.of_column(batch.column(1))
             clean = np.ones(batch.num_rows, bool)
             clean[[int(w.text[at]) for at, _ in index.value.occurrences(w)]] = False

@@ -87,6 +87,19 @@ def ship(spark: SparkSession) -> None:
     sc._corpusmill_shipped = True
 
 
+def slices(batch, column: str, most: int = 1 << 20):
+    """The Arrow batch in runs of whole rows with about ``most`` bytes of text, so that work arrays stay small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    runs = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def columns_only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns; any other, whatever its name, is left behind before work begins."""
     return df.select(*[F.col(f"`{n}`") for n in names])
