@@ -85,12 +85,14 @@ def links(prints: DataFrame) -> DataFrame:
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = prints.select("fp").repartition(max(parts, n // PER_TASK), "fp")
     meet = max(parts, n * (len(TWO) + 2 * len(ONE)) // 2 // PER_MEETING)
-    key = (F.col("fp").bitwiseXOR(F.col("mask"))).alias("key")
-    near = source.select("fp", F.explode(_masks(ONE)).alias("mask")).select("fp", key).repartition(meet, "key")
-    hubs = near.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("members"))
-    far = source.filter(F.bit_count("fp") % 2 == 0).select("fp", F.explode(_masks([0, *TWO])).alias("mask")).select("fp", key).repartition(meet, "key")
-    across = far.join(hubs.select("key", "hub").hint("shuffle_hash"), "key").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    along = near.join(hubs.filter("members > 1").select("key", "hub"), "key").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    # a row is the variant and the number of its mask, not the fingerprint itself: two bytes to tell, however many partitions part a ball
+    emit = lambda df, masks: df.select("fp", F.posexplode(_masks(masks)).alias("code", "mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), F.col("code").cast("smallint").alias("code")).repartition(meet, "key")
+    origin = lambda masks: F.col("key").bitwiseXOR(F.element_at(_masks(masks), F.col("code") + 1))
+    near = emit(source, ONE)
+    hubs = near.groupBy("key").agg(F.min(origin(ONE)).alias("hub"), F.count(F.lit(1)).alias("members"))
+    far = emit(source.filter(F.bit_count("fp") % 2 == 0), [0, *TWO])
+    across = far.join(hubs.select("key", "hub").hint("shuffle_hash"), "key").select(origin([0, *TWO]).alias("a"), F.col("hub").alias("b"))
+    along = near.join(hubs.filter("members > 1").select("key", "hub"), "key").select(origin(ONE).alias("a"), F.col("hub").alias("b"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return across.unionByName(along).filter((apart > 0) & (apart <= 3)).distinct()
 
