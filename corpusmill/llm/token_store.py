@@ -19,7 +19,7 @@ from . import shared
 
 END_ID = 2
 #: Distinct words whose ids a worker holds before it starts over.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 # ---------------------------------------------------------------- encoding
 
@@ -147,7 +147,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
+    if path not in _ENCODERS:  # a reused worker keeps it for its next task
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -274,9 +274,10 @@ def _write_batches(folder: str, tokenizer: str, end_id: int, width: int):
         out, docs, sizes = None, [], []
         for batch in batches:
             out = out or store.open_output_stream(shadow + ".ids")
-            for ids in own.column(batch.column("text")):
-                out.write(ids.astype(f"<u{width}").tobytes() + end_id.to_bytes(width, "little"))
-                sizes.append(len(ids) + 1)
+            for part in shared.slices(batch, "text"):
+                for ids in own.column(part.column("text")):
+                    out.write(ids.astype(f"<u{width}").tobytes() + end_id.to_bytes(width, "little"))
+                    sizes.append(len(ids) + 1)
             docs += batch.column("doc_id").to_pylist()
         if out is None:
             return
