@@ -1,10 +1,251 @@
-"""The registered queries of the engine's own operators, and the SQL that gives the same rows."""
+"""The registered queries of the engine's own operators, and the SQL that gives the same rows.
+
+The test tables hold no source code, so they stand in for it: documents are files, orders and line items are commits
+that touch parts, suppliers refer to parts, labels are verdicts, events are requests.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import churn, findings, graph, hotspots, scan, search
+from ..sources import snapshots
+from ..streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("doc_id").alias("ord"))
+
+
+def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit's date and author on each path it touches: orders and their line items."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").cast("string").alias("author"), F.to_date("o_orderdate").alias("date"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path"), F.col("l_quantity").cast("bigint").alias("added"))
+    return li.join(o, "sha")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+
+
+_FILES = "files AS (SELECT source || '/' || doc_id AS file_path, text AS content, lang AS language, doc_id FROM documents WHERE text IS NOT NULL)"
+_LINES = f"{_FILES}, lines AS (SELECT file_path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files)"
+_NOT_COMMENT = r"NOT regexp_matches(ltrim(t), '^(#|//|\*|/\*|\"\"\"|''''''|--)')"
+_SIGNAL = r"NOT regexp_matches(t, '(?i)\b(example|sample|placeholder|example\.com|xxx+|your[_-]?\w+|todo|fixme|mock|dummy|redacted|changeme)\b')"
+_SECRET = r"""'(?i)\b[\w.]*(?:api[_-]?key|secret|token|password|passwd|passphrase|credential|private[_-]?key)\w*\s*[:=]\s*["''][^"''\n]{12,}["'']'"""
+_VALUE = r"""'(?i)\b([A-Za-z0-9_]*(?:key|secret|token|password|passwd|credential|auth)[A-Za-z0-9_]*)\s*[:=]\s*["'']([^"''\n]{24,})["'']'"""
+_FOUND = f"""{_LINES},
+    pattern AS (SELECT file_path, 'hardcoded_secret' AS rule, 'CRITICAL' AS severity, line, t, CAST(NULL AS DOUBLE) AS entropy FROM lines
+        WHERE regexp_matches(t, {_SECRET}) AND {_NOT_COMMENT} AND {_SIGNAL} QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line) <= 5),
+    vals AS (SELECT file_path, line, t, unnest(regexp_extract_all(t, {_VALUE}, 2)) AS v FROM lines WHERE length(t) <= 1000 AND {_NOT_COMMENT} AND {_SIGNAL}),
+    scored AS (SELECT *, abs(-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v))))) AS h FROM vals
+        WHERE NOT regexp_matches(v, '^(?:https?://|[./\\\\]|[\\w./-]*\\{{|%s|\\$\\{{)')),
+    random AS (SELECT file_path, 'high_entropy_value' AS rule, 'HIGH' AS severity, line, t, h AS entropy FROM scored
+        WHERE NOT regexp_matches(v, '\\s') AND (h >= 4.2 OR (length(v) >= 32 AND h >= 3.5 AND (regexp_matches(v, '^[0-9a-fA-F]+$') OR len(list_distinct(string_split(v, ''))) >= 12)))),
+    found AS (SELECT * FROM pattern UNION ALL SELECT * FROM random)"""
+
+
+@query(f"WITH {_FOUND} SELECT severity, count(*) AS total, 0 AS dismissed, count(DISTINCT file_path) AS files_affected FROM found GROUP BY severity")
+def findings_by_severity(spark, sf_dir):
+    return findings.summary(scan.findings(files(spark, sf_dir)))
+
+
+@query(f"WITH {_FOUND} SELECT rule || ':' || file_path || ':' || line AS id, rule, severity, line, substr(trim(t), 1, 200) AS snippet, round(entropy, 6) AS entropy FROM found")
+def located_findings(spark, sf_dir):
+    return scan.findings(files(spark, sf_dir)).select("id", "rule", "severity", "line", "snippet", F.round("entropy", 6).alias("entropy"))
+
+
+_TRIAGED = f"{_FOUND}, judged AS (SELECT f.*, CASE WHEN l.toxic = 0 THEN 'dismissed' WHEN l.toxic = 1 THEN 'confirmed' ELSE 'unreviewed' END AS triage FROM found f LEFT JOIN labels l ON split_part(f.file_path, '/', 2) = CAST(l.doc_id AS VARCHAR))"
+
+
+@query(f"WITH {_TRIAGED} SELECT triage, count(*) AS n, count_if(triage <> 'dismissed') AS live FROM judged GROUP BY triage")
+def triage_join(spark, sf_dir):
+    found = scan.findings(files(spark, sf_dir)).withColumn("batch_id", F.lit(0)).withColumn("recommendation", F.lit("")).withColumn("triage", F.lit(None).cast("string")).withColumn("key", F.split_part("file_path", F.lit("/"), F.lit(2)))
+    said = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"), F.when(F.col("toxic") == 0, "dismiss").otherwise("confirm").alias("verdict"))
+    verdicts = found.join(said, "key").select("batch_id", "id", "verdict", F.lit("").alias("severity"), F.lit("").alias("explanation"), F.lit("").alias("recommendation"), F.lit(0).alias("seq"))
+    judged = findings.apply_verdicts(found.drop("key"), verdicts)
+    return judged.groupBy("triage").agg(F.count(F.lit(1)).alias("n"), F.count_if(findings.survived()).alias("live"))
+
+
+@query("SELECT l_partkey AS path, count(*) AS commits, count(DISTINCT o_custkey) AS authors, strftime(max(o_orderdate), '%Y-%m-%d') AS last_commit FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey")
+def churn_by_file(spark, sf_dir):
+    return churn.churn(touched(spark, sf_dir), ["path"]).withColumn("last_commit", F.date_format("last_commit", "yyyy-MM-dd"))
+
+
+@query("""WITH t AS (SELECT l_partkey AS path, count(*) AS commits FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+    n AS (SELECT l_partkey AS path, sum(CAST(l_quantity AS BIGINT)) AS added, sum(l_linenumber) AS removed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT path, commits, CAST(coalesce(added, 0) AS BIGINT) AS added, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(added, 0) + coalesce(removed, 0) AS BIGINT) AS total_changes FROM t LEFT JOIN n USING (path)""")
+def line_churn_by_file(spark, sf_dir):
+    numstat = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("path"), F.col("l_quantity").cast("bigint").alias("added"), F.col("l_linenumber").cast("bigint").alias("removed"))
+    return churn.line_churn(churn.churn(touched(spark, sf_dir), ["path"]).select("path", "commits"), numstat, ["path"])
+
+
+@query("SELECT o_custkey AS author, o_orderkey AS sha FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 3")
+def recent_commits(spark, sf_dir):
+    commits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderkey").alias("sha"), F.col("o_orderkey").alias("ord"), F.col("o_orderdate").alias("date"))
+    return churn.recent(commits, ["author"], 3).select("author", "sha")
+
+
+_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem)"
+_DEGREES = f"{_EDGES}, deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT source, 0, 1 FROM edges) GROUP BY node)"
+
+
+@query(f"WITH {_DEGREES} SELECT * FROM deg")
+def graph_degrees(spark, sf_dir):
+    return graph.degrees(edges(spark, sf_dir))
+
+
+@query(f"WITH {_DEGREES} SELECT node, fan_in, fan_out, fan_in + fan_out AS degree FROM deg ORDER BY degree DESC, fan_in DESC, node LIMIT 1")
+def graph_hub(spark, sf_dir):
+    return graph.hub(edges(spark, sf_dir))
+
+
+@query(f"WITH {_DEGREES} SELECT node, fan_in, fan_out, round(1 + 7 * fan_in / (SELECT greatest(1, max(fan_in)) FROM deg), 6) AS val, fan_in + fan_out > 0 AS linked FROM deg")
+def graph_node_values(spark, sf_dir):
+    return graph.node_values(graph.degrees(edges(spark, sf_dir))).withColumn("val", F.round("val", 6))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+    walk(node, hop) AS (SELECT 's1', 0 UNION SELECT b, hop + 1 FROM walk JOIN ways ON node = a WHERE hop < 2)
+    SELECT 's1' AS start, node, min(hop) AS hop FROM walk GROUP BY node HAVING min(hop) > 0""")
+def graph_neighbourhood(spark, sf_dir):
+    return graph.neighbourhood(edges(spark, sf_dir), spark.createDataFrame([("s1",)], "start string"), 2)
+
+
+@query(f"WITH {_EDGES} SELECT target AS node, string_agg(source, ',' ORDER BY source) AS dependents FROM edges GROUP BY target")
+def graph_dependents(spark, sf_dir):
+    return graph.dependents(edges(spark, sf_dir)).filter(F.size("dependents") > 0).select("node", F.array_join("dependents", ",").alias("dependents"))
+
+
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM part) AS file_count, (SELECT count(*) FROM edges) AS link_count, (SELECT count(DISTINCT p_type) FROM part) AS external_import_count")
+def graph_metrics(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return graph.metrics(edges(spark, sf_dir), part.select(F.concat(F.lit("p"), "p_partkey").alias("node")), part.select(F.lit("x").alias("source"), F.col("p_type").alias("specifier")))
+
+
+@query("WITH f AS (SELECT doc_id, source FROM documents) SELECT DISTINCT a.source || '/' || a.doc_id || '.py' AS source, b.source || '/' || b.doc_id || '.py' AS target FROM f a JOIN f b ON a.source = b.source AND b.doc_id = a.doc_id + 20")
+def import_resolution(spark, sf_dir):
+    """Each document as a module that imports the one 20 ids on from its own folder, and a stranger."""
+    f = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("file_path"), F.array(F.concat(F.lit("./"), (F.col("doc_id") + 20).cast("string")), F.lit("node:fs")).alias("imports"))
+    return graph.resolve(f)[0]
+
+
+_HOT = f"""{_DEGREES}, ch AS (SELECT l_partkey AS path, count(*) AS commits, sum(CAST(l_quantity AS BIGINT)) AS total_changes, count_if(l_returnflag = 'R') AS finding_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+    j AS (SELECT p_partkey AS file_path, p_size AS complexity, CAST(floor(p_retailprice) AS BIGINT) AS loc, coalesce(fan_in, 0) AS fan_in, coalesce(commits, 0) AS commits, coalesce(total_changes, 0) AS total_changes, coalesce(finding_count, 0) AS finding_count
+        FROM part LEFT JOIN deg ON node = 'p' || p_partkey LEFT JOIN ch ON path = p_partkey),
+    k AS (SELECT *, max(complexity) OVER () AS a, max(commits + total_changes / 20.0) OVER () AS b, max(fan_in) OVER () AS c, max(loc) OVER () AS d, max(finding_count) OVER () AS e FROM j),
+    s AS (SELECT *, 0.28 * complexity / a + 0.24 * (commits + total_changes / 20.0) / b + 0.2 * fan_in / c + 0.1 * loc / d + 0.18 * coalesce(finding_count / nullif(e, 0), 0) AS raw FROM k)"""
+
+
+@query(f"WITH {_HOT} SELECT file_path, round(CASE WHEN finding_count > 0 THEN greatest(raw, 0.18) ELSE raw END, 6) AS score, commits, finding_count, fan_in FROM s WHERE CASE WHEN finding_count > 0 THEN greatest(raw, 0.18) ELSE raw END >= 0.18 ORDER BY round(raw, 9) DESC, file_path LIMIT 8")
+def hotspot_ranking(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_path"), F.col("p_size").alias("complexity"), F.floor("p_retailprice").alias("loc"))
+    deg = graph.degrees(edges(spark, sf_dir)).filter("node like 'p%'").select(F.substring("node", 2, 20).cast("bigint").alias("file_path"), "fan_in", "fan_out")
+    t = touched(spark, sf_dir)
+    ch = t.groupBy(F.col("path").alias("file_path")).agg(F.count(F.lit(1)).alias("commits"), F.sum("added").alias("total_changes"))
+    found = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("file_path"))
+    ranked = hotspots.rank(hotspots.score(hotspots.enrich(parts, deg, ch, found, ["file_path"]), []), [])
+    return ranked.select("file_path", F.round("score", 6).alias("score"), "commits", "finding_count", "fan_in")
+
+
+@query("SELECT lang AS language, count(*) AS files, min(doc_id) AS first FROM documents GROUP BY lang")
+def language_counts(spark, sf_dir):
+    return search.languages(files(spark, sf_dir))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END AS BIGINT) AS loc FROM documents")
+def line_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.loc(F.col("text")).cast("bigint").alias("loc"))
+
+
+@query("SELECT p_partkey, round(abs(-list_sum(list_transform(list_distinct(string_split(p_name, '')), lambda c: (len(list_filter(string_split(p_name, ''), lambda x: x = c)) / length(p_name)) * log2(len(list_filter(string_split(p_name, ''), lambda x: x = c)) / length(p_name))))), 6) AS entropy FROM part")
+def value_entropy(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(X.entropy(F.col("p_name")), 6).alias("entropy"))
+
+
+@query(f"WITH {_LINES} SELECT file_path, line, substr(trim(t), 1, 200) AS text FROM lines WHERE regexp_matches(t, '(?i)licensed? under') AND file_path IN (SELECT file_path FROM files WHERE length(content) <= 8000) ORDER BY file_path, line LIMIT 25")
+def code_search(spark, sf_dir):
+    return search.search_code(files(spark, sf_dir).filter(F.length("content") <= 8000), "licensed? under")
+
+
+@query("""WITH t AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '')) AS u FROM pages), s AS (SELECT page_id, list_filter(regexp_split_to_array(u, '[/\\\\._-]+'), lambda x: x <> '') AS parts FROM t)
+    SELECT page_id, CAST(CASE WHEN list_contains(parts, 'example') THEN 5 WHEN len(list_filter(parts, lambda x: length(x) >= 4 AND (x LIKE 'example%' OR starts_with('example', x)))) > 0 THEN 3 ELSE 0 END
+        + CASE WHEN list_contains(parts, 'me') THEN 5 ELSE 0 END AS INTEGER) AS relevance FROM s""")
+def path_relevance(spark, sf_dir):
+    """Relevance of page addresses to the one term that a query leaves."""
+    return table(spark, sf_dir, "pages").select("page_id", X.relevance(F.regexp_replace("url", "^https?://", ""), X.query_terms(F.lit("show me the example"))).cast("int").alias("relevance"))
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT url LIKE 'https://%' THEN 'scheme' WHEN split_part(split_part(url, '//', 2), '/', 1) NOT IN ('github.com', 'www.github.com') THEN 'host' ELSE 'other' END AS reason FROM pages) GROUP BY reason""")
+def url_admission(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(X.admit_url(F.col("url")).alias("a")).groupBy(F.when(F.col("a.reason").isin("scheme", "host"), F.col("a.reason")).otherwise("other").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")
+def joined_answers(spark, sf_dir):
+    pieces = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"))
+    return search.joined_deltas(pieces).select("stream_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT source || '/' || doc_id AS file_path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unknown_files(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"))
+    return search.unknown_paths(files(spark, sf_dir).select("file_path"), known)
+
+
+@query("SELECT repo_id FROM (SELECT CAST(o_orderkey AS VARCHAR) AS repo_id, o_orderdate AS modified, row_number() OVER (ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS rn, count(*) OVER () AS n FROM orders) WHERE modified <= TIMESTAMP '1996-01-01' OR rn <= n - 40")
+def snapshot_expiry(spark, sf_dir):
+    meta = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("repo_id"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    return snapshots.expired(meta, datetime.datetime(1996, 1, 2), 24, 40).select("repo_id")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY CASE WHEN quality = 0 THEN 0 ELSE 9 END, doc_id) - 1 AS BIGINT) // 12 AS batch_id FROM labels")
+def review_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "CRITICAL").otherwise("NONE").alias("severity"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file_path"), F.lit(1).alias("line"), F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("repo"))
+    return findings.batches(findings.with_place(rows, ["repo"]), 12).select("doc_id", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("""WITH n AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r FROM documents)
+    SELECT source, count_if(r <= 5) AS within_budget, count_if(r > 5) AS not_checked FROM n GROUP BY source""")
+def budgeted_groups(spark, sf_dir):
+    rows = findings.budgeted(table(spark, sf_dir, "documents"), [F.desc(F.length("text")), F.col("doc_id")], 5, ["source"])
+    return rows.groupBy("source").agg(F.count_if("within").alias("within_budget"), F.count_if(~F.col("within")).alias("not_checked"))
+
+
+@query()
+def admitted_requests(spark, sf_dir):
+    """Token buckets of 2 a day over each user's events; sequential, so tests hold it against a plain loop."""
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
+    return limits.limit(requests, 2, 86_400)
+
+
+@query("""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') AS path FROM pages""")
+def normalised_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.normalise_path(F.concat(F.lit("./"), F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), "[?#].*$", ""))).alias("path"))
+
+
+@query("SELECT substr(sha256('https://github.com/' || lower(p_brand) || '/' || p_partkey), 1, 12) AS repo_id, p_partkey FROM part")
+def repository_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(X.repo_id(F.concat(F.lit("https://github.com/"), F.lower("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"))).alias("repo_id"), "p_partkey")

@@ -52,11 +52,16 @@ def oracle(sql: str, sf_dir: str):
 def same(df, other) -> None:
     """Equal rows in any order, columns by name."""
 
+    def text(v) -> str:
+        if v is None or v != v:
+            return ""
+        try:
+            return f"{float(v):.6f}"
+        except (TypeError, ValueError):
+            return str(v)
+
     def rows(pdf):
         cols = sorted(pdf.columns)
-        return sorted(tuple("" if v is None or v != v else (round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)) for v in r) for r in pdf[cols].astype(object).itertuples(index=False, name=None)), cols
+        return cols, sorted(tuple(map(text, r)) for r in pdf[cols].astype(object).itertuples(index=False, name=None))
 
-    a, b = rows(df.toPandas() if hasattr(df, "toPandas") else df), rows(other)
-    assert a[1] == b[1]
-    norm = lambda x: [tuple(str(float(v)) if not isinstance(v, str) or v.replace(".", "", 1).replace("-", "", 1).isdigit() else v for v in r) for r in x]
-    assert sorted(norm(a[0])) == sorted(norm(b[0]))
+    assert rows(df.toPandas() if hasattr(df, "toPandas") else df) == rows(other)
