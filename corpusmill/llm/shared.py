@@ -122,11 +122,12 @@ def ranked(df: DataFrame, keys: list[str], h: str, ties: list[str], out: str = "
     So a group with a third of all rows is ranked by many tasks.
     """
     n, bits, chunk, first = "_n", "_bits", "_chunk", "_first"
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).select(*keys, F.greatest(F.lit(0), F.ceil(F.log2(F.col(n) / rows_per_chunk))).cast("int").alias(bits))
-    cutup = df.join(sizes, keys).withColumn(chunk, F.when(F.col(bits) > 0, F.expr(f"shiftright({h}, 60 - {bits})")).otherwise(F.lit(0).cast("bigint")))
-    many = sizes.filter(F.col(bits) > 0)
-    counts = cutup.join(many.select(*keys), keys, "left_semi").groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias(n))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > rows_per_chunk)
+    # a group here has over rows_per_chunk rows, so this side has at most 1 / rows_per_chunk of the rows of df
+    many = F.broadcast(cut(sizes.select(*keys, F.ceil(F.log2(F.col(n) / rows_per_chunk)).cast("int").alias(bits))))
+    cutup = df.join(many, keys, "left").withColumn(chunk, F.when(F.col(bits).isNull(), F.lit(0).cast("bigint")).otherwise(F.expr(f"shiftright({h}, 60 - {bits})"))).drop(bits)
+    counts = df.join(many, keys).withColumn(chunk, F.expr(f"shiftright({h}, 60 - {bits})")).groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, chunk, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    starts = F.broadcast(counts.select(*keys, chunk, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first)))
     place = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(h, *ties)) - 1
-    return cutup.join(starts, [*keys, chunk], "left").withColumn(out, (place + F.coalesce(F.col(first), F.lit(0))).cast("bigint")).drop(chunk, bits, first)
+    return cutup.withColumn(out, place).join(starts, [*keys, chunk], "left").withColumn(out, (F.col(out) + F.coalesce(F.col(first), F.lit(0))).cast("bigint")).drop(chunk, first)
