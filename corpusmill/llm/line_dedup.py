@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: Keys (16 bytes each) up to which a counted table of lines is broadcast.
+BROADCAST_ROWS = 500_000
 #: Lines are cut at LF; white space at either end does not tell lines apart.
 EDGES = " \t\r\x0b\x0c"
 
@@ -20,6 +22,11 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit("second"), line).alias("k2")]
 
 
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose (k1, k2) is in ``keys``: by a broadcast where the keys, counted first, are few, else by a shuffled semi-join."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, ["k1", "k2"], "left_semi")
+
+
 def spread(docs: DataFrame, min_sites: int, lg_k: int = 10, band: float = 0.25) -> DataFrame:
     """(k1, k2, sites) of the lines on at least ``min_sites`` distinct sites; blank lines and null sites don't count.
 
@@ -35,7 +42,7 @@ def spread(docs: DataFrame, min_sites: int, lg_k: int = 10, band: float = 0.25)
     wide = shared.cut(sketched.filter(F.col("estimate") >= max(low, 1 if min_sites <= 1 else 2)))
     sure = wide.filter(F.col("estimate") > high).select("k1", "k2")
     near = wide.filter(F.col("estimate") <= high).select("k1", "k2")
-    exact = pairs.join(near, ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
+    exact = _among(pairs, near).distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
     return sure.union(exact.select("k1", "k2"))
 
 
@@ -50,7 +57,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     known = shared.cut(spread(docs, min_sites))
     base = shared.columns_only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
     placed = base.select("doc_id", "th", F.posexplode(_lines(F.col("text"))).alias("place", "line")).select("doc_id", "th", "place", *_keys(F.btrim("line", F.lit(EDGES))))
-    hits = placed.join(known, ["k1", "k2"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("th", "hit_th")
+    hits = _among(placed, known).groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("th", "hit_th")
     joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
     lines = _lines(F.col("text"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
