@@ -37,7 +37,7 @@ def record_id(*parts: str) -> str:
 
 
 def _one_line(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
 
 def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -62,19 +62,25 @@ def response(url: str, page: str, date: str = CRAWLED, key: str = "") -> bytes:
     """An HTTP response record of a page."""
     body = page.encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + CRLF + CRLF + body
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, date, digest(body))), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")]
+    payload = digest(body)
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, date, payload)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")]
     return build(headers, block)
 
 
-def plain_text(page: str) -> str:
+def visible(page: str) -> str:
+    """Without comments and what scripts and styles hold; their opening tags stay, for their links."""
+    return _DROP.sub(lambda m: " " if m[1] is None else m[0][: m[0].index(">") + 1] if ">" in m[0] else " ", page)
+
+
+def plain_text(page: str, seen: str | None = None) -> str:
     """What a reader sees: scripts, styles and comments go, blocks become lines, character references are resolved."""
-    text = html.unescape(_TAG.sub(" ", _BREAK.sub("\n", _DROP.sub(" ", page))))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+    text = _TAG.sub(" ", _BREAK.sub("\n", visible(page) if seen is None else seen))
+    text = html.unescape(text) if "&" in text else text
+    return "\n".join([x for x in [" ".join(x.split()) for x in text.split("\n")] if x])
 
 
-def outlinks(page: str) -> list[str]:
-    return [f"{m[1].lower()}@/{m[2].lower()} {html.unescape(m[3] or m[4] or m[5] or '').strip()}" for m in _LINK.finditer(_DROP.sub(lambda m: m[0].split(">", 1)[0] + ">", page))]
+def outlinks(page: str, seen: str | None = None) -> list[str]:
+    return [f"{m[1].lower()}@/{m[2].lower()} {html.unescape(m[3] or m[4] or m[5] or '').strip()}" for m in _LINK.finditer(visible(page) if seen is None else seen)]
 
 
 def derive(record: bytes) -> dict:
@@ -82,20 +88,23 @@ def derive(record: bytes) -> dict:
     headers, block = parse(record)
     named = {k.lower(): v for k, v in headers}
     head, _, body = block.partition(CRLF + CRLF)
-    if named.get("warc-payload-digest", digest(body)) != digest(body):
+    payload_digest = digest(body)
+    if named.get("warc-payload-digest", payload_digest) != payload_digest:
         raise ValueError(f"payload digest of {named.get('warc-record-id')}")
     page = body.decode("utf-8", "replace")
     source, url, date = named["warc-record-id"], named.get("warc-target-uri", ""), named.get("warc-date", CRAWLED)
-    text, links, title = plain_text(page), outlinks(page), _TITLE.search(page)
+    seen = visible(page)
+    text, links, title = plain_text(page, seen), outlinks(page, seen), _TITLE.search(page)
     kept = [("WARC-Refers-To", source), ("WARC-Target-URI", url), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Date", date)]
     conversion_id, metadata_id = record_id("conversion", source), record_id("metadata", source)
     body_text = text.encode()
-    conversion = build([("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), *kept, ("WARC-Source-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(body_text)), ("Content-Type", "text/plain; charset=utf-8")], body_text)
+    text_digest = digest(body_text)
+    conversion = build([("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), *kept, ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", text_digest), ("Content-Type", "text/plain; charset=utf-8")], body_text)
     http = [x.decode("latin-1") for x in head.split(CRLF)]
     fields = [("conversion", conversion_id), ("title", html.unescape(_TAG.sub("", title[1])).strip() if title else ""), ("http-status", http[0]), *[("http-header", x) for x in http[1:]], ("text-bytes", str(len(body_text))), *[("outlink", x) for x in links]]
     about = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields).encode()
-    metadata = build([("WARC-Type", "metadata"), ("WARC-Record-ID", metadata_id), *kept, ("WARC-Concurrent-To", conversion_id), ("WARC-Source-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(about)), ("Content-Type", "application/warc-fields")], about)
-    return {"response_id": source, "metadata_id": metadata_id, "conversion_id": conversion_id, "url": url, "payload_digest": digest(body), "text_digest": digest(body_text), "n_links": len(links), "text": text, "metadata": metadata, "conversion": conversion}
+    metadata = build([("WARC-Type", "metadata"), ("WARC-Record-ID", metadata_id), *kept, ("WARC-Concurrent-To", conversion_id), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", digest(about)), ("Content-Type", "application/warc-fields")], about)
+    return {"response_id": source, "metadata_id": metadata_id, "conversion_id": conversion_id, "url": url, "payload_digest": payload_digest, "text_digest": text_digest, "n_links": len(links), "text": text, "metadata": metadata, "conversion": conversion}
 
 
 def _response_batches(batches):
