@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
-def search_code(files: DataFrame, pattern: str, limit: int = 25, first_chars: int = 8000) -> DataFrame:
+def search_code(files: DataFrame, pattern: str, limit: int = 25, first_chars: int | None = 8000) -> DataFrame:
     """file_path, line, text of the first ``limit`` matching lines in path order; case aside, a broken pattern is literal text.
 
-    Only the head of a file is searched: that is what the lookup returns to a caller.
+    By default only the head of a file is searched, which is what the lookup returns to a caller; None: all of it.
     """
     try:
         re.compile(pattern)
     except re.error:
         pattern = re.escape(pattern)
-    lines = files.select("file_path", F.posexplode(F.split(F.substring(X.clean_lines(F.col("content")), 1, first_chars), "\n")).alias("at", "text"))
+    text = X.clean_lines(F.col("content"))
+    lines = files.select("file_path", F.posexplode(F.split(text if first_chars is None else F.substring(text, 1, first_chars), "\n")).alias("at", "text"))
     return lines.filter(F.col("text").rlike("(?i)" + pattern)).select("file_path", (F.col("at") + 1).alias("line"), X.snippet(F.col("text")).alias("text")).orderBy("file_path", "line").limit(limit)
 
 

@@ -185,9 +185,9 @@ def value_entropy(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(X.entropy(F.col("p_name")), 6).alias("entropy"))
 
 
-@query(f"WITH {_LINES} SELECT file_path, line, substr(trim(t), 1, 200) AS text FROM lines WHERE regexp_matches(t, '(?i)licensed? under') AND file_path IN (SELECT file_path FROM files WHERE length(content) <= 8000) ORDER BY file_path, line LIMIT 25")
+@query(f"WITH {_LINES} SELECT file_path, line, substr(trim(t), 1, 200) AS text FROM lines WHERE regexp_matches(t, '(?i)licensed? under') ORDER BY file_path, line LIMIT 25")
 def code_search(spark, sf_dir):
-    return search.search_code(files(spark, sf_dir).filter(F.length("content") <= 8000), "licensed? under")
+    return search.search_code(files(spark, sf_dir), "licensed? under", first_chars=None)
 
 
 @query("""WITH t AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '')) AS u FROM pages), s AS (SELECT page_id, list_filter(regexp_split_to_array(u, '[/\\\\._-]+'), lambda x: x <> '') AS parts FROM t)
