@@ -59,10 +59,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     placed = base.select("doc_id", "th", F.posexplode(_lines(F.col("text"))).alias("place", "line")).select("doc_id", "th", "place", *_keys(F.btrim("line", F.lit(EDGES))))
     hits = _among(placed, known).groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("th", "hit_th")
     joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
+    # the lines are a column of their own, so that the lambda below looks one up and does not split the text again
+    cutup = joined.withColumn("lines", _lines(F.col("text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
     n_dropped = F.coalesce(F.size("places"), F.lit(0))
-    return joined.select(
-        "doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.when(F.col("places").isNull(), 0).otherwise(n_dropped).cast("bigint").alias("n_dropped"),
+    return cutup.select(
+        "doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.when(F.col("places").isNull(), 0).otherwise(n_dropped).cast("bigint").alias("n_dropped"),
         F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )
