@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import churn, findings, graph, hotspots, scan, search
+from ..operators import churn, digest, findings, graph, hotspots, scan, search
 from ..sources import snapshots
 from ..streaming import limits
 
@@ -249,3 +249,46 @@ def normalised_paths(spark, sf_dir):
 @query("SELECT substr(sha256('https://github.com/' || lower(p_brand) || '/' || p_partkey), 1, 12) AS repo_id, p_partkey FROM part")
 def repository_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select(X.repo_id(F.concat(F.lit("https://github.com/"), F.lower("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"))).alias("repo_id"), "p_partkey")
+
+
+_ISSUES = "issues AS (SELECT d.source AS repo, doc_id, CASE WHEN quality = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, CASE WHEN toxic = 1 THEN 'dismissed' ELSE 'confirmed' END AS triage FROM labels JOIN documents d USING (doc_id))"
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as findings in their source."""
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo")), "doc_id")
+    return labels.select(
+        "repo", F.col("doc_id").alias("ord"), F.when(F.col("quality") == 0, "HIGH").otherwise("LOW").alias("severity"), F.lit("label").alias("rule"), F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("line"),
+        F.when(F.col("toxic") == 1, "dismissed").otherwise("confirmed").alias("triage"), F.lit("static-analysis").alias("source"), F.lit(None).cast("string").alias("reference"),
+    )
+
+
+@query(f"""WITH {_ISSUES}, f AS (SELECT source AS repo, count(*) AS total_files, CAST(sum(n_chars) AS BIGINT) AS total_loc FROM documents GROUP BY 1),
+    i AS (SELECT repo, count(*) AS n, count_if(triage <> 'dismissed' AND severity = 'HIGH') AS high, count_if(triage = 'dismissed') AS gone FROM issues GROUP BY 1)
+    SELECT repo, total_files, total_files AS source_files, total_loc, coalesce(n, 0) AS total_vulnerabilities, 0 AS critical_vulnerabilities, coalesce(high, 0) AS high_vulnerabilities, 0 AS medium_vulnerabilities,
+        coalesce(n, 0) AS static_findings, 0 AS model_findings, coalesce(gone, 0) AS dismissed_findings, 0 AS grounded_findings FROM f LEFT JOIN i USING (repo)""")
+def run_statistics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.lit(True).alias("is_source"), F.col("n_chars").alias("loc"))
+    return digest.run_stats(docs, issues(spark, sf_dir), ["repo"])
+
+
+@query("""WITH c AS (SELECT source AS repo, CASE WHEN lang = 'en' THEN 'python' ELSE lang END AS language, count(*) AS n, min(doc_id) AS seen FROM documents GROUP BY 1, 2),
+    p AS (SELECT repo, language, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, seen) AS r FROM c)
+    SELECT repo, string_agg(language, ',' ORDER BY r) FILTER (WHERE r <= 4) AS primary_languages, round(sum(CASE WHEN language = 'python' THEN n ELSE 0 END) / sum(n), 3) AS python_share FROM p GROUP BY repo""")
+def primary_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.when(F.col("lang") == "en", "python").otherwise(F.col("lang")).alias("language"), F.col("doc_id").alias("ord"), F.lit(False).alias("is_manifest"), F.lit(False).alias("is_document"))
+    no_deps = docs.limit(0).select("repo", F.lit("").alias("name"), F.lit("").alias("file_path"), F.lit(0).alias("ord"))
+    return digest.tech_stack(docs, no_deps, ["repo"]).select("repo", F.array_join("primary_languages", ",").alias("primary_languages"), "python_share")
+
+
+@query(f"""WITH {_ISSUES}, h AS (SELECT source AS repo, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+    s AS (SELECT repo, 'Analysis measurements: ' || count(*) || ' files, ' || CAST(sum(n_chars) AS BIGINT) || ' lines' AS head, 'Top ranked hotspots:' || chr(10)
+        || string_agg('- ' || doc_id || ' (score ' || n_chars || ', complexity ' || doc_id % 7 || ', 0 commits, 0 findings)', chr(10) ORDER BY r) FILTER (WHERE r <= 5) AS spots FROM h GROUP BY repo),
+    l AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS r FROM issues WHERE triage <> 'dismissed'),
+    i AS (SELECT repo, 'Findings that survived triage:' || chr(10) || string_agg('- [' || severity || '] label at ' || doc_id || ':1 (' || triage || ')', chr(10) ORDER BY r) AS said FROM l WHERE r <= 8 GROUP BY repo)
+    SELECT repo, concat_ws(chr(10), head, spots, said) AS digest FROM s LEFT JOIN i USING (repo)""")
+def analysis_digest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "repo")
+    stats = docs.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"), F.sum("n_chars").alias("total_loc"))
+    spots = docs.select("repo", F.struct(-F.col("n_chars"), "doc_id").alias("ord"), F.col("doc_id").alias("file_path"), F.col("n_chars").alias("score"), (F.col("doc_id") % 7).alias("complexity"), F.lit(None).cast("int").alias("commits"), F.lit(None).cast("int").alias("findings"))
+    return digest.digest(stats, spots, issues(spark, sf_dir), ["repo"])

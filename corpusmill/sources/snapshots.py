@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,9 @@ def current(snapshots: DataFrame, heads: DataFrame) -> DataFrame:
 
 def expired(meta: DataFrame, now, ttl_hours: int = 24, most: int = 40, keep: str = "") -> DataFrame:
     """Snapshots to remove, oldest first: past their time, or among the oldest above ``most``; never ``keep``."""
-    n = meta.agg(F.count(F.lit(1)).alias("n"))
-    age = meta.withColumn("rn", F.row_number().over(Window.orderBy("modified", "repo_id"))).crossJoin(F.broadcast(n))
+    newest = F.broadcast(meta.orderBy(F.desc("modified"), F.desc("repo_id")).limit(most).select("repo_id", F.lit(True).alias("_new")))  # ``most`` rows
     old = F.col("modified") <= F.lit(now) - F.expr(f"interval {ttl_hours} hours")
-    return age.filter((old | (F.col("rn") <= F.col("n") - most)) & (F.col("repo_id") != keep)).orderBy("modified", "repo_id").drop("rn", "n")
+    return meta.join(newest, "repo_id", "left").filter((old | F.col("_new").isNull()) & (F.col("repo_id") != keep)).orderBy("modified", "repo_id").drop("_new")
 
 
 def forget(registry: DataFrame, ids: DataFrame) -> DataFrame:

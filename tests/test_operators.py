@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import exprs as X
-from corpusmill.operators import churn, dependencies, findings, graph, hotspots, parsing, patches, scan, search
+from corpusmill.operators import churn, dependencies, digest, findings, graph, hotspots, parsing, patches, scan, search
 from corpusmill.sources import files, snapshots
 from corpusmill.streaming import events, limits
 
@@ -181,3 +181,26 @@ def test_search(spark):
     assert [(r.file_path, r.line) for r in search.search_code(df, "token(").collect()] == [("src/main.py", 1)]
     assert [(r.file_path, r.line) for r in search.search_code(df, "tok.n").collect()] == [("src/auth/login.py", 2), ("src/main.py", 1)]
     assert search.select_context(df, "how does the login work", 1).first().file_path == "src/auth/login.py"
+
+
+def test_broad_queries(spark):
+    want = {"give me an overview of auth.py": True, "how does it work": True, "which module is slow": True, "src/a.py": False, "why is x slow": True, "describe src/a.py": False, "showing": False, "somewhat odd": False}
+    got = {r.q: r.b for r in spark.createDataFrame([(q,) for q in want], "q string").select("q", X.is_broad_query(F.col("q")).alias("b")).collect()}
+    assert got == want and value(spark, X.is_broad_query(F.lit(None).cast("string"))) is False
+
+
+def test_stack(spark):
+    files = spark.createDataFrame([("r", "python", 0, False, False), ("r", "python", 1, False, False), ("r", "go", 2, False, False), ("r", "document", 3, False, True), ("r", None, 4, True, False), ("s", "text", 0, False, True)], "repo string, language string, ord int, is_manifest boolean, is_document boolean")
+    deps = spark.createDataFrame([("r", "Flask", "a.txt", 1), ("r", "React", "a.txt", 0), ("r", "flask", "b.txt", 0), ("r", "flask", "c.txt", 0), ("r", "", "c.txt", 1), ("r", None, "c.txt", 2), *[("r", f"x{i:02}", "z.txt", i) for i in range(50)]], "repo string, name string, file_path string, ord int")
+    r, s = digest.tech_stack(files, deps, ["repo"]).orderBy("repo").collect()
+    assert r.primary_languages == ["python", "go"] and r.python_share == 0.667 and (r.manifest_count, r.document_count) == (1, 1)
+    assert r.framework_hints == ["react", "flask"] and r.dependency_evidence["flask"] == ["a.txt", "b.txt"] and len(r.dependency_evidence) == 40
+    assert (s.primary_languages, s.python_share, s.framework_hints, s.dependency_evidence) == ([], 0.0, [], None)
+
+
+def test_digest_without_rows(spark):
+    stats = spark.createDataFrame([("r", None), ("s", 3)], "repo string, total_files int")
+    spots = spark.createDataFrame([], "repo string, ord int, file_path string, score double, complexity int, commits int, findings int")
+    issues = spark.createDataFrame([("r", 1, None, None, None, None, None), ("r", 0, "HIGH", "x", "a.py", 4, "dismissed")], "repo string, ord int, severity string, rule string, file_path string, line int, triage string")
+    got = {r.repo: r.digest for r in digest.digest(stats, spots, issues, ["repo"]).collect()}
+    assert got == {"r": "Findings that survived triage:\n- [?] ? at None:None (pending)", "s": "Analysis measurements: 3 files"}
