@@ -141,7 +141,12 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Where that id repeats, the row of least text hash stays, once. Ids and texts decide; other columns only come along.
     """
-    found = classes(docs, width).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    return keep_least(docs, classes(docs, width))
+
+
+def keep_least(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """Of the rows of ``docs``, one for each root of ``classed`` (root, doc_id, th): that of least doc_id, then text hash."""
+    found = classed.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     pick = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("p"))
     wanted = pick.select("root", F.col("p.doc_id").alias("d"), F.col("p.th").alias("t"), F.col("p.n").alias("n"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id_"), F.xxhash64("text").alias("th_"))
