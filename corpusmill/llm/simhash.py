@@ -31,7 +31,11 @@ def shingle_hashes(text: bytes, width: int, seed: int = 42) -> list[int]:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64 bits, each 1 if it is set in over half of the shingles' hashes; 0 for no words."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of ``hashes``; 0 for none."""
     if not hashes:
         return 0
     values, ones = np.array(hashes, dtype=np.uint64).view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
@@ -70,8 +74,8 @@ ONE = [1 << i for i in range(64)]
 TWO = [1 << a | 1 << b for h in (0, 32) for a, b in combinations(range(h, h + 32), 2)]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp), enough to connect whatever 3 or fewer bits connect.
+def links(prints: DataFrame, reach: int = 3) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp), enough to connect whatever ``reach`` (2 or 3) or fewer bits connect.
 
     Radius 3, so balls of radius 1 and 2 must meet, and parity tells who emits which. Fingerprints of even weight
     emit themselves and all variants by two bits of one half; those of odd weight emit all variants by one bit. An
@@ -79,22 +83,23 @@ def links(prints: DataFrame) -> DataFrame:
     one, for 3 bits two share a half, the even one flips these and the odd one the third. Equal parities are 2 bits
     apart or farther than 3: both emit one-bit variants. What meets at a variant is linked by the sum of its
     distances, at most 3, so no pair is built to be thrown away; a key's members (64 of one bit at most) are linked
-    to its least one, not to each other. The final filter counts the bits again.
+    to its least one, not to each other. The final filter counts the bits again. Radius 2 needs no two-bit variants.
     """
+    spread = [0, *TWO] if reach == 3 else [0]
     n = prints.count()
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = prints.select("fp").repartition(max(parts, n // PER_TASK), "fp")
-    meet = max(parts, n * (len(TWO) + 2 * len(ONE)) // 2 // PER_MEETING)
+    meet = max(parts, n * (len(spread) + 2 * len(ONE)) // 2 // PER_MEETING)
     # a row is the variant and the number of its mask, not the fingerprint itself: two bytes to tell, however many partitions part a ball
     emit = lambda df, masks: df.select("fp", F.posexplode(_masks(masks)).alias("code", "mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), F.col("code").cast("smallint").alias("code")).repartition(meet, "key")
     origin = lambda masks: F.col("key").bitwiseXOR(F.element_at(_masks(masks), F.col("code") + 1))
     near = emit(source, ONE)
     hubs = near.groupBy("key").agg(F.min(origin(ONE)).alias("hub"), F.count(F.lit(1)).alias("members"))
-    far = emit(source.filter(F.bit_count("fp") % 2 == 0), [0, *TWO])
-    across = far.join(hubs.select("key", "hub").hint("shuffle_hash"), "key").select(origin([0, *TWO]).alias("a"), F.col("hub").alias("b"))
+    far = emit(source.filter(F.bit_count("fp") % 2 == 0), spread)
+    across = far.join(hubs.select("key", "hub").hint("shuffle_hash"), "key").select(origin(spread).alias("a"), F.col("hub").alias("b"))
     along = near.join(hubs.filter("members > 1").select("key", "hub"), "key").select(origin(ONE).alias("a"), F.col("hub").alias("b"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return across.unionByName(along).filter((apart > 0) & (apart <= 3)).distinct()
+    return across.unionByName(along).filter((apart > 0) & (apart <= reach)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,10 +150,11 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def keep_least(docs: DataFrame, classed: DataFrame) -> DataFrame:
-    """Of the rows of ``docs``, one for each root of ``classed`` (root, doc_id, th): that of least doc_id, then text hash."""
+    """Of the rows of ``docs``, one for each root of ``classed`` (root, doc_id, th): that of least doc_id, then text hash, then row hash."""
     found = classed.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     pick = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("p"))
     wanted = pick.select("root", F.col("p.doc_id").alias("d"), F.col("p.th").alias("t"), F.col("p.n").alias("n"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id_"), F.xxhash64("text").alias("th_"))
     hit = rows.join(wanted, F.col("doc_id_").eqNullSafe(F.col("d")) & (F.col("th_") == F.col("t")))
-    return hit.filter("n = 1").select("row.*").unionByName(hit.filter("n > 1").dropDuplicates(["root"]).select("row.*"))
+    several = hit.filter("n > 1").groupBy("root").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return hit.filter("n = 1").select("row.*").unionByName(several.select("row.*"))

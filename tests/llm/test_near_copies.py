@@ -51,3 +51,26 @@ def test_stage_odd(spark):
     assert near_copies.keep_one(empty).count() == 0
     same = spark.createDataFrame([(None, "a b c", 1, "x"), (None, "a b c", 1, "x"), (None, None, 1, "y")], empty.schema)
     assert sorted(r.s for r in near_copies.keep_one(same).collect()) == ["x", "y"]
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(1)
+    for size in (3, 40, 400, 4000):
+        both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        a, b = np.unique(both[: size * 9 // 10 + 1]), np.unique(both[size // 10 :])
+        x = np.bitwise_count((near_copies.parity(a) ^ near_copies.parity(b)).view(np.uint64)).sum()
+        assert x <= len(np.setxor1d(a, b)) and near_copies.parity(a).tolist() == near_copies.parity(a[::-1]).tolist()
+
+
+def test_large_group_below_the_threshold(spark):
+    """Hundreds of copies that differ among themselves in more than a fifth: a few links, and as few pairs beyond them."""
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for k in range(300):
+        own = list(words)
+        for at in rng.choice(200, 3 if k % 10 else 1, replace=False):
+            own[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(own)))
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(*zip(*rows))

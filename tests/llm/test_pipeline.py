@@ -4,7 +4,8 @@ import re
 
 import corpus_pipeline
 from corpusmill.llm import shared
-from tests.llm.test_operators import plain_best, plain_components, plain_fingerprint, plain_hits, plain_targets
+from tests.llm.test_near_copies import plain_kept
+from tests.llm.test_operators import plain_best, plain_hits, plain_targets
 
 
 def test_stages(spark, small, tmp_path):
@@ -16,7 +17,7 @@ def test_stages(spark, small, tmp_path):
         if name != "sharding":
             assert docs.columns == before.columns
     good, near, clean, mixed, placed = (kept[n] for n, _ in corpus_pipeline.STAGES)
-    assert set(near.doc_id) == set(plain_components(good.doc_id.tolist(), [plain_fingerprint(t) for t in good.text])) and near.doc_id.is_unique
+    assert sorted(near.doc_id) == plain_kept(good.doc_id.tolist(), good.text.tolist()) and near.doc_id.is_unique
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     assert set(clean.doc_id) == {d for d, t in zip(near.doc_id, near.text) if not plain_hits(t, items)[-1]}
     words = lambda f: f.assign(n=[len(re.findall(shared.WORD, t)) for t in f.text]).groupby("source").n
