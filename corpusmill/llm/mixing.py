@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,58 +11,73 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: The exact part of a fit works on a remainder of about this many words; the rest is taken in proportion.
-EXACT_WORDS = 1 << 16
+#: The exact part of a fit works on a remainder of so many words; where it leaves a gap, on the next of these.
+EXACT_WORDS = (1 << 14, 1 << 16, 1 << 18)
 
 
-def fit_budget(sizes: list[int], counts: list[int], budget: int, exact_words: int = EXACT_WORDS) -> list[int]:
-    """How many documents of each size to take so that the words come as near below ``budget`` as can be.
+def drawn(counts: list[int], part: float, start: float) -> list[int]:
+    """How many documents of each size a systematic draw takes: of the documents in order of size, one every 1 / ``part``.
 
-    First each size gives its share of the budget less a reserve, rounded down, so that every length is drawn alike.
-    Then large sizes give more while the remainder is above ``exact_words``. A bounded-knapsack DP settles the
-    remainder: for each reachable sum it holds the piece that first reached it (a size's spare documents are pieces
-    of 1, 2, 4 ..., sizes in a scattered order, until the remainder itself is reached).
+    So each document is drawn alike, whether or not others have its length; ``start`` (0 to 1) says where it begins.
     """
-    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
-    if total <= 0:
-        return [0] * len(sizes)
-    budget = min(budget, total)
-    broad = budget - min(exact_words, budget // 4)
-    taken = [c * broad // total for c in counts]
-    left = budget - sum(s * k for s, k in zip(sizes, taken, strict=True))
-    by_size = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: -sizes[i])
-    for i in by_size:
-        if left > exact_words:
-            more = min(counts[i] - taken[i], (left - exact_words) // sizes[i])
-            taken[i] += more
-            left -= more * sizes[i]
-    for i in by_size:  # where spare documents are few, the remainder is still large: whole documents, largest first
-        if left > 16 * exact_words:
-            more = min(counts[i] - taken[i], (left - exact_words) // sizes[i])
-            taken[i] += more
-            left -= more * sizes[i]
-    if left <= 0:
-        return taken
+    ends = np.floor(np.cumsum(np.asarray(counts, np.float64)) * part + start)
+    return np.minimum(np.diff(ends, prepend=np.floor(start)).astype(np.int64), counts).tolist()
+
+
+def exact_fit(sizes: list[int], spare: list[int], left: int) -> tuple[list[int], int]:
+    """How many of the ``spare`` documents of each size come nearest below ``left`` words, and by how many words they miss.
+
+    A bounded-knapsack DP: for each reachable sum it holds the piece that first reached it (a size's spare documents
+    are pieces of 1, 2, 4 ..., sizes in a scattered order, until ``left`` itself is reached).
+    """
+    taken = [0] * len(sizes)
     reached, first, pieces = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int64), []
     reached[0] = True
-    for i in sorted(by_size, key=lambda i: (sizes[i] * 2654435761 % (1 << 32), i)):
-        spare, part = min(counts[i] - taken[i], left // sizes[i]), 1
-        while spare > 0:
-            n = min(part, spare)
-            if (w := n * sizes[i]) <= left:
-                fresh = reached[: left + 1 - w] & ~reached[w:]
-                first[w:][fresh] = len(pieces)
-                reached[w:] |= fresh
-                pieces.append((i, n))
-            spare, part = spare - n, part * 2
+    for i in sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: (sizes[i] * 2654435761 % (1 << 32), i)):
+        most, part = min(spare[i], left // sizes[i]), 1
+        while most > 0:
+            n = min(part, most)
+            w = n * sizes[i]
+            fresh = reached[: left + 1 - w] & ~reached[w:]
+            first[w:][fresh] = len(pieces)
+            reached[w:] |= fresh
+            pieces.append((i, n))
+            most, part = most - n, part * 2
         if reached[left]:
             break
     at = int(np.flatnonzero(reached)[-1])
+    missed = left - at
     while at:
         i, n = pieces[first[at]]
         taken[i] += n
         at -= n * sizes[i]
-    return taken
+    return taken, missed
+
+
+def fit_budget(sizes: list[int], counts: list[int], budget: int, start: float = 0.5) -> list[int]:
+    """How many documents of each size (rising) to take so that the words come as near below ``budget`` as can be.
+
+    All but the last words of the budget are a systematic draw, the remainder an exact fit on what it leaves. A
+    remainder that can't be met is tried again larger. Where the whole budget is one, the fit is the best there is.
+    """
+    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    budget, best = min(budget, total), ([0] * len(sizes), budget)
+    if total <= 0:
+        return best[0]
+    for words in EXACT_WORDS:
+        words = max(words, min(4 * sizes[-1], EXACT_WORDS[-1]))
+        taken = drawn(counts, max(0, budget - words) / total, start)
+        left = budget - sum(s * k for s, k in zip(sizes, taken, strict=True))
+        for i in reversed(range(len(sizes))):  # a draw misses its aim by less than a largest document's size
+            while left < 0 and taken[i]:
+                taken[i], left = taken[i] - 1, left + sizes[i]
+        more, missed = exact_fit(sizes, [c - k for c, k in zip(counts, taken, strict=True)], min(left, 4 * EXACT_WORDS[-1]))
+        missed += left - min(left, 4 * EXACT_WORDS[-1])
+        if missed < best[1]:
+            best = [k + m for k, m in zip(taken, more, strict=True)], missed
+        if not best[1] or words >= budget:
+            break
+    return best[0]
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +85,7 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     base = min(2, int(target // total)) if total else 0
     budget = 0 if base == 2 else int(round(target - base * total))
-    taken = fit_budget(pdf["size"].tolist(), pdf["rows"].tolist(), budget)
+    taken = fit_budget(pdf["size"].tolist(), pdf["rows"].tolist(), budget, zlib.crc32(str(pdf["skey"].iloc[0]).encode()) / 2**32)
     return pd.DataFrame({"skey": pdf["skey"], "size": pdf["size"], "base": base, "quota": taken})
 
 
@@ -79,8 +96,8 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
     reshared by weight until none is above: each turn is one sum over the table of sources (a row for each source),
     of which only two numbers reach the driver.
     """
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1, F.lit(len(weights))) + 1).cast("int"))
-    table = shared.cut(totals.withColumn("weight", turn))
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    table = shared.cut(shared.numbered(totals, [F.col("source").isNull(), F.col("source")]).withColumn("weight", turn).drop("place"))
     words = table.agg(F.sum("source_size")).first()[0] or 0
     bound, level, full = F.col("source_size") * most, 0.0, -1
     while True:
@@ -97,7 +114,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (3, 1, 2),
 
     A source whose target is r times its words or more has every document r times (0, 1 or 2); what is left of the
     target is fitted by ``fit_budget`` on the source's counts by exact length, and the documents of a length are
-    drawn by a seeded hash of doc_id and text, ranked in chunks (``shared.ranked``). Null texts have size 0; null
+    taken by a seeded hash of doc_id and text, ranked in chunks (``shared.ranked``). Null texts have size 0; null
     sources are one source of their own; repeated rows count each; an empty table gives no rows.
     """
     shared.ship(docs.sparkSession)

@@ -114,17 +114,34 @@ def order_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 15), 16, 10).cast("bigint")
 
 
-def ranked(df: DataFrame, keys: list[str], h: str, ties: list[str], out: str = "rank", rows_per_chunk: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Adds ``out``, the row's place from 0 in ``order``; ties as they come. Sorted in ranges, by many tasks.
+
+    Only the number of rows of each range reaches the driver: one for each partition.
+    """
+    pid, at = "_pid", "_at"
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(pid, F.spark_partition_id()).withColumn(at, F.expr("monotonically_increasing_id() & 8589934591")))
+    before, starts = 0, {}
+    for p, n in sorted((r[0], r[1]) for r in sorted_.groupBy(pid).agg(F.count(F.lit(1))).collect()):
+        starts[p], before = before, before + n
+    first = df.sparkSession.createDataFrame(list(starts.items()), f"{pid} int, _first long")
+    return sorted_.join(F.broadcast(first), pid).withColumn(out, F.col("_first") + F.col(at)).drop(pid, at, "_first")
+
+
+def ranked(df: DataFrame, keys: list[str], h: str, ties: list[str], out: str = "rank", share: int = 4, least: int = 256) -> DataFrame:
     """Adds ``out``, the row's place from 0 among the rows of equal ``keys`` (never null) by (h, ties).
 
-    h is a 60-bit hash. A group above rows_per_chunk is cut by the leading bits of h into as many chunks as it
-    needs; chunk counts, summed first on the map side, give each chunk's first place, and only chunks are sorted.
-    So a group with a third of all rows is ranked by many tasks.
+    h is a 60-bit hash. A group that holds more than a ``share``-th of a shuffle partition's fair part of the rows is
+    cut by the leading bits of h into as many chunks as it needs; chunk counts, summed first on the map side, give
+    each chunk's first place, and only chunks are sorted. So a group with a third of all rows is ranked by many
+    tasks. There are ``share`` groups of that size for each partition at most, so what is broadcast is that small.
+    df is read three times: it should be cut.
     """
     n, bits, chunk, first = "_n", "_bits", "_chunk", "_first"
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > rows_per_chunk)
-    # a group here has over rows_per_chunk rows, so this side has at most 1 / rows_per_chunk of the rows of df
-    many = F.broadcast(cut(sizes.select(*keys, F.ceil(F.log2(F.col(n) / rows_per_chunk)).cast("int").alias(bits))))
+    sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)))
+    fair = (sizes.agg(F.sum(n)).first()[0] or 0) // (share * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = max(least, fair)
+    many = F.broadcast(sizes.filter(F.col(n) > most).select(*keys, F.ceil(F.log2(F.col(n) / most)).cast("int").alias(bits)))
     cutup = df.join(many, keys, "left").withColumn(chunk, F.when(F.col(bits).isNull(), F.lit(0).cast("bigint")).otherwise(F.expr(f"shiftright({h}, 60 - {bits})"))).drop(bits)
     counts = df.join(many, keys).withColumn(chunk, F.expr(f"shiftright({h}, 60 - {bits})")).groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

@@ -390,7 +390,7 @@ def test_shards_odd(odd, empty, spark):
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     hot = spark.range(5000).select(F.lit(1).alias("g"), F.col("id"), shared.order_hash(F.col("id")).alias("h"))
-    ranks = shared.ranked(hot, ["g"], "h", ["id"], rows_per_chunk=100).orderBy("h").toPandas()
+    ranks = shared.ranked(hot, ["g"], "h", ["id"], least=100).orderBy("h").toPandas()
     assert ranks["rank"].tolist() == list(range(5000))
 
 
@@ -424,3 +424,27 @@ def test_contamination_odd(spark, odd, empty, block):
     clean = decontam.drop_contaminated(odd, benchmark, block_bytes=block)
     assert clean.columns == odd.columns and clean.count() == sum(n for w, n in want.items() if not w[2])
     assert decontam.scan(empty, benchmark).count() == 0 and decontam.contamination(odd, benchmark.limit(0)).filter("contaminated").count() == 0
+
+
+def test_mix_draws_rare_lengths_alike():
+    """2,000 documents of lengths of their own, half of the words: as many from each quarter, and the budget met."""
+    sizes = np.unique(np.random.default_rng(0).integers(20, 4000, 3200))[:2000].tolist()
+    for start in (0.0, 0.4, 0.999):
+        taken = mixing.fit_budget(sizes, [1] * len(sizes), sum(sizes) // 2, start)
+        assert sum(s * k for s, k in zip(sizes, taken)) == sum(sizes) // 2 and max(taken) == 1
+        quarter = [np.mean(taken[len(sizes) * q // 4 : len(sizes) * (q + 1) // 4]) for q in range(4)]
+        assert max(quarter) - min(quarter) < 0.06 and abs(sum(s * k for s, k in zip(sizes, taken)) / sum(taken) / np.mean(sizes) - 1) < 0.03
+
+
+def test_fits_where_lengths_do_not_meet_the_budget():
+    assert mixing.fit_budget([10, 20], [5, 5], 55) == [5, 0] or sum(s * k for s, k in zip([10, 20], mixing.fit_budget([10, 20], [5, 5], 55))) == 50
+    assert mixing.fit_budget([0, 7], [3, 0], 5) == [0, 0] and mixing.fit_budget([], [], 5) == []
+    taken = mixing.fit_budget([1_000_000], [10], 5_500_000)
+    assert taken == [5]
+
+
+def test_places_in_order(spark):
+    rows = [(None if i == 7 else f"s{i:02d}",) for i in range(30)]
+    out = shared.numbered(spark.createDataFrame(rows, "source string").repartition(4), [F.col("source").isNull(), F.col("source")]).collect()
+    assert [r.source for r in sorted(out, key=lambda r: r.place)] == sorted(r[0] for r in rows if r[0]) + [None]
+    assert shared.numbered(spark.createDataFrame([], "source string"), [F.col("source")]).count() == 0
