@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 END_ID = 2
+#: The file that names a folder's shards in order, each with the ids before it.
+MANIFEST = "manifest.jsonl"
 #: Distinct words whose ids a worker holds before it starts over.
 CACHE_WORDS = 500_000
 
@@ -70,7 +72,8 @@ def word_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes columns of texts: splits them by ``word_starts`` and asks the library once for each distinct word.
 
-    Texts with code points of U+0240 or more go to the library whole. Ids equal the library's for whole texts.
+    Texts with code points of U+0240 or more, and those that hold the text of an added token, go to the library
+    whole. Ids equal the library's for whole texts, as it is when loaded.
     """
 
     def __init__(self, path: str):
@@ -78,7 +81,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.marks = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self._clear()
 
     def _clear(self) -> None:
@@ -122,13 +125,24 @@ class Encoder:
         cuts = total[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
+    def _marked(self, data: bytes) -> list[list[int]]:
+        """Where added tokens stand; one across two texts sends the first of them whole, which changes nothing."""
+        found: list[list[int]] = []
+        for mark in self.marks:
+            at = data.find(mark)
+            while at >= 0:
+                found.append([at])
+                at = data.find(mark, at + 1)
+        return found
+
     def column(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none), without an end id."""
         column = pc.fill_null(column, "").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        whole = np.unique(np.searchsorted(offsets, np.flatnonzero(data >= 0xC9), "right") - 1)
+        apart = [np.flatnonzero(data >= 0xC9), *self._marked(data.tobytes())]
+        whole = np.unique(np.searchsorted(offsets, np.concatenate(apart), "right") - 1)
         if not len(whole):
             return self._fast(data, offsets)
         other = np.ones(len(column), bool)
@@ -270,10 +284,10 @@ def _write_batches(folder: str, tokenizer: str, end_id: int, width: int):
     def run(batches):
         store, path = shared.open_store(folder)
         context, own = TaskContext.get(), encoder(tokenizer)
-        name, shadow = f"{path}/shard-{context.partitionId():06d}", f"{path}/.{context.taskAttemptId()}"
+        name = f"{path}/shard-{context.partitionId():06d}-{context.taskAttemptId()}"  # each attempt has its own; the manifest names those that count
         out, docs, sizes = None, [], []
         for batch in batches:
-            out = out or store.open_output_stream(shadow + ".ids")
+            out = out or store.open_output_stream(name + ".ids")
             for part in shared.slices(batch, "text"):
                 for ids in own.column(part.column("text")):
                     out.write(ids.astype(f"<u{width}").tobytes() + end_id.to_bytes(width, "little"))
@@ -282,10 +296,8 @@ def _write_batches(folder: str, tokenizer: str, end_id: int, width: int):
         if out is None:
             return
         out.close()
-        with store.open_output_stream(shadow + ".mph") as f:
+        with store.open_output_stream(name + ".mph") as f:
             f.write(pack_index(docs, sizes, width))
-        for kind in (".mph", ".ids"):  # a rerun task writes the same bytes under the same names
-            store.move(shadow + kind, name + kind)
         yield pa.RecordBatch.from_pydict({"shard": [name.rpartition("/")[2]], "part": pa.array([context.partitionId()], pa.int32()), "tokens": pa.array([sum(sizes)], pa.int64()), "documents": pa.array([len(docs)], pa.int64())})
 
     return run
@@ -311,9 +323,19 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     for r in sorted(made, key=lambda r: r["part"]):
         out.append((r["shard"], at))
         at += r["tokens"]
+    store, top = shared.open_store(shared.normal_uri(folder))
+    with store.open_output_stream(f"{top}/{MANIFEST}") as f:
+        f.write("".join(json.dumps({"shard": name, "base": base}) + "\n" for name, base in out).encode())
     return out
 
 
+def manifest(folder: str) -> list[tuple[str, int]]:
+    """What ``write_shards`` gave back, from the folder itself; files that it does not name are left by lost attempts."""
+    store, top = shared.open_store(shared.normal_uri(folder))
+    with store.open_input_file(f"{top}/{MANIFEST}") as f:
+        return [(x["shard"], x["base"]) for x in map(json.loads, f.read().decode().splitlines())]
+
+
 def _read_batches(folder: str):
     def run(batches):
         store, path = shared.open_store(folder)
