@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A shingle has three words, or as many as its window has. Benchmark text of one block, so the broadcast is bounded.
-SHINGLE, BLOCK_BYTES = 3, 16 << 20
+#: A shingle has three words, or as many as its window has. Benchmark text of one block: some 60 bytes a word are broadcast.
+SHINGLE, BLOCK_BYTES = 3, 8 << 20
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
@@ -93,47 +91,82 @@ def _member(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[good], where[good]
 
 
-def windows(items: list[tuple[str, str]], width: int) -> dict[tuple[int, bytes], set[str]]:
-    """{(number of words, words): item ids} of every window of the items."""
-    found: dict[tuple[int, bytes], set[str]] = {}
-    for item, text in items:
-        words = Words.of_column(pa.array([text], pa.large_string()))
-        n = len(words.starts)
-        k = min(n, width)
-        for at in range(n - k + 1 if n else 0):
-            found.setdefault((k, words.bytes(at, k)), set()).add(item)
-    return found
-
-
-class Index:
-    """Windows by their rarest shingle, for one block of the benchmark."""
-
-    def __init__(self, found: dict[tuple[int, bytes], set[str]], seen: dict[tuple[int, int], int] | None):
-        """seen: how often each (words, shingle hash) occurs in the corpus; None: rarity isn't known yet."""
-        self.items, self.words, self.sizes, hashes = [], [], [], []
-        by: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for (k, text), items in sorted(found.items()):
-            w = Words.of_column(pa.array([text.decode("utf-8", "surrogateescape")], pa.large_string()))
-            s = min(k, SHINGLE)
-            shingles = w.runs(s).tolist()
-            number = len(self.words)
-            self.words.append(text), self.sizes.append(k), self.items.append(sorted(items)), hashes.append(int(w.runs(k)[0]))
-            # containment asks for every shingle of the window, so the rarest alone is the prefix
-            for offset in range(len(shingles)) if seen is None else [min(range(len(shingles)), key=lambda i: (seen.get((s, shingles[i]), 0), shingles[i], i))]:
-                by.setdefault(s, {}).setdefault(shingles[offset], []).append((offset, number))
-        self.hashes, self.sizes = np.array(hashes, np.uint64), np.array(self.sizes, np.int64)
+class Block:
+    """The distinct windows of some items, as arrays: about 60 bytes a word of theirs, here and in what is broadcast."""
+
+    def __init__(self, items: list[tuple[str, str]], width: int):
+        w = self.words = Words.of_column(pa.array([t for _, t in items], pa.large_string()))
+        self.names, owner = np.unique(np.array([i for i, _ in items], object), return_inverse=True)
+        size = np.minimum(w.counts, width)
+        many = np.where(w.counts > 0, w.counts - size + 1, 0)
+        start = np.repeat(w.first[:-1], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        size, owner = np.repeat(size, many), np.repeat(owner, many)
+        value = np.zeros(len(start), np.uint64)
+        for k in np.unique(size):
+            value[size == k] = w.runs(int(k))[start[size == k]]
+        order = np.lexsort((owner, value, size))
+        start, size, owner, value = start[order], size[order], owner[order], value[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (size[1:] != size[:-1]) | (value[1:] != value[:-1])
+        number = np.cumsum(new) - 1
+        self.start, self.sizes, self.hashes = start[new], size[new], value[new]
+        self._same(start, number)
+        pair = np.ones(len(start), bool)
+        pair[1:] = new[1:] | (owner[1:] != owner[:-1])
+        self.owners, self.owner_ends = owner[pair], np.searchsorted(number[pair], np.arange(len(self.start) + 1))
         self.tables = {}
-        for s, table in by.items():
-            keys = sorted(table)
-            lists = [table[k] for k in keys]
-            self.tables[s] = (np.array(keys, np.uint64), np.cumsum([0, *map(len, lists)]), np.array([x for y in lists for x in y], np.int64).reshape(-1, 2))
-
-    def shingle_counts(self, w: Words) -> Counter:
-        counts: Counter = Counter()
-        for s, (keys, _, _) in self.tables.items():
+        self.keys = {s: keys for s in range(1, SHINGLE + 1) if len(keys := self.shingles(s))}
+
+    def _same(self, start: np.ndarray, number: np.ndarray) -> None:
+        """Raises if windows of equal hash differ in a word's hash or length."""
+        w, lengths = self.words, self.words.ends - self.words.starts
+        size, first = self.sizes[number], self.start[number]
+        for j in range(int(size.max()) if len(size) else 0):
+            own = size > j
+            if (w.hashes[start[own] + j] != w.hashes[first[own] + j]).any() or (lengths[start[own] + j] != lengths[first[own] + j]).any():
+                raise ValueError("two windows share a hash")
+
+    def of_shingle(self, s: int) -> np.ndarray:
+        """The windows that are filed under shingles of s words."""
+        return np.flatnonzero(np.minimum(self.sizes, SHINGLE) == s)
+
+    def shingles(self, s: int) -> np.ndarray:
+        """The distinct hashes, in order, of the shingles of s words in the windows filed under such."""
+        own, runs = self.of_shingle(s), self.words.runs(s)
+        has = np.zeros(len(runs), bool)
+        for at in range(int(self.sizes[own].max()) - s + 1 if len(own) else 0):
+            has[self.start[own[self.sizes[own] - s >= at]] + at] = True
+        return np.unique(runs[has])
+
+    def file(self, seen: dict[int, np.ndarray]) -> None:
+        """Files each window under its rarest shingle; seen: how often each of ``keys`` occurs in the corpus.
+
+        Containment asks for every shingle of the window, so the rarest alone is the prefix.
+        """
+        for s, keys in self.keys.items():
+            own, runs = self.of_shingle(s), self.words.runs(s)
+            least, place = np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
+            value = np.zeros(len(own), np.uint64)
+            for at in range(int(self.sizes[own].max()) - s + 1):
+                has = np.flatnonzero(self.sizes[own] - s >= at)
+                h = runs[self.start[own[has]] + at]
+                n = seen[s][np.searchsorted(keys, h)]
+                better = (n < least[has]) | ((n == least[has]) & (h < value[has]))
+                least[has[better]], place[has[better]], value[has[better]] = n[better], at, h[better]
+            order = np.argsort(value, kind="stable")
+            known, first = np.unique(value[order], return_index=True)
+            self.tables[s] = (known, np.append(first, len(order)), np.stack([place[order], own[order]], axis=1))
+        self.keys = {}
+        self.words.text = self.words.hashes = None  # what verifies a match is the words themselves
+
+    def items(self, window: int) -> list[str]:
+        return self.names[self.owners[self.owner_ends[window] : self.owner_ends[window + 1]]].tolist()
+
+    def shingle_counts(self, w: Words) -> dict[int, np.ndarray]:
+        counts = {}
+        for s, keys in self.keys.items():
             at, where = _member(w.runs(s), keys)
-            n = np.bincount(where[w.within(s)[at]], minlength=len(keys))
-            counts.update({(s, int(keys[i])): int(n[i]) for i in np.flatnonzero(n)})
+            counts[s] = np.bincount(where[w.within(s)[at]], minlength=len(keys))
         return counts
 
     def occurrences(self, w: Words) -> Iterator[tuple[int, int]]:
@@ -155,17 +188,19 @@ class Index:
                 for j in range(int(k)):
                     h = h * _STEP + w.hashes[a + j]
                 for x, y in zip(*(z[_mixed(h + np.uint64(k)) == self.hashes[b]].tolist() for z in (a, b)), strict=True):
-                    if w.bytes(x, int(k)) == self.words[y]:
+                    if w.bytes(x, int(k)) == self.words.bytes(int(self.start[y]), int(k)):
                         yield x, y
 
 
 def _count_batches(index):
     def run(batches):
-        total: Counter = Counter()
+        total: dict[int, np.ndarray] = {}
         for batch in (part for whole in batches for part in shared.slices(whole, "text")):
-            total.update(index.value.shingle_counts(Words.of_column(batch.column(0))))
-        if total:
-            yield pa.RecordBatch.from_pydict({"s": pa.array([k[0] for k in total], pa.int32()), "shingle": pa.array(np.array([k[1] for k in total], np.uint64).view(np.int64)), "n": pa.array(list(total.values()), pa.int64())})
+            for s, n in index.value.shingle_counts(Words.of_column(batch.column(0))).items():
+                total[s] = total[s] + n if s in total else n
+        for s, n in total.items():
+            found = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"s": pa.array(np.full(len(found), s), pa.int32()), "shingle": pa.array(found, pa.int32()), "n": pa.array(n[found], pa.int64())})
 
     return run
 
@@ -182,7 +217,7 @@ def _scan_batches(index):
             items: list[set] = [set() for _ in range(batch.num_rows)]
             for at, number in own.occurrences(w):
                 doc = int(w.text[at])
-                items[doc].update(own.items[number])
+                items[doc].update(own.items(number))
                 spans[doc].append((at - int(w.first[doc]), at - int(w.first[doc]) + int(own.sizes[number])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("th"), pa.array(w.counts, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in merged(x)] for x in spans], _SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
@@ -216,12 +251,16 @@ def indexes(texts: DataFrame, benchmark: DataFrame, width: int, block_bytes: int
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     out = []
     for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = windows([tuple(r) for r in block.toLocalIterator()], width)
-        every = spark.sparkContext.broadcast(Index(found, None))
-        counted = texts.mapInArrow(_count_batches(every), "s int, shingle long, n long").groupBy("s", "shingle").agg(F.sum("n").alias("n"))
-        seen = {(r[0], r[1] % (1 << 64)): r[2] for r in counted.toLocalIterator()}
-        out.append(spark.sparkContext.broadcast(Index(found, seen)))
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        block = Block([tuple(r) for r in part.toLocalIterator()], width)
+        every = spark.sparkContext.broadcast(block)
+        counted = texts.mapInArrow(_count_batches(every), "s int, shingle int, n long").groupBy("s", "shingle").agg(F.sum("n").alias("n")).toPandas()
+        seen = {s: np.zeros(len(keys), np.int64) for s, keys in block.keys.items()}
+        for s, rows in counted.groupby("s"):
+            seen[int(s)][rows["shingle"].to_numpy()] = rows["n"].to_numpy()
+        every.unpersist()
+        block.file(seen)
+        out.append(spark.sparkContext.broadcast(block))
     return out
 
 

@@ -45,7 +45,7 @@ def test_lines_near_and_far_from_the_threshold(spark):
     rows = [(i, f"rare {i}\nseen by {n}" , f"s{i % n}") for n in (1, 4, 5, 6, 40) for i in range(n * 3)]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 5).toPandas()
     assert {int(t.split()[-1]) for t in out.text if "seen by" in t} == {1, 4}
-    assert (out.n_dropped == [0 if "seen by" in t else 1 for t in out.text]).all() or set(out.n_dropped) == {0, 1}
+    assert sorted(out.n_dropped) == [0] * 15 + [1] * 153  # 3 + 12 documents keep their line, 15 + 18 + 120 lose it
 
 
 def test_lines_odd(odd, empty):
@@ -220,16 +220,18 @@ def test_media_odd_ranges_and_retries(spark, odd, empty, tmp_path):
 def test_tokens_equal_the_library(spark, small, odd, empty):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(tokenizer_path())
-    library.encode_special_tokens = True
-    for docs in (table(spark, small, "documents"), odd):
-        rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
-        out = sorted(token_store.token_table(docs, tokenizer_path()).collect(), key=lambda r: r.start)
-        want = [[*library.encode(r.text or "", add_special_tokens=False).ids, 2] for r in rows]
-        assert [r.doc_id for r in out] == [r.doc_id for r in rows]
-        assert docs is odd or [r.start for r in out] == [0, *np.cumsum([len(w) for w in want])[:-1].tolist()]
-        key = lambda d, n, c: (d is None, d or 0, n, c)  # noqa: E731  rows of one id are in an order of their own
-        assert sorted(key(r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted(key(r.doc_id, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for r, w in zip(rows, want)) or docs is odd
+    library, marked = Tokenizer.from_file(tokenizer_path()), odd.limit(1).withColumn("text", F.lit("a <|endoftext|> b<|endoftext|>"))
+    for docs in (table(spark, small, "documents"), odd.unionByName(marked)):
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()
+        rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.th))  # nulls first; rows of one id by a hash of the text
+        want, at = [], 0
+        for r in rows:
+            ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+            want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+        folder = shared.new_folder(spark, "tokens")
+        assert sorted(map(tuple, token_store.token_table(docs, tokenizer_path(), folder).collect()), key=lambda r: r[1]) == want
+        assert sorted(map(tuple, token_store.read_shards(spark, folder, token_store.manifest(folder)).collect()), key=lambda r: r[1]) == want
     assert token_store.token_table(empty, tokenizer_path()).count() == 0
 
 
@@ -238,7 +240,6 @@ def test_encoder_on_hard_texts():
     from tokenizers import Tokenizer
 
     library, own = Tokenizer.from_file(tokenizer_path()), token_store.Encoder(tokenizer_path())
-    library.encode_special_tokens = True
     rng, parts = np.random.default_rng(5), ["'", "'s", "'re", "'ll", "'T", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x85", "\x1c", "a", "é", "B2", "²", "½", "3", "!", "_", "-", "ß", "ÿ", "Ȿ", "日", "<|endoftext|>", "\x00", "😀", "e", "ve", "l"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)] + ["", None, " ", "'", "''s", "a's't", "\n's"]
     got = own.column(pa.array(texts))
@@ -448,3 +449,21 @@ def test_places_in_order(spark):
     out = shared.numbered(spark.createDataFrame(rows, "source string").repartition(4), [F.col("source").isNull(), F.col("source")]).collect()
     assert [r.source for r in sorted(out, key=lambda r: r.place)] == sorted(r[0] for r in rows if r[0]) + [None]
     assert shared.numbered(spark.createDataFrame([], "source string"), [F.col("source")]).count() == 0
+
+
+def test_benchmark_in_blocks_is_compact(spark):
+    """Every item of a benchmark of 300,000 words is found in documents that quote it, through blocks of a tenth of it."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(2000)])
+    items = [(f"i{k}", " ".join(words[rng.integers(0, 2000, 150)])) for k in range(2000)]
+    docs = [(k, "before " + " ".join(items[k][1].split()[20:32]) + " after") for k in range(0, 2000, 7)] + [(9999, " ".join(words[:9]))]
+    out = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_bytes=200_000).collect()
+    assert {r.doc_id: [(x.a, x.b) for x in r.spans] for r in out} == {d: [(1, 13)] if d < 9999 else [] for d, _ in docs}
+    assert all(r["items"] == [f"i{r.doc_id}"] for r in out if r.doc_id < 9999)
+
+
+def test_rows_alike_but_for_other_columns(spark):
+    """Of rows of one id and text the row of least hash stays, whatever their order."""
+    rows = [(1, "a b c d", k) for k in range(6)]
+    kept = {tuple(simhash.keep_one(spark.createDataFrame(rows[::d], "doc_id long, text string, extra int").repartition(n)).collect()[0]) for d in (1, -1) for n in (1, 3)}
+    assert len(kept) == 1
