@@ -69,24 +69,24 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     copies of a text meet as partial sums), and only the number of groups of each total size goes to the scheduler:
     one task that streams distinct sizes in falling order and holds a heap of ``shards`` entries. Which of the
     groups of one size go to which shard follows an MD5 of the text. Slots are dealt by ``shared.ranked``, so no
-    shard is sorted by one task. An empty table gives no rows; repeated rows get slots of their own.
+    shard is sorted by one task. The table is read once; what is cut holds no text. An empty table gives no rows; repeated rows get slots of their own.
     """
     shared.ship(docs.sparkSession)
-    rows = shared.columns_only(docs, "doc_id", "text").select(
+    rows = shared.cut(shared.columns_only(docs, "doc_id", "text").select(
         "doc_id",
         (shared.bytes_of(F.col("text")) + 1).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("key"),
-    )
-    groups = rows.groupBy("key").agg(F.sum("size").alias("group_size"))
+    ))
+    groups = shared.cut(rows.groupBy("key").agg(F.sum("size").alias("group_size")).withColumn("h", F.conv(F.substring("key", 1, 15), 16, 10).cast("bigint")))
     dealt = (
         groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("groups"))
         .repartition(1).sortWithinPartitions(F.desc("group_size"))
         .mapInPandas(_deal(shards), "group_size long, ends array<long>")
     )
-    placed = shared.ranked(groups.withColumn("h", F.conv(F.substring("key", 1, 15), 16, 10).cast("bigint")), ["group_size"], "h", ["key"]).join(dealt, "group_size")
+    placed = shared.ranked(groups, ["group_size"], "h", ["key"]).join(dealt, "group_size")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard")
-    out = rows.join(placed.select("key", shard), "key").withColumn("h", shared.order_hash(F.col("doc_id"), F.col("key")))
+    out = shared.cut(rows.join(placed.select("key", shard), "key").withColumn("h", shared.order_hash(F.col("doc_id"), F.col("key"))))
     return shared.ranked(out, ["shard"], "h", ["doc_id", "key"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
