@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: A shingle has three words, or as many as its window has. Benchmark text of one block: some 60 bytes a word are broadcast.
-SHINGLE, BLOCK_BYTES = 3, 8 << 20
+SHINGLE, BLOCK_BYTES = 3, 4 << 20
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
