@@ -16,7 +16,7 @@ def parse_log(logs: DataFrame) -> DataFrame:
     """repo_id, ord, sha, author, date, path from (repo_id, log): records after \\x01, fields by \\x02, then a path a line."""
     records = logs.select("repo_id", F.posexplode(F.split("log", "\x01")).alias("ord", "rec")).filter(F.btrim("rec") != "")
     head = F.substring_index("rec", "\n", 1)
-    paths = F.filter(F.transform(F.split(F.regexp_replace("rec", r"^[^\n]*\n?", ""), "\n"), F.btrim), lambda p: p != "")
+    paths = F.filter(F.transform(F.split(F.regexp_replace("rec", r"^[^\n]*\n?", ""), "\n"), lambda p: F.btrim(p)), lambda p: p != "")
     part = lambda k: F.split_part(head, F.lit("\x02"), F.lit(k))
     return records.select("repo_id", "ord", part(1).alias("sha"), part(2).alias("author"), F.to_date(F.substring(part(3), 1, 10)).alias("date"), F.explode_outer(paths).alias("path")).withColumn("path", renamed(F.col("path")))
 

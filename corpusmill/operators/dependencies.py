@@ -7,7 +7,7 @@ import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -114,8 +114,8 @@ def cargo_toml(text: str):
 PARSERS = {
     "package.json": ("npm", False, package_json), "package-lock.json": ("npm", True, package_lock), "yarn.lock": ("npm", True, yarn_lock), "pnpm-lock.yaml": ("npm", True, pnpm_lock),
     "requirements.txt": ("pypi", False, requirements), "requirements-dev.txt": ("pypi", False, requirements), "dev-requirements.txt": ("pypi", False, requirements), "pyproject.toml": ("pypi", False, pyproject),
-    "poetry.lock": ("pypi", True, toml_lock), "uv.lock": ("pypi", True, toml_lock), "pipfile.lock": ("pypi", True, pipfile_lock), "pipfile": ("pypi", False, gemfile), "cargo.toml": ("cargo", False, cargo_toml),
-    "cargo.lock": ("cargo", True, toml_lock), "gemfile": ("rubygems", False, gemfile), "gemfile.lock": ("rubygems", True, gemfile), "composer.json": ("packagist", False, composer), "composer.lock": ("packagist", True, composer),
+    "poetry.lock": ("pypi", True, toml_lock), "uv.lock": ("pypi", True, toml_lock), "pipfile.lock": ("pypi", True, pipfile_lock), "pipfile": ("pypi", False, gemfile), "cargo.toml": ("crates.io", False, cargo_toml),
+    "cargo.lock": ("crates.io", True, toml_lock), "gemfile": ("rubygems", False, gemfile), "gemfile.lock": ("rubygems", True, gemfile), "composer.json": ("packagist", False, composer), "composer.lock": ("packagist", True, composer),
     "go.mod": ("go", False, go_mod), "go.sum": ("go", True, go_sum),
 }
 
@@ -139,28 +139,23 @@ def dependencies(files: DataFrame) -> DataFrame:
     return files.filter(name.isin(*PARSERS)).select("file_path", "content").mapInPandas(_parse, OUT)
 
 
-def candidates(deps: DataFrame) -> DataFrame:
-    """ecosystem, name, version, declared_in: each dependency once; the first pinned version, else the first; a manifest before a lock."""
-    named = deps.filter((F.lower("name") != "python") & (F.col("name") != "")).withColumn("pinned", X.pinned_version(F.col("version")))
-    place = F.struct("file_path", "ord")
-    return named.groupBy("ecosystem", F.lower("name").alias("key")).agg(
-        F.min_by("name", place).alias("name"), F.min_by("version", F.struct((F.col("pinned") == "").alias("loose"), "file_path", "ord")).alias("version"), F.min_by("file_path", F.struct("resolved", "file_path", "ord")).alias("declared_in"),
+def candidates(deps: DataFrame, repo: list[str] | None = None) -> DataFrame:
+    """repo, ecosystem, name, version, declared_in, ord: each dependency once (case aside), in the order first seen.
+
+    The first pinned version, else the first; the first manifest, else the first lock. Manifests come in the order
+    file_ord where there is one, else by path; entries as they stand (ord). Python itself is none.
+    """
+    repo, first = repo or [], ["file_ord"] if "file_ord" in deps.columns else []
+    place = [*first, "file_path", "ord"]
+    named = deps.withColumn("name", F.btrim("name")).filter((F.lower("name") != "python") & (F.col("name") != "")).withColumn("pinned", X.pinned_version(F.col("version")))
+    merged = named.groupBy(*repo, "ecosystem", F.lower("name").alias("key")).agg(
+        F.min_by("name", F.struct(*place)).alias("name"), F.min_by("version", F.struct((F.col("pinned") == "").alias("loose"), *place)).alias("version"), F.min_by("file_path", F.struct("resolved", *place)).alias("declared_in"), F.min(F.struct(*place)).alias("seen"),
     ).drop("key")
+    if not repo:
+        return merged.withColumnRenamed("seen", "ord")
+    return merged.withColumn("ord", F.row_number().over(Window.partitionBy(*repo).orderBy("seen"))).drop("seen")
 
 
 def evidence(deps: DataFrame) -> DataFrame:
     """name, files: up to two manifests that name it."""
     return deps.groupBy("name").agg(F.array_join(F.slice(F.array_sort(F.collect_set("file_path")), 1, 2), ",").alias("files"))
-
-
-def status(found: DataFrame) -> DataFrame:
-    """Adds status, severity, cves, fixed_in, distance to (name, version, answer): vulnerable if the answer names the package and a CVE, outdated if it names a later version."""
-    answer = F.coalesce("answer", F.lit(""))
-    ids, pinned, latest = X.cves(answer), X.parse_version(X.pinned_version(F.col("version"))), X.latest_version(answer)
-    vulnerable = F.contains(F.lower(answer), F.lower("name")) & (F.size(ids) > 0)
-    behind = F.coalesce(latest > pinned, F.lit(False))
-    return found.select(
-        "*", F.when(answer == "", "unverified").when(vulnerable, "vulnerable").when(behind, "outdated").otherwise("checked").alias("status"),
-        F.when(vulnerable, X.severity_from_text(answer)).alias("severity"), F.array_join(ids, ",").alias("cves"), X.fixed_in(answer).alias("fixed_in"),
-        F.when(behind, X.distance_behind(pinned, latest)).alias("distance"), X.evidence_line(answer).alias("evidence"),
-    )

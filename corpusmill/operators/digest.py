@@ -51,6 +51,23 @@ def run_stats(files: DataFrame, findings: DataFrame, repo: list[str]) -> DataFra
     return sizes.join(counted, repo, "left").na.fill(0, [c for c in counted.columns if c not in repo])
 
 
+def full_stats(files: DataFrame, findings: DataFrame, repo: list[str], hotspots: DataFrame, links: DataFrame, deps: DataFrame, checked: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_stats`` with what other stages counted: hotspots(repo), links(repo, source, target), deps(repo, file_path, name),
+    checked(repo, status, query, reason: of ``review.verify``) and runs(repo, head_sha, elapsed). What is missing is 0.
+    """
+    n = F.count(F.lit(1))
+    ran = F.col("query").isNotNull() & ~F.coalesce(F.endswith("reason", F.lit("search failed")), F.lit(False))
+    sides = [
+        hotspots.groupBy(*repo).agg(n.alias("hotspot_count")), links.select(*repo, "source", "target").filter("source <> target").distinct().groupBy(*repo).agg(n.alias("graph_links")),
+        deps.groupBy(*repo).agg(F.count_distinct("file_path").alias("dependency_manifests"), n.alias("dependencies")),
+        checked.groupBy(*repo).agg(F.count_if(F.col("status") == "vulnerable").alias("vulnerable_dependencies"), F.count_if(F.col("status") == "outdated").alias("outdated_dependencies"), F.count_if(ran).alias("research_queries")),
+    ]
+    out = run_stats(files, findings, repo)
+    for side in sides:
+        out = out.join(side, repo, "left").na.fill(0, [c for c in side.columns if c not in repo])
+    return out.join(runs.select(*repo, "head_sha", F.round("elapsed", 2).alias("elapsed_seconds")), repo, "left")
+
+
 def tech_stack(files: DataFrame, deps: DataFrame, repo: list[str]) -> DataFrame:
     """A row for each repository of ``files`` (language, ord, is_manifest, is_document): primary_languages, python_share,
     manifest_count, document_count, framework_hints and dependency_evidence out of ``deps`` (name, file_path, ord).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,61 +15,96 @@ EMITTED = {".js": ".ts", ".jsx": ".tsx", ".mjs": ".mts", ".cjs": ".cts"}
 EXTERNAL = ["node:", "http://", "https://", "data:", "file:", "fs", "path", "os", "react", "next", "vue", "svelte", "angular", "lodash", "axios", "express"]
 
 
-def candidates(base: Column) -> Column:
-    """The paths that a base may stand for, best first."""
-    first = []
-    for emitted, source in EMITTED.items():
-        bare = F.expr("null")
-        ends = F.endswith(base, F.lit(emitted))
-        bare = F.regexp_replace(base, rf"\{emitted}$", "")
-        first += [F.when(ends, F.concat(bare, F.lit(source))), F.when(ends, F.concat(bare, F.lit("/index" + source)))]
-    rest = [F.concat(base, F.lit(e)) for e in ENDINGS] + [F.concat(base, F.lit("/__init__.py"))] + [F.concat(base, F.lit("/index" + e)) for e in ENDINGS]
-    return F.filter(F.array(*first, *rest, base), lambda c: c.isNotNull() & (c != ""))
+#: Place of a path that a base names as it stands, after every ending.
+_LITERAL = 99
+
+
+def _repo(df: DataFrame) -> Column:
+    return F.col("repo_id") if "repo_id" in df.columns else F.lit("").alias("repo_id")
 
 
 def _join(folder: Column, rest: Column) -> Column:
-    return X.normalise_path(F.when(folder == "", rest).otherwise(F.concat(folder, F.lit("/"), rest)))
+    return F.when(folder == "", rest).otherwise(F.concat(folder, F.lit("/"), rest))
+
+
+def _answers(paths: DataFrame) -> DataFrame:
+    """(repo_id, kind, key, found): for each way to name a file the best one of that name; found is (rank, depth, path).
+
+    Kind b: a base is the path without its ending (in the order of ENDINGS), the folder of a package or index file,
+    the base with an emitted ending, or the path itself. Kind s: every ending of such a base (but the emitted and
+    the literal), so that a search by suffix is an equi-join. Kind d: a stem in its folder. Keys are unique: what is
+    joined never multiplies, however many files share a name.
+    """
+    path = F.col("path")
+    depth, cases = 1 - F.size(F.split(path, "/")), []
+    for rank, (end, source) in enumerate(EMITTED.items()):
+        index = F.regexp_extract(path, rf"^(?:(.*)/)?index\{source}$", 1)
+        cases += [F.when(F.endswith(path, F.lit(source)), F.struct(F.lit(0).alias("rank"), F.concat(F.regexp_replace(path, rf"\{source}$", ""), F.lit(end)).alias("base")))]
+        cases += [F.when(path.rlike(rf"^(?:.*/)?index\{source}$"), F.struct(F.lit(1).alias("rank"), F.concat(index, F.lit(end)).alias("base")))]
+    plain = []
+    for k, end in enumerate(ENDINGS):
+        safe = end.replace(".", r"\.")
+        plain.append(F.when(F.endswith(path, F.lit(end)), F.struct(F.lit(2 + k).alias("rank"), F.regexp_replace(path, safe + "$", "").alias("base"))))
+        plain.append(F.when(path.rlike(rf"^(?:.*/)?index{safe}$"), F.struct(F.lit(3 + len(ENDINGS) + k).alias("rank"), F.regexp_extract(path, rf"^(?:(.*)/)?index{safe}$", 1).alias("base"))))
+    plain.append(F.when(path.rlike(r"^(?:.*/)?__init__\.py$"), F.struct(F.lit(2 + len(ENDINGS)).alias("rank"), F.regexp_extract(path, r"^(?:(.*)/)?__init__\.py$", 1).alias("base"))))
+    some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    named = paths.withColumns({"depth": depth, "plain": some(plain), "other": some([*cases, F.struct(F.lit(_LITERAL).alias("rank"), path.alias("base"))])})
+    found = lambda rank: F.struct(rank.alias("rank"), "depth", "path").alias("found")
+    bases = named.select("repo_id", "depth", "path", F.explode(F.concat("plain", "other")).alias("x")).select("repo_id", F.lit("b").alias("kind"), F.col("x.base").alias("key"), found(F.col("x.rank")))
+    pieces = F.split(F.col("x.base"), "/")
+    tails = named.select("repo_id", "depth", "path", F.explode("plain").alias("x")).filter("x.base <> ''").select("repo_id", "depth", "path", "x", F.explode(F.transform(pieces, lambda p, i: F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "/"))).alias("key"))
+    stems = named.select("repo_id", F.lit("d").alias("kind"), F.concat(X.dirname(path), F.lit("/"), X.stem(path)).alias("key"), found(F.lit(0)))
+    return bases.unionByName(tails.select("repo_id", F.lit("s").alias("kind"), "key", found(F.col("x.rank")))).unionByName(stems).groupBy("repo_id", "kind", "key").agg(F.min("found").alias("found"))
 
 
 def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges(source, target), externals(source, specifier)) of files(file_path, imports).
+    """(edges(repo_id, source, target), externals(repo_id, source, specifier)) of files(repo_id?, file_path, imports).
 
-    A specifier is relative (dots as in Python, or ./ and ../), rooted, or bare; each kind gives ordered candidates,
-    and the least place that is a file wins. Bare ones end with a match on any folder: every suffix of every path is
-    a row, so that the search is an equi-join; the deepest path wins. Self-imports are neither edge nor external.
+    A specifier is relative (dots as in Python, or ./ and ../), rooted, or bare. Each asks for one to five names in
+    order (``_answers``), all in one join by (repo_id, kind, name); the first that is a file of the repository wins.
+    A bare one asks for itself beside its source and at the root, then, if it is a single word, for that stem in
+    those folders, then for any path that ends with it, the deepest first. Self-imports are neither edge nor
+    external; null and blank specifiers and files without a path are left out.
     """
-    paths = files.select(X.normalise_path(F.col("file_path")).alias("path")).filter("path <> ''").distinct()
-    asked = files.select(X.normalise_path(F.col("file_path")).alias("source"), F.explode("imports").alias("raw")).filter("source <> ''").select("source", F.btrim("raw").alias("raw")).filter("raw <> ''").distinct()
-    head = F.when(F.contains("raw", F.lit(" import ")), F.btrim(F.substring_index("raw", " import ", 1))).otherwise(F.col("raw"))
-    tail = F.when(F.contains("raw", F.lit(" import ")), F.regexp_extract("raw", r" import \s*\(?\s*([\w]+)", 1)).otherwise("")
-    asked = asked.withColumn("s", head).withColumn("tail", tail).withColumn("folder", X.dirname(F.col("source")))
-    dotted = F.col("s").rlike(r"^\.") & ~F.col("s").rlike(r"^\.\.?/")
-    outside = ~F.col("s").rlike(r"^[./]") & F.col("s").rlike("^(?:" + "|".join(e.replace(".", r"\.").replace("/", "/") for e in EXTERNAL) + ")")
-    level = F.length(F.regexp_extract("s", r"^(\.+)", 1))
-    parts = F.split("folder", "/")
-    up = F.when(level <= 1, F.col("folder")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + 1, F.lit(0))), "/"))
-    rest = F.replace(F.regexp_replace("s", r"^\.+", ""), F.lit("."), F.lit("/"))
-    asked = asked.withColumn("up", F.when(dotted, up)).withColumn("rest", F.when(dotted, rest))
-    with_tail = F.when(F.col("tail") != "", candidates(_join(F.col("up"), F.concat_ws("/", F.when(F.col("rest") != "", F.col("rest")), "tail")))).otherwise(F.array().cast("array<string>"))
-    package = F.when(F.col("up") == "", F.array(F.lit("__init__.py"))).otherwise(F.array(F.concat("up", F.lit("/__init__.py"))))
-    python = F.when(F.col("rest") == "", F.concat(with_tail, package)).otherwise(F.concat(candidates(_join(F.col("up"), F.col("rest"))), with_tail))
-    relative = candidates(_join(F.col("folder"), F.col("s")))
-    rooted = candidates(X.normalise_path(F.col("s")))
-    bare = F.concat(candidates(_join(F.col("folder"), F.col("s"))), candidates(X.normalise_path(F.col("s"))))
-    exact = F.when(dotted, python).when(F.col("s").rlike(r"^\.\.?/"), relative).when(F.col("s").rlike("^/"), rooted).when(outside, F.array().cast("array<string>")).otherwise(bare)
-    asked = asked.withColumn("external", outside).withColumn("is_bare", ~dotted & ~F.col("s").rlike(r"^[./]") & ~outside)
-    direct = asked.select("source", "raw", F.posexplode(exact).alias("place", "path")).join(paths, "path").select("source", "raw", F.struct("place", F.lit(0).alias("depth"), "path").alias("found"))
-    pieces = F.split("path", "/")
-    suffixes = paths.select("path", F.explode(F.sequence(F.lit(1), F.size(pieces))).alias("k"), pieces.alias("p")).select("path", F.array_join(F.slice("p", F.col("k"), F.size("p")), "/").alias("suffix"), (1 - F.size("p")).alias("depth"))
-    stems = paths.select(X.stem(F.col("path")).alias("stem"), X.dirname(F.col("path")).alias("dir"), "path", (1 - F.size(pieces)).alias("depth"))
-    single = asked.filter(F.col("is_bare") & ~F.col("s").rlike("[./]"))
-    named = single.join(stems, F.col("s") == F.col("stem")).filter((F.col("dir") == "") | (F.col("dir") == F.col("folder"))).select("source", "raw", F.struct(F.lit(10_000).alias("place"), "depth", "path").alias("found"))
-    anywhere = asked.filter("is_bare").select("source", "raw", F.posexplode(candidates(X.normalise_path(F.replace("s", F.lit("."), F.lit("/"))))).alias("place", "suffix"))
-    loose = anywhere.join(suffixes, "suffix").select("source", "raw", F.struct((F.col("place") + 20_000).alias("place"), "depth", "path").alias("found"))
-    best = direct.unionByName(named).unionByName(loose).groupBy("source", "raw").agg(F.min("found").alias("found")).select("source", "raw", F.col("found.path").alias("target"))
-    joined = asked.select("source", "raw", "s").join(best, ["source", "raw"], "left")
-    edges = joined.filter(F.col("target").isNotNull() & (F.col("target") != F.col("source"))).select("source", "target").distinct()
-    return edges, joined.filter(F.col("target").isNull()).select("source", F.col("s").alias("specifier")).distinct()
+    known = files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("path")).filter("path <> ''").distinct()
+    asked = files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("source"), F.explode("imports").alias("raw")).filter("source <> '' and trim(raw) <> ''").distinct()
+    stripped, s, folder = F.btrim("raw"), F.col("s"), F.col("folder")
+    split = F.contains(stripped, F.lit(" import "))
+    asked = asked.withColumns({
+        "s": F.when(split, F.btrim(F.substring_index(stripped, " import ", 1))).otherwise(stripped),
+        "tail": F.when(split, F.btrim(F.split_part(F.btrim(F.regexp_extract(stripped, r"(?s)^.*? import (.*)$", 1)), F.lit(","), F.lit(1)))).otherwise(""),
+        "folder": X.dirname(F.col("source")),
+    })
+    outside = reduce(lambda a, b: a | b, [F.startswith(s, F.lit(e)) for e in EXTERNAL]) & ~s.rlike(r"^[./]")
+    slashed = s.rlike(r"^\.\.?/")
+    kind = F.when(outside, "external").when(F.startswith(s, F.lit(".")) & ~slashed, "python").when(slashed, "path").when(F.startswith(s, F.lit("/")), "root").otherwise("bare")
+    asked = asked.withColumn("shape", kind)
+    level, parts = F.length(F.regexp_extract(s, r"^(\.+)", 1)), F.split(folder, "/")
+    up = F.when(level <= 1, folder).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + 1, F.lit(0))), "/"))
+    rest, tail = F.replace(F.regexp_replace(s, r"^\.+", ""), F.lit("."), F.lit("/")), F.col("tail")
+    ask = lambda kind, key, place, literal: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(place).alias("place"), F.lit(literal).alias("literal"))
+    norm = X.normalise_path
+    inner = norm(_join(up, rest))
+    python = (
+        F.when((rest == "") & (tail != ""), F.array(ask("b", norm(_join(up, tail)), 0, False), ask("b", up, 1, True)))
+        .when(rest == "", F.array(ask("b", up, 1, True)))
+        .otherwise(F.array(ask("b", F.when(tail != "", norm(_join(inner, tail))).otherwise(inner), 0, True)))
+    )
+    here, alone = norm(_join(folder, s)), norm(s)
+    bare = F.array(
+        F.when(here != "", ask("b", here, 0, False)), F.when(alone != "", ask("b", alone, 1, False)),
+        F.when(~s.rlike("[./]"), ask("d", F.concat(folder, F.lit("/"), s), 2, False)), F.when(~s.rlike("[./]"), ask("d", F.concat(F.lit("/"), s), 2, False)),
+        F.when(alone != "", ask("s", F.replace(alone, F.lit("."), F.lit("/")), 3, False)),
+    )
+    from_root = F.regexp_replace(F.substring(s, 2, 1 << 20), "/+$", "")
+    rooted = F.array(F.when((from_root == "") | (norm(from_root) != ""), ask("b", norm(from_root), 0, True)))
+    names = F.when(F.col("shape") == "python", python).when(F.col("shape") == "path", F.array(ask("b", norm(_join(folder, s)), 0, True))).when(F.col("shape") == "root", rooted).when(F.col("shape") == "bare", bare)
+    wanted = asked.select("repo_id", "source", "raw", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("repo_id", "source", "raw", "x.*")
+    met = wanted.join(_answers(known), ["repo_id", "kind", "key"]).filter((F.col("found.rank") < _LITERAL) | F.col("literal"))
+    best = met.groupBy("repo_id", "source", "raw").agg(F.min(F.struct("place", "found")).alias("f")).select("repo_id", "source", "raw", F.col("f.found.path").alias("target"))
+    joined = asked.select("repo_id", "source", "raw").join(best, ["repo_id", "source", "raw"], "left")
+    edges = joined.filter("target <> source").select("repo_id", "source", "target").distinct()
+    return edges, joined.filter("target is null").select("repo_id", "source", F.col("raw").alias("specifier"))
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -118,10 +155,15 @@ def node_values(deg: DataFrame) -> DataFrame:
 
 
 def related(edges: DataFrame, files: DataFrame, cap: int = 2) -> DataFrame:
-    """file_path, other: up to ``cap`` files beside each one: linked either way, or of the same folder."""
-    pairs = edges.select(F.col("source").alias("file_path"), F.col("target").alias("other"))
-    linked = pairs.unionByName(pairs.select(F.col("other").alias("file_path"), F.col("file_path").alias("other"))).withColumn("far", F.lit(0))
-    placed = files.select("file_path", X.dirname(F.col("file_path")).alias("dir"))
-    beside = placed.join(placed.withColumnRenamed("file_path", "other"), "dir").filter("file_path <> other").select("file_path", "other", F.lit(1).alias("far"))
-    both = linked.unionByName(beside).groupBy("file_path", "other").agg(F.min("far").alias("far"))
-    return both.withColumn("n", F.row_number().over(Window.partitionBy("file_path").orderBy("far", "other"))).filter(F.col("n") <= cap).select("file_path", "other")
+    """file_path, other: up to ``cap`` files beside each one: linked either way, or of the same folder, by path.
+
+    Of a folder only the first cap + 1 files can stand beside another as neighbours, so no more meet the rest.
+    """
+    keys = [c for c in ("repo_id",) if c in files.columns]
+    pairs = edges.select(*keys, F.col("source").alias("file_path"), F.col("target").alias("other"))
+    linked = pairs.unionByName(pairs.select(*keys, F.col("other").alias("file_path"), F.col("file_path").alias("other"))).withColumn("far", F.lit(0))
+    placed = files.select(*keys, "file_path", X.dirname(F.col("file_path")).alias("dir"))
+    first = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "dir").orderBy("file_path"))).filter(F.col("_n") <= cap + 1).select(*keys, "dir", F.col("file_path").alias("other"))
+    beside = placed.join(first, [*keys, "dir"]).filter("file_path <> other").select(*keys, "file_path", "other", F.lit(1).alias("far"))
+    both = linked.unionByName(beside).filter("file_path <> other").groupBy(*keys, "file_path", "other").agg(F.min("far").alias("far"))
+    return both.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "file_path").orderBy("far", "other"))).filter(F.col("n") <= cap).select(*keys, "file_path", "other")

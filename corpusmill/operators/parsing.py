@@ -6,7 +6,7 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -28,6 +28,12 @@ IMPORTS = {
 _ALIASES = {"typescript": "javascript", "kotlin": "java", "scala": "java", "csharp": "java", "cpp": "c"}
 
 
+def imports(text: Column, language: str) -> Column:
+    """The imports of a text by the language's patterns, each once, as first found: an ARRAY<STRING> without Python."""
+    found = [F.regexp_extract_all(X.clean_lines(text), F.lit(p), F.lit(1)) for p in IMPORTS.get(_ALIASES.get(language, language), [])]
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
+
+
 def branches(node: ast.AST) -> int:
     return sum(isinstance(n, _BRANCHES) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(node))
 

@@ -2,77 +2,131 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
-# The scan's rules (id, severity, Java regex).
-RULES: list[tuple[str, str, str]] = [
-    ("hardcoded_secret", "CRITICAL", r"""(?idU)\b[\w.]*(?:api[_-]?key|secret|token|password|passwd|passphrase|credential|private[_-]?key)\w*\s*[:=]\s*["'][^"'\n]{12,}["']"""),
-    ("aws_access_key", "CRITICAL", r"(?dU)\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
-    ("private_key_block", "CRITICAL", r"(?dU)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----"),
-    ("github_token", "CRITICAL", r"(?dU)\b(gh[pousr]_[A-Za-z0-9]{36,})\b"),
-    ("slack_token", "HIGH", r"(?dU)\b(xox[abposr]-[A-Za-z0-9-]{10,})\b"),
-    ("unsafe_deserialization", "HIGH", r"(?dU)\b(pickle\.loads?|cPickle\.loads?|marshal\.loads?|yaml\.load\s*\((?![^)]*Loader\s*=)|dill\.loads?)\b"),
-    ("code_execution", "HIGH", r"(?dU)\b(eval|exec)\s*\("),
-    ("shell_injection", "HIGH", r"(?dU)(os\.system\s*\(|subprocess\.(?:run|call|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True|child_process\.exec\s*\()"),
-    ("sql_injection", "HIGH", r"""(?idU)(?:SELECT|INSERT|UPDATE|DELETE)\b[^\n]{0,160}?(?:%\s*\(?\s*\w|["']\s*\+\s*\w|\{\s*\w+\s*\}|f["'][^\n]*\{)"""),
-    ("path_traversal", "MEDIUM", r"(?dU)(?:os\.path\.join|path\.join|Path)\s*\([^)]*(?:request|params|args|query|user_input|input)\b"),
-    ("weak_hash", "MEDIUM", r"(?dU)\b(hashlib\.(?:md5|sha1)|createHash\s*\(\s*['\"](?:md5|sha1)['\"])"),
-    ("insecure_random", "MEDIUM", r"(?dU)\b(random\.(?:random|randint|choice|randrange)|Math\.random)\s*\("),
-    ("insecure_transport", "HIGH", r"(?dU)(verify\s*[:=]\s*(?:False|false|0)|rejectUnauthorized\s*:\s*false|curl\s+(?:-k|--insecure)\b|InsecureSkipVerify\s*:\s*true|ssl\._create_unverified_context)"),
-    ("debug_mode", "MEDIUM", r"(?idU)\b(DEBUG\s*=\s*True|debug\s*=\s*true)\b"),
-    ("xss_innerhtml", "MEDIUM", r"(?dU)\.innerHTML\s*=(?!\s*['\"`]\s*;?\s*$)[^=]"),
-    ("jwt_none_algorithm", "HIGH", r"""(?dU)(verify\s*=\s*False|algorithms\s*=\s*\[\s*["']none["']\s*\]|jwt\.decode\([^)]*verify\s*=\s*False)"""),
-    ("open_redirect", "MEDIUM", r"(?idU)(redirect|sendRedirect|location\.href\s*=\s*(?:document\.)?window\.(?:location|URLSearchParams))"),
-    ("cors_wildcard", "MEDIUM", r"""(?idU)(Access-Control-Allow-Origin[^\n]{0,40}\*|allow_origins\s*=\s*\[\s*["']\*["']\s*\])"""),
+
+class Rule(NamedTuple):
+    """A regex (Java), and what a finding of it says. ``anchors``: of each list one member must stand in the lowered text."""
+
+    id: str
+    name: str
+    severity: str
+    pattern: str
+    description: str = ""
+    recommendation: str = ""
+    anchors: tuple[tuple[str, ...], ...] = ()
+    languages: tuple[str, ...] = ()
+    skip_comments: bool = False
+
+
+# The scan's rules (id, name, severity, Java regex).
+RULES: list[Rule] = [
+    Rule("hardcoded_secret", "Hardcoded credential", "CRITICAL", r"""(?idU)\b[\w.]*(?:api[_-]?key|secret|token|password|passwd|passphrase|credential|private[_-]?key)\w*\s*[:=]\s*["'][^"'\n]{12,}["']""", "A literal is assigned to a name that speaks of a credential.", "Read it from the environment or a secret store, and rotate what was committed.", (("key", "secret", "token", "passw", "passphrase", "credential"), ('"', "'"), (":", "=")), skip_comments=True),
+    Rule("aws_access_key", "AWS access key id", "CRITICAL", r"(?dU)\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", "The text has the shape of an AWS access key id.", "Revoke the key and let the workload's role supply one.", (("akia", "asia"),)),
+    Rule("private_key_block", "Private key material", "CRITICAL", r"(?dU)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----", "The head of a PEM private key.", "Take the key out of the history, replace it, and keep its successor elsewhere.", (("private key-----",),)),
+    Rule("github_token", "GitHub personal access token", "CRITICAL", r"(?dU)\b(gh[pousr]_[A-Za-z0-9]{36,})\b", "A GitHub prefix and 36 or more token characters.", "Revoke the token; let the pipeline's secrets hold the next one.", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
+    Rule("slack_token", "Slack token", "HIGH", r"(?dU)\b(xox[abposr]-[A-Za-z0-9-]{10,})\b", "The shape of a Slack API token.", "Revoke the token and configure the next one at run time.", (("xox",),)),
+    Rule("unsafe_deserialization", "Unsafe deserialization", "HIGH", r"(?dU)\b(pickle\.loads?|cPickle\.loads?|marshal\.loads?|yaml\.load\s*\((?![^)]*Loader\s*=)|dill\.loads?)\b", "The loader runs code that its input names.", "Load data-only formats, or the loader's safe form.", ((".load",),)),
+    Rule("code_execution", "Dynamic code execution", "HIGH", r"(?dU)\b(eval|exec)\s*\(", "A string becomes running code.", "Choose among known functions, or parse the input.", (("eval", "exec"), ("(",))),
+    Rule("shell_injection", "Shell command execution", "HIGH", r"(?dU)(os\.system\s*\(|subprocess\.(?:run|call|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True|child_process\.exec\s*\()", "A shell interprets the command; what users supply in it becomes commands.", "Call the program with a list of arguments and without a shell.", (("os.system", "subprocess.", "child_process.exec"),)),
+    Rule("sql_injection", "SQL built by string formatting", "HIGH", r"""(?idU)(?:SELECT|INSERT|UPDATE|DELETE)\b[^\n]{0,160}?(?:%\s*\(?\s*\w|["']\s*\+\s*\w|\{\s*\w+\s*\}|f["'][^\n]*\{)""", "Values are written into the text of a statement.", "Bind values as parameters.", (("select", "insert", "update", "delete"), ("%", "+", "{"))),
+    Rule("path_traversal", "Unvalidated path join", "MEDIUM", r"(?dU)(?:os\.path\.join|path\.join|Path)\s*\([^)]*(?:request|params|args|query|user_input|input)\b", "A path is joined with what a request supplied.", "Resolve the path and refuse what lies outside its folder.", (("path",), ("request", "params", "args", "query", "input"))),
+    Rule("weak_hash", "Weak hash for security use", "MEDIUM", r"(?dU)\b(hashlib\.(?:md5|sha1)|createHash\s*\(\s*['\"](?:md5|sha1)['\"])", "MD5 and SHA-1 no longer resist forgery.", "Use SHA-256; for passwords a password hash.", (("hashlib.", "createhash"),)),
+    Rule("insecure_random", "Insecure randomness", "MEDIUM", r"(?dU)\b(random\.(?:random|randint|choice|randrange)|Math\.random)\s*\(", "The generator can be predicted.", "Use the system's secure source for tokens and keys.", (("random",), ("(",))),
+    Rule("insecure_transport", "TLS verification disabled", "HIGH", r"(?dU)(verify\s*[:=]\s*(?:False|false|0)|rejectUnauthorized\s*:\s*false|curl\s+(?:-k|--insecure)\b|InsecureSkipVerify\s*:\s*true|ssl\._create_unverified_context)", "Certificates are not checked, so anyone may answer.", "Check them, with the right authority installed.", (("verify", "rejectunauthorized", "curl", "_create_unverified_context"),)),
+    Rule("debug_mode", "Debug mode in production code", "MEDIUM", r"(?idU)\b(DEBUG\s*=\s*True|debug\s*=\s*true)\b", "Debugging shows internals to visitors.", "Let configuration switch it, off by default.", (("debug",),)),
+    Rule("xss_innerhtml", "Unescaped HTML injection", "MEDIUM", r"(?dU)\.innerHTML\s*=(?!\s*['\"`]\s*;?\s*$)[^=]", "Assigned markup is rendered as it stands.", "Assign text, or sanitise the markup.", ((".innerhtml",),)),
+    Rule("jwt_none_algorithm", "JWT signature not verified", "HIGH", r"""(?dU)(verify\s*=\s*False|algorithms\s*=\s*\[\s*["']none["']\s*\]|jwt\.decode\([^)]*verify\s*=\s*False)""", "A token is believed without its signature.", "Verify it against the issuer's key and a fixed algorithm.", (("verify", "algorithms", "jwt.decode"),)),
+    Rule("open_redirect", "Unvalidated redirect target", "MEDIUM", r"(?idU)(redirect|sendRedirect|location\.href\s*=\s*(?:document\.)?window\.(?:location|URLSearchParams))", "The target of a redirect comes from outside.", "Redirect to relative or listed targets alone.", (("redirect", "location.href"),)),
+    Rule("cors_wildcard", "Wildcard CORS with credentials", "MEDIUM", r"""(?idU)(Access-Control-Allow-Origin[^\n]{0,40}\*|allow_origins\s*=\s*\[\s*["']\*["']\s*\])""", "Every origin may read the answer.", "Name the origins that need it.", (("access-control-allow-origin", "allow_origins"), ("*",))),
 ]
+# Names of credentials, and a value long enough to be judged by its entropy.
 ASSIGNMENT = r"""(?iU)\b([A-Za-z0-9_]*(?:key|secret|token|password|passwd|credential|auth)[A-Za-z0-9_]*)\s*[:=]\s*["']([^"'\n]{24,})["']"""
-#: Rules whose matches on comments and placeholder lines don't count.
-SKIP_COMMENTS = ("hardcoded_secret",)
-PER_RULE = 5
+ENTROPY = Rule("high_entropy_value", "High-entropy value assigned to a credential-like name", "HIGH", ASSIGNMENT, "A value with the entropy of a generated key.", "Rotate it if it is real, and load it from configuration.", (("key", "secret", "token", "passw", "credential", "auth"), ('"', "'"), (":", "=")))
+#: A cheaper pattern that every match of the two credential patterns satisfies.
+_ASSIGNED = r"""(?iU)(?:key|secret|token|password|passwd|passphrase|credential|auth)\w*\s*[:=]\s*["']"""
+PER_RULE, LONGEST_LINE = 5, 1000
 _CUT = "\x01"
+_HIT = "array<struct<line:int,text:string,value:string>>"
+
+
+def _fires(rule: Rule) -> Column:
+    """Whether the rule may fire on ``content`` (lowered: ``low``): the cheap tests stand first and spare most regexes."""
+    tests = [reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in group]) for group in rule.anchors]
+    if rule.pattern in (ASSIGNMENT, RULES[0].pattern):
+        tests.append(F.col("content").rlike(_ASSIGNED))
+    if rule.languages:
+        tests.append(F.coalesce(F.col("language").isin("", *rule.languages), F.lit(True)))
+    return reduce(lambda a, b: a & b, [*tests, F.col("content").rlike(rule.pattern)])
+
+
+def _matched(rule: Rule, per_rule: int) -> Column:
+    """The first ``per_rule`` lines on which a match begins: matches are marked in the whole text, which is then cut at its line ends."""
+    marked = F.transform(F.split(F.regexp_replace("content", rule.pattern, _CUT + "$0"), "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    hits = F.transform(F.filter(marked, lambda h: F.contains(h["text"], F.lit(_CUT))), lambda h: F.struct(h["line"].alias("line"), F.replace(h["text"], F.lit(_CUT), F.lit("")).alias("text"), F.lit(None).cast("string").alias("value")))
+    if rule.skip_comments:
+        hits = F.filter(hits, lambda h: ~(X.is_comment(h["text"]) | X.snippet(h["text"]).rlike(X.LOW_SIGNAL)))
+    return F.slice(hits, 1, per_rule)
 
 
-def rule_findings(files: DataFrame, rules: list[tuple[str, str, str]] = RULES, per_rule: int = PER_RULE) -> DataFrame:
-    """file_path, rule, severity, line, snippet: at most ``per_rule`` lines of a file for each rule, the first ones.
+def _random() -> Column:
+    """Every value under the name of a credential, by line; whether it looks random is judged later."""
+    lines = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    kept = F.filter(lines, lambda h: (F.length(h["text"]) <= LONGEST_LINE) & h["text"].rlike(ASSIGNMENT) & ~X.is_comment(h["text"]) & ~h["text"].rlike(X.LOW_SIGNAL))
+    values = F.transform(kept, lambda h: F.transform(F.regexp_extract_all(h["text"], F.lit(ASSIGNMENT), F.lit(2)), lambda v: F.struct(h["line"].alias("line"), h["text"].alias("text"), v.alias("value"))))
+    return F.filter(F.flatten(values), lambda h: ~h["value"].rlike(X.NOT_SECRET))
 
-    Each regex stays a literal. A file that no rule matches leaves the plan before any text is cut up; a match's line
-    is one more than the line ends before it, a running sum over the pieces between matches.
+
+def _keys(files: DataFrame) -> list[str]:
+    return [c for c in ("repo_id", "file_path") if c in files.columns]
+
+
+def findings(files: DataFrame, rules: Sequence[Rule] = RULES, per_rule: int = PER_RULE, entropy: bool = True) -> DataFrame:
+    """Located findings of files(repo_id?, file_path, content, language?, is_manifest?, is_document?), an id for each place.
+
+    Of each rule the first ``per_rule`` lines of a file, and every random-looking value under the name of a
+    credential. One pass without a shuffle: a text is cleaned once, a regex sees only texts with its anchors, and
+    only texts that match are cut up, in time linear in their length. Manifests, documents, empty and null texts have
+    none; a repeated file has its findings as often.
     """
-    texts = files.select("file_path", F.replace(X.clean_lines(F.col("content")), F.lit(_CUT), F.lit(" ")).alias("content"))
-    hits = F.filter(F.array(*[F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("no"), F.lit(i).alias("same"))) for i, (_, _, p) in enumerate(rules)]), lambda x: x.isNotNull())
-    some = texts.withColumn("hits", hits).filter(F.size("hits") > 0)
-    cut = reduce(lambda c, ip: c.when(F.col("no") == ip[0], F.regexp_replace("content", ip[1][2], _CUT + "$0")), list(enumerate(rules))[1:], F.when(F.col("no") == 0, F.regexp_replace("content", rules[0][2], _CUT + "$0")))
-    pieces = some.select("file_path", "content", F.explode("hits.no").alias("no")).select("file_path", "content", "no", F.split(cut, _CUT).alias("pieces"))
-    ends = F.transform("pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"))))
-    lines = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: 1 + F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    located = pieces.filter(F.size("pieces") > 1).select("file_path", "no", F.split("content", "\n").alias("all"), F.explode(F.array_distinct(lines)).alias("line"))
-    located = located.select("file_path", "no", "line", F.element_at("all", F.col("line")).alias("text"))
-    name = F.element_at(F.array(*[F.lit(r[0]) for r in rules]), F.col("no") + 1)
-    severity = F.element_at(F.array(*[F.lit(r[1]) for r in rules]), F.col("no") + 1)
-    kept = located.withColumn("rule", name).withColumn("severity", severity).filter(~F.col("rule").isin(*SKIP_COMMENTS) | ~(X.is_comment(F.col("text")) | F.col("text").rlike(X.LOW_SIGNAL)))
-    place = F.row_number().over(Window.partitionBy("file_path", "rule").orderBy("line"))
-    return kept.withColumn("place", place).filter(F.col("place") <= per_rule).select("file_path", "rule", "severity", F.col("line").cast("bigint").alias("line"), X.snippet(F.col("text")).alias("snippet"))
+    keys, every = _keys(files), [*rules, *([ENTROPY] if entropy else [])]
+    for flag in ("is_manifest", "is_document"):
+        if flag in files.columns:
+            files = files.filter(~F.coalesce(flag, F.lit(False)))
+    language = F.col("language") if "language" in files.columns else F.lit("")
+    content = F.when(F.contains("content", F.lit("\r")), X.clean_lines(F.col("content"))).otherwise(F.col("content"))
+    texts = files.filter("content <> ''").select(*keys, language.alias("language"), F.translate(content, _CUT, " ").alias("content"))
+    # upper case first: it gives what a regex that ignores case takes for an ASCII letter
+    texts = texts.withColumn("low", F.lower(F.upper("content")))
+    fired = F.filter(F.array(*[F.when(_fires(r), F.lit(i)) for i, r in enumerate(every)]), lambda x: x.isNotNull())
+    some = texts.select(*keys, "content", F.explode(fired).alias("no"))
+    hits = F.lit(None).cast(_HIT)
+    for i, rule in enumerate(every):
+        hits = F.when(F.col("no") == i, _random() if rule is ENTROPY else _matched(rule, per_rule)).otherwise(hits)
+    located = some.select(*keys, "no", F.explode(hits).alias("h")).select(*keys, "no", "h.line", "h.text", "h.value")
+    if entropy:
+        located = located.withColumn("entropy", F.when(F.col("value").isNotNull(), X.entropy(F.col("value")))).filter(F.col("value").isNull() | X.looks_random(F.col("value"), F.col("entropy")))
+    else:
+        located = located.withColumn("entropy", F.lit(None).cast("double"))
+    say = lambda field: F.element_at(F.array(*[F.lit(getattr(r, field)) for r in every]), F.col("no") + 1)
+    random = F.col("value").isNotNull()
+    return located.select(
+        F.concat_ws(":", say("id"), "file_path", "line").alias("id"), *keys, say("id").alias("rule"), say("name").alias("name"), say("severity").alias("severity"), say("description").alias("description"),
+        F.col("line").cast("bigint").alias("line"), X.snippet(F.col("text")).alias("snippet"), say("recommendation").alias("recommendation"), F.when(random, "entropy").otherwise("pattern").alias("detector"),
+        F.when(F.col("entropy") < 4.6, "low").otherwise("medium").alias("confidence"), F.lit("static-analysis").alias("source"), F.lit("pending").alias("triage"), "entropy",
+    )
+
+
+def rule_findings(files: DataFrame, rules: Sequence[Rule] = RULES, per_rule: int = PER_RULE) -> DataFrame:
+    return findings(files, rules, per_rule, entropy=False).drop("entropy")
 
 
 def entropy_findings(files: DataFrame) -> DataFrame:
-    """file_path, rule, severity, line, snippet, entropy: random-looking values under names of credentials."""
-    lines = files.filter(F.col("content").rlike(ASSIGNMENT)).select("file_path", F.posexplode(F.split(X.clean_lines(F.col("content")), "\n")).alias("at", "text"))
-    lines = lines.filter((F.length("text") <= 1000) & F.col("text").rlike(ASSIGNMENT) & ~X.is_comment(F.col("text")) & ~F.col("text").rlike(X.LOW_SIGNAL))
-    values = lines.select("file_path", (F.col("at") + 1).cast("bigint").alias("line"), "text", F.explode(F.regexp_extract_all("text", F.lit(ASSIGNMENT), F.lit(2))).alias("value")).filter(~F.col("value").rlike(X.NOT_SECRET))
-    scored = values.withColumn("entropy", X.entropy(F.col("value"))).filter(X.looks_random(F.col("value"), F.col("entropy")))
-    return scored.select("file_path", F.lit("high_entropy_value").alias("rule"), F.lit("HIGH").alias("severity"), "line", X.snippet(F.col("text")).alias("snippet"), "entropy")
-
-
-def findings(files: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Both kinds, with id ``rule:path:line``, detector, confidence, source and triage."""
-    both = rule_findings(files, rules).withColumn("entropy", F.lit(None).cast("double")).unionByName(entropy_findings(files))
-    by_entropy = F.col("rule") == "high_entropy_value"
-    return both.select(
-        F.concat_ws(":", "rule", "file_path", "line").alias("id"), "*", F.when(by_entropy, "entropy").otherwise("pattern").alias("detector"),
-        F.when(~by_entropy, "high").when(F.col("entropy") >= 4.6, "medium").otherwise("low").alias("confidence"), F.lit("static-analysis").alias("source"), F.lit("pending").alias("triage"),
-    )
+    return findings(files, [])

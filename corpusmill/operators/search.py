@@ -50,7 +50,10 @@ def languages(files: DataFrame) -> DataFrame:
 
 
 def model_context_score(files: DataFrame) -> DataFrame:
+    """Files with a ``context_score`` above 0, the highest first; documents are left out."""
     f = F.col
+    if "is_document" in files.columns:
+        files = files.filter(~F.coalesce("is_document", F.lit(False)))
     score = F.when(f("is_entry"), 40).otherwise(0) + F.least(F.lit(20), 8 * f("finding_count")) + F.least(F.lit(15.0), f("complexity") / 8) + F.least(F.lit(10), f("fan_in")) + F.when(f("is_manifest"), 5).otherwise(0)
     return files.withColumn("context_score", score).filter(F.col("context_score") > 0).orderBy(F.desc("context_score"), "file_path")
 

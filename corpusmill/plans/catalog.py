@@ -7,7 +7,6 @@ that touch parts, suppliers refer to parts, labels are verdicts, events are requ
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +15,10 @@ from ..functions import exprs as X
 from ..operators import churn, digest, findings, graph, hotspots, scan, search
 from ..sources import snapshots
 from ..streaming import limits
+from . import code, passes, results  # noqa: F401  their queries register themselves
+from .registry import ORACLE_SQL, QUERIES, found_sql, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("doc_id").alias("ord"))
@@ -52,19 +37,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FILES = "files AS (SELECT source || '/' || doc_id AS file_path, text AS content, lang AS language, doc_id FROM documents WHERE text IS NOT NULL)"
 _LINES = f"{_FILES}, lines AS (SELECT file_path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files)"
-_NOT_COMMENT = r"NOT regexp_matches(ltrim(t), '^(#|//|\*|/\*|\"\"\"|''''''|--)')"
-_SIGNAL = r"NOT regexp_matches(t, '(?i)\b(example|sample|placeholder|example\.com|xxx+|your[_-]?\w+|todo|fixme|mock|dummy|redacted|changeme)\b')"
-_SECRET = r"""'(?i)\b[\w.]*(?:api[_-]?key|secret|token|password|passwd|passphrase|credential|private[_-]?key)\w*\s*[:=]\s*["''][^"''\n]{12,}["'']'"""
-_VALUE = r"""'(?i)\b([A-Za-z0-9_]*(?:key|secret|token|password|passwd|credential|auth)[A-Za-z0-9_]*)\s*[:=]\s*["'']([^"''\n]{24,})["'']'"""
-_FOUND = f"""{_LINES},
-    pattern AS (SELECT file_path, 'hardcoded_secret' AS rule, 'CRITICAL' AS severity, line, t, CAST(NULL AS DOUBLE) AS entropy FROM lines
-        WHERE regexp_matches(t, {_SECRET}) AND {_NOT_COMMENT} AND {_SIGNAL} QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line) <= 5),
-    vals AS (SELECT file_path, line, t, unnest(regexp_extract_all(t, {_VALUE}, 2)) AS v FROM lines WHERE length(t) <= 1000 AND {_NOT_COMMENT} AND {_SIGNAL}),
-    scored AS (SELECT *, abs(-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v))))) AS h FROM vals
-        WHERE NOT regexp_matches(v, '^(?:https?://|[./\\\\]|[\\w./-]*\\{{|%s|\\$\\{{)')),
-    random AS (SELECT file_path, 'high_entropy_value' AS rule, 'HIGH' AS severity, line, t, h AS entropy FROM scored
-        WHERE NOT regexp_matches(v, '\\s') AND (h >= 4.2 OR (length(v) >= 32 AND h >= 3.5 AND (regexp_matches(v, '^[0-9a-fA-F]+$') OR len(list_distinct(string_split(v, ''))) >= 12)))),
-    found AS (SELECT * FROM pattern UNION ALL SELECT * FROM random)"""
+_FOUND = f"{_LINES}, {found_sql('lines', 'file_path')}"
 
 
 @query(f"WITH {_FOUND} SELECT severity, count(*) AS total, 0 AS dismissed, count(DISTINCT file_path) AS files_affected FROM found GROUP BY severity")
@@ -145,13 +118,6 @@ def graph_metrics(spark, sf_dir):
     return graph.metrics(edges(spark, sf_dir), part.select(F.concat(F.lit("p"), "p_partkey").alias("node")), part.select(F.lit("x").alias("source"), F.col("p_type").alias("specifier")))
 
 
-@query("WITH f AS (SELECT doc_id, source FROM documents) SELECT DISTINCT a.source || '/' || a.doc_id || '.py' AS source, b.source || '/' || b.doc_id || '.py' AS target FROM f a JOIN f b ON a.source = b.source AND b.doc_id = a.doc_id + 20")
-def import_resolution(spark, sf_dir):
-    """Each document as a module that imports the one 20 ids on from its own folder, and a stranger."""
-    f = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("file_path"), F.array(F.concat(F.lit("./"), (F.col("doc_id") + 20).cast("string")), F.lit("node:fs")).alias("imports"))
-    return graph.resolve(f)[0]
-
-
 _HOT = f"""{_DEGREES}, ch AS (SELECT l_partkey AS path, count(*) AS commits, sum(CAST(l_quantity AS BIGINT)) AS total_changes, count_if(l_returnflag = 'R') AS finding_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
     j AS (SELECT p_partkey AS file_path, p_size AS complexity, CAST(floor(p_retailprice) AS BIGINT) AS loc, coalesce(fan_in, 0) AS fan_in, coalesce(commits, 0) AS commits, coalesce(total_changes, 0) AS total_changes, coalesce(finding_count, 0) AS finding_count
         FROM part LEFT JOIN deg ON node = 'p' || p_partkey LEFT JOIN ch ON path = p_partkey),
@@ -198,11 +164,6 @@ def path_relevance(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.relevance(F.regexp_replace("url", "^https?://", ""), X.query_terms(F.lit("show me the example"))).cast("int").alias("relevance"))
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT url LIKE 'https://%' THEN 'scheme' WHEN split_part(split_part(url, '//', 2), '/', 1) NOT IN ('github.com', 'www.github.com') THEN 'host' ELSE 'other' END AS reason FROM pages) GROUP BY reason""")
-def url_admission(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(X.admit_url(F.col("url")).alias("a")).groupBy(F.when(F.col("a.reason").isin("scheme", "host"), F.col("a.reason")).otherwise("other").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT conv_id AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")
 def joined_answers(spark, sf_dir):
     pieces = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,23 +18,49 @@ DOCUMENTS = ["readme.md", "readme", "readme.rst", "license", "license.md", "make
 MOST_FILES, SOURCE_BYTES, MANIFEST_BYTES = 250, 200_000, 2_000_000
 
 
-def scan(spark: SparkSession, root: str, most: int = MOST_FILES) -> DataFrame:
-    """file_path, language, content, is_manifest, is_document, ord, truncated of one repository's folder.
+def collected(listing: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """Of a listing(repo_id, file_path, length) the files that a scan takes, with is_manifest, is_document, ord and truncated.
+
+    Names and sizes decide. Each repository's first ``most`` in walk order are kept; ``truncated`` tells that it had more.
+    """
+    path = F.col("file_path")
+    name, ext = F.lower(X.basename(path)), X.extension(path)
+    flagged = listing.withColumns({"is_manifest": name.isin(*MANIFESTS), "is_document": name.isin(*DOCUMENTS)})
+    described = F.col("is_manifest") | F.col("is_document")
+    wanted = flagged.filter(~F.arrays_overlap(F.split(X.dirname(path), "/"), F.array(*map(F.lit, SKIP))) & (ext.isin(*SOURCES) | described))
+    wanted = wanted.filter((F.col("length") <= F.when(described, MANIFEST_BYTES).otherwise(SOURCE_BYTES)) & (F.col("is_manifest") | ~X.is_generated(path)))
+    placed = wanted.withColumn("ord", F.row_number().over(Window.partitionBy("repo_id").orderBy(X.walk_key(path))))
+    kept = placed.filter(F.col("ord") <= most + 1)  # one more tells that there were more
+    return kept.withColumn("truncated", F.max("ord").over(Window.partitionBy("repo_id")) > most).filter(F.col("ord") <= most)
+
+
+def scan_all(spark: SparkSession, roots: dict[str, str], most: int = MOST_FILES) -> DataFrame:
+    """repo_id, file_path, language, content, is_manifest, is_document, ord, truncated of repositories' folders by repo_id.
 
-    Names and sizes decide before any content is read: the filters reach the listing, and only collected files open.
-    The first ``most`` in walk order are kept; ``truncated`` tells that more were there.
+    The listing's filters come before any content is read: only collected files are opened.
     """
-    base = "file:" + os.path.realpath(root) if "://" not in root else root
+    tops = {r: ("file:" + os.path.realpath(t) if "://" not in t else t).rstrip("/") + "/" for r, t in roots.items()}
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots.values())).withColumn("uri", F.regexp_replace("path", "^file:/+", "file:/"))
+    repo = reduce(lambda c, t: F.when(F.startswith("uri", F.lit(t[1])), F.lit(t[0])).otherwise(c), sorted(tops.items(), key=lambda t: len(t[1])), F.lit(None).cast("string"))
+    top = reduce(lambda c, t: F.when(F.col("repo_id") == t[0], F.lit(len(t[1]))).otherwise(c), tops.items(), F.lit(0))
+    listed = raw.withColumn("repo_id", repo).withColumn("file_path", F.substring(F.col("uri"), top + 1, F.lit(1 << 20)))
+    chosen = collected(listed.select("repo_id", "file_path", "length"), most).drop("length")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return listed.select("repo_id", "file_path", "content").join(chosen, ["repo_id", "file_path"]).select(
+        "repo_id", "file_path", F.when(F.col("is_document"), "document").otherwise(X.language(F.col("file_path"))).alias("language"), X.clean_lines(text).alias("content"), "is_manifest", "is_document", "ord", "truncated"
+    )
+
+
+def scan(spark: SparkSession, root: str, most: int = MOST_FILES) -> DataFrame:
+    """``scan_all`` of one folder, without its id."""
+    return scan_all(spark, {"": root}, most).drop("repo_id")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """repo_id (blank), file_path, length of every file below a folder; nothing is opened."""
+    top = ("file:" + os.path.realpath(root) if "://" not in root else root).rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + base.replace("file:/", "file:/").rstrip("/") + "/", "")
-    name, ext = F.lower(X.basename(F.col("file_path"))), X.extension(F.col("file_path"))
-    listed = raw.withColumn("file_path", path).withColumn("is_manifest", name.isin(*MANIFESTS)).withColumn("is_document", name.isin(*DOCUMENTS))
-    wanted = listed.filter(~F.arrays_overlap(F.split(X.dirname(F.col("file_path")), "/"), F.array(*map(F.lit, SKIP)))).filter(ext.isin(*SOURCES) | F.col("is_manifest") | F.col("is_document"))
-    wanted = wanted.filter(F.col("length") <= F.when(F.col("is_manifest") | F.col("is_document"), MANIFEST_BYTES).otherwise(SOURCE_BYTES)).filter(F.col("is_manifest") | ~X.is_generated(F.col("file_path")))
-    names = wanted.select("file_path").withColumn("ord", F.row_number().over(Window.orderBy(X.walk_key(F.col("file_path")))))
-    kept = names.filter(F.col("ord") <= most).crossJoin(names.agg((F.count(F.lit(1)) > most).alias("truncated")))
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return wanted.join(F.broadcast(kept), "file_path").select("file_path", X.language(F.col("file_path")).alias("language"), X.clean_lines(text).alias("content"), "is_manifest", "is_document", "ord", "truncated")
+    return raw.select(F.lit("").alias("repo_id"), F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(top) + 1, 1 << 20).alias("file_path"), "length")
 
 
 def confined(root: str, path: str) -> str:

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import time
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 @dataclass
@@ -83,3 +88,59 @@ def fold(deltas: list[str | None]) -> list[tuple[str, str]]:
         out.append(("delta", pending))
         shown = True
     return [*out, ("done", "true")] if shown else [("error", "empty"), ("done", "false")]
+
+
+def answer_events(deltas: DataFrame, sources: DataFrame) -> DataFrame:
+    """stream_id, place, event, data of answers: their sources (JSON) first, then what ``fold`` makes of deltas(stream_id, seq, piece).
+
+    sources(stream_id, file_path, place). A null piece is where a stream broke. A stream of sources alone is empty,
+    and so an error. The pieces of one answer are one group.
+    """
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("place", "file_path"))), lambda x: x["file_path"])
+    named = sources.groupBy("stream_id").agg(F.to_json(paths).alias("_sources"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", na_position="first")
+        head, here = pdf["_sources"].iloc[0], pdf[pdf["seq"].notna()]
+        pieces = [None if p is None or p != p else p for p in here["piece"]]
+        out = [("sources", head if isinstance(head, str) else "[]"), *fold(pieces)]
+        return pd.DataFrame([(pdf["stream_id"].iloc[0], i, *e) for i, e in enumerate(out)], columns=["stream_id", "place", "event", "data"])
+
+    kind = dict(deltas.dtypes)["stream_id"]
+    return deltas.select("stream_id", "seq", "piece").join(named, "stream_id", "full").groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, place int, event string, data string")
+
+
+def subscribe(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """subscriber, job, seq, message, replayed: every subscriber(subscriber, job, at) gets all messages(job, seq, at, message) of its job.
+
+    Those before it came are replayed, in order, and the rest follows; so each sees the same sequence.
+    """
+    own = subscribers.select("subscriber", "job", F.col("at").alias("_since"))
+    return messages.join(own, "job").select("subscriber", "job", "seq", "message", (F.col("at") < F.col("_since")).alias("replayed"))
+
+
+def frame(event: Column, data: Column) -> Column:
+    """An event as text: its name, a data line for each line, a blank line."""
+    lines = F.transform(F.split(F.coalesce(data, F.lit("")), "\r\n|\r|\n"), lambda x: F.concat(F.lit("data: "), x))
+    return F.concat(F.lit("event: "), event, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n\n"))
+
+
+def sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Starts a stream(stream_id, place, event, data) whose events reach ``write`` framed, batch after batch; a batch seen again has its number."""
+    framed = stream.withColumn("frame", frame(F.col("event"), F.col("data")))
+    return framed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def restarted(open_stream: Callable[[], Iterator[str]], attempts: int = 3, wait: Callable[[int], float] = lambda k: 0.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
+    """The pieces of a stream, opened again where it fails before its first piece; never after, for pieces would come twice."""
+    for k in range(attempts):
+        begun = False
+        try:
+            for piece in open_stream():
+                begun = True
+                yield piece
+            return
+        except Exception:
+            if begun or k + 1 == attempts:
+                raise
+            sleep(wait(k))

@@ -24,13 +24,13 @@ class Bucket(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         tokens, updated = self.state.get() if self.state.exists() else (None, 0.0)
-        for pdf in rows:
-            pdf, out = pdf.sort_values(["at", "event_id"]), []
-            for at, event in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), strict=True):
-                tokens, allowed, wait = take(tokens, updated, at, self.capacity, self.window)
-                updated = max(updated, at)
-                out.append((key[0], event, allowed, wait))
-            yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "retry_after"])
+        # a key's rows of one batch may come in several frames, and in any order
+        pdf, out = pd.concat(list(rows)).sort_values(["at", "event_id"]), []
+        for at, event in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), strict=True):
+            tokens, allowed, wait = take(tokens, updated, at, self.capacity, self.window)
+            updated = max(updated, at)
+            out.append((key[0], event, allowed, wait))
+        yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "retry_after"])
         if tokens is not None:
             self.state.update((tokens, updated))
 
@@ -44,19 +44,65 @@ OUT = "key string, event_id long, allowed boolean, retry_after double"
 def limit(requests: DataFrame, capacity: int, window: int, idle_ms: int | None = None) -> DataFrame:
     """Decides requests(key, at in seconds, event_id), stream or batch; state is keyed, so the shuffle is by key."""
     if not requests.isStreaming:
-        return requests.groupBy("key").applyInPandas(lambda pdf: _all(pdf, capacity, window), OUT)
+        ordered = requests.select("key", "at", "event_id").repartition("key").sortWithinPartitions("key", "at", "event_id")
+        return ordered.mapInPandas(_in_turn(capacity, window), OUT)
     return requests.groupBy("key").transformWithStateInPandas(Bucket(capacity, window, idle_ms), OUT, "Append", "ProcessingTime" if idle_ms else "None")
 
 
-def _all(pdf: pd.DataFrame, capacity: int, window: int) -> pd.DataFrame:
-    tokens, updated, out = None, 0.0, []
-    for row in pdf.sort_values(["at", "event_id"]).itertuples():
-        tokens, allowed, wait = take(tokens, updated, row.at, capacity, window)
-        updated = max(updated, row.at)
-        out.append((row.key, row.event_id, allowed, wait))
-    return pd.DataFrame(out, columns=["key", "event_id", "allowed", "retry_after"])
+def _in_turn(capacity: int, window: int):
+    """Sorted requests, key after key, frame after frame: of a key only its bucket is held, however many requests it has."""
+
+    def run(batches):
+        key, tokens, updated = None, None, 0.0
+        for pdf in batches:
+            out = []
+            for k, at, event in zip(pdf["key"].tolist(), pdf["at"].tolist(), pdf["event_id"].tolist(), strict=True):
+                if k != key:
+                    key, tokens, updated = k, None, 0.0
+                tokens, allowed, wait = take(tokens, updated, at, capacity, window)
+                updated = max(updated, at)
+                out.append((k, event, allowed, wait))
+            yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "retry_after"])
+
+    return run
 
 
 def coalesce(requests: DataFrame, keys: list[str], grace: str = "300 seconds") -> DataFrame:
-    """Like requests within the grace start one run; requests(…, ts) is a stream."""
+    """Like requests within the grace start one run; requests(..., ts) is a stream."""
     return requests.withWatermark("ts", grace).dropDuplicatesWithinWatermark(keys)
+
+
+# Seconds after its start in which a run is joined though it has ended, and runs at once.
+GRACE, AT_ONCE = 300, 4
+
+
+def decide(requests: list[tuple[float, str, float]], grace: float = GRACE, at_once: int = AT_ONCE) -> list[tuple[str, float | None]]:
+    """(started, attached or rejected; when its run began) for each (at, url, seconds a run takes), in order of time.
+
+    A run that goes on, or began less than ``grace`` ago, is joined; another starts unless as many as ``at_once`` go on.
+    """
+    jobs: dict[str, tuple[float, float]] = {}
+    out: list[tuple[str, float | None]] = []
+    for at, url, seconds in requests:
+        jobs = {u: j for u, j in jobs.items() if j[1] > at or at - j[0] <= grace}
+        held = jobs.get(url)
+        if held and (held[1] > at or at - held[0] < grace):
+            out.append(("attached", held[0]))
+        elif sum(end > at for _, end in jobs.values()) >= at_once:
+            out.append(("rejected", None))
+        else:
+            jobs[url] = (at, at + seconds)
+            out.append(("started", at))
+    return out
+
+
+def admit_runs(requests: DataFrame, grace: float = GRACE, at_once: int = AT_ONCE) -> DataFrame:
+    """requests(instance, event_id, url, at, seconds) with decision and started_at; the runs of an instance are one sequence."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "event_id"])
+        said = decide(list(zip(pdf["at"], pdf["url"], pdf["seconds"], strict=True)), grace, at_once)
+        return pd.DataFrame({"instance": pdf["instance"], "event_id": pdf["event_id"], "decision": [d for d, _ in said], "started_at": [s for _, s in said]})
+
+    shape = f"instance {dict(requests.dtypes)['instance']}, event_id long, decision string, started_at double"
+    return requests.select("instance", "event_id", "url", "at", "seconds").groupBy("instance").applyInPandas(run, shape)
