@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import time
@@ -80,7 +81,7 @@ def _write_batches(folder: str, limit: int):
         def close():
             zipped.close()
             out.close()
-            store.move(f"{path}/.{attempt}-{name}", f"{path}/{name}")  # whole archives alone get their names; a rerun task writes the same again
+            shared.publish(store, f"{path}/.{attempt}-{name}", f"{path}/{name}")
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
@@ -135,7 +136,7 @@ class ArchiveReader(DataSourceReader):
             return
         store, _ = shared.open_store(self.folder)
         with store.open_input_file(partition.path) as f:
-            members = [i for i in zipfile.ZipFile(f).infolist() if partition.begin <= i.header_offset < partition.end]
+            members = [i for i in self._directory(store, partition.path, f) if partition.begin <= i.header_offset < partition.end]
             held, size = [], 0
             for info in members:
                 media = self._member(store, partition.path, f, info)
@@ -148,21 +149,33 @@ class ArchiveReader(DataSourceReader):
             if held:
                 yield _batch(held)
 
+    def _directory(self, store, path: str, f) -> list[zipfile.ZipInfo]:
+        """The archive's members; after a failure read again, through a new handle."""
+        for turn in range(self.retries + 1):
+            try:
+                with contextlib.nullcontext(f) if not turn else store.open_input_file(path) as handle:
+                    return zipfile.ZipFile(handle).infolist()
+            except OSError:
+                if turn == self.retries:
+                    raise
+                time.sleep(0.05 * 2**turn)
+        raise AssertionError
+
     def _member(self, store, path: str, f, info) -> bytes:
         """The member at its own offset, checked; after a failure it alone is read again, through a new handle."""
         for turn in range(self.retries + 1):
             try:
-                handle = f if not turn else store.open_input_file(path)
-                handle.seek(info.header_offset)
-                head = handle.read(30)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError(f"no member at {info.header_offset} of {path}")
-                name, extra = struct.unpack_from("<HH", head, 26)
-                handle.seek(info.header_offset + 30 + name + extra)
-                media = handle.read(info.file_size)
-                if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
-                    raise OSError(f"checksum of the member at {info.header_offset} of {path}")
-                return media
+                with contextlib.nullcontext(f) if not turn else store.open_input_file(path) as handle:
+                    handle.seek(info.header_offset)
+                    head = handle.read(30)
+                    if head[:4] != b"PK\x03\x04":
+                        raise OSError(f"no member at {info.header_offset} of {path}")
+                    name, extra = struct.unpack_from("<HH", head, 26)
+                    handle.seek(info.header_offset + 30 + name + extra)
+                    media = handle.read(info.file_size)
+                    if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
+                        raise OSError(f"checksum of the member at {info.header_offset} of {path}")
+                    return media
             except OSError:
                 if turn == self.retries:
                     raise

@@ -467,3 +467,33 @@ def test_rows_alike_but_for_other_columns(spark):
     rows = [(1, "a b c d", k) for k in range(6)]
     kept = {tuple(simhash.keep_one(spark.createDataFrame(rows[::d], "doc_id long, text string, extra int").repartition(n)).collect()[0]) for d in (1, -1) for n in (1, 3)}
     assert len(kept) == 1
+
+
+def test_warc_pages_without_ends(spark):
+    """Beginnings without an end, tens of thousands of them: read in time that grows with the page alone."""
+    import time
+
+    for part in ("<script ", "<!-- ", "<", "<title>", "<a href=", "<style>x", "<p "):
+        began = time.time()
+        text = warc.plain_text(page := part * 40_000 + "<b>end</b>")
+        warc.outlinks(page), warc.title_of(page)
+        assert "end" in text and time.time() - began < 5
+    assert warc.visible("a<!-- x --><SCRIPT src=u>var</script >b<style>c") == "a <SCRIPT src=u>b<style>c" and warc.title_of("<title>never<title>A &amp; <b>b</b></title>") == "neverA & b"
+
+
+def test_warc_broken_records_are_rows(spark):
+    good = warc.response("u", "<p>x</p>")
+    wrong = good.replace(b"<p>x</p>", b"<p>y</p>")
+    rows = [(1, good), (2, b"nonsense"), (3, None), (4, good[:-20]), (5, wrong)]
+    out = {r.page_id: r for r in warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect()}
+    assert out[1].error is None and out[1].text == "x" and all(out[k].error and out[k].text is None for k in (2, 3, 4, 5))
+    data = b"".join(__import__("gzip").compress(good) for _ in range(3))
+    assert list(warc.read_records(iter([data[k : k + 7] for k in range(0, len(data), 7)]))) == [good] * 3
+
+
+def test_publishing_twice(tmp_path):
+    store, path = shared.open_store(str(tmp_path))
+    for k in range(2):
+        (tmp_path / f".{k}").write_text("same")
+        shared.publish(store, f"{path}/.{k}", f"{path}/x")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x"]
