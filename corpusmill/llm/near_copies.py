@@ -140,7 +140,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = shared.cut(sets)
     keyed = sets.select(F.explode("bands").alias("key"), "s").repartition("key")
     counts = keyed.groupBy("key").agg(F.min("s").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    held = shared.cut(keyed.join(counts, "key").select("key", "s", "hub"))
+    held = shared.cut_small(keyed.join(counts, "key").select("key", "s", "hub"))
     prints = shared.cut(sets.filter(F.size("bands") > 0).groupBy("fp").agg(F.min("s").alias("hub")))
     balls = simhash.links(prints.select("fp"), 2)
     first_of = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("hub").alias(name))
@@ -148,8 +148,8 @@ def classes(docs: DataFrame) -> DataFrame:
     alike = sets.filter(F.size("bands") > 0).select("fp", "s").join(prints, "fp").filter("s <> hub").select(F.col("hub").alias("a"), F.col("s").alias("b"))
     one = lambda name: sets.select(F.col("s").alias(name), F.col("x").alias(f"x_{name}"))
     stars = held.filter("s <> hub").select(F.col("hub").alias("a"), F.col("s").alias("b")).unionByName(balls).unionByName(alike).distinct()
-    stars = shared.cut(stars.join(one("b"), "b").join(one("a"), "a").filter(_near("x_a", "x_b")).filter(_agree("x_a", "x_b")).select("a", "b"))
-    first = shared.cut(confirmed(stars, _texts(rows, sets, stars)))
+    stars = shared.cut_small(stars.join(one("b"), "b").join(one("a"), "a").filter(_near("x_a", "x_b")).filter(_agree("x_a", "x_b")).select("a", "b"))
+    first = shared.cut_small(confirmed(stars, _texts(rows, sets, stars)))
     roots = simhash.components(first).withColumnRenamed("node", "s")
     placed = held.select("key", "s").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
@@ -157,8 +157,8 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = placed.join(mixed, "key", "left_semi").join(sets.select("s", "x.n", *[f"x.{o}" for o in _FLIPS]), "s")
     met = (F.col("l.key") == F.col("r.key")) & (F.col("l.s") < F.col("r.s")) & (F.col("l.root") != F.col("r.root")) & _near("l", "r")
     rest = placed.alias("l").join(placed.alias("r"), met).select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct()
-    rest = shared.cut(rest.join(stars, ["a", "b"], "left_anti"))
-    rest = shared.cut(rest.join(one("b"), "b").join(one("a"), "a").filter(_agree("x_a", "x_b")).select("a", "b"))
+    rest = shared.cut_small(rest.join(stars, ["a", "b"], "left_anti"))
+    rest = shared.cut_small(rest.join(one("b"), "b").join(one("a"), "a").filter(_agree("x_a", "x_b")).select("a", "b"))
     second = confirmed(rest, _texts(rows, sets, rest))
     roots = simhash.components(first.unionByName(second)).withColumnRenamed("node", "s")
     return signed.select("doc_id", "th", "s").join(roots, "s", "left").select(F.coalesce("root", "s").alias("root"), "doc_id", "th")
@@ -168,7 +168,7 @@ def _texts(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(s, text) of the sets that stand in ``pairs``, each from its row of least doc_id."""
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(sets.select("s", F.col("p.doc_id").alias("d"), F.col("p.th").alias("t")), "s")
     hit = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    return shared.cut(hit.select("s", "text").dropDuplicates(["s"]))
+    return shared.cut_small(hit.select("s", "text").dropDuplicates(["s"]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

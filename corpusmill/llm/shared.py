@@ -59,6 +59,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
+    """The same ``rows`` rows in no more partitions than they fill: an exchange leaves a file for each task that feeds it."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut``, then ``gathered``: for tables that may be far smaller than what they are made from."""
+    held = cut(df)
+    return gathered(held, held.count())
+
+
 def open_store(uri: str):
     """(file system, path) of a URI, through Arrow's file systems: local, HDFS, S3, GCS."""
     from pyarrow import fs
@@ -66,6 +77,16 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
+def publish(store, made: str, name: str) -> None:
+    """Gives a whole file its name. Where a task is run again the name may be taken, by the same bytes: then ``made`` goes."""
+    from pyarrow import fs
+
+    if store.get_file_info(name).type == fs.FileType.NotFound:
+        store.move(made, name)
+    else:
+        store.delete_file(made)
+
+
 def normal_uri(uri: str) -> str:
     """file:/x as file:///x, which Arrow asks for."""
     return "file:///" + uri[6:].lstrip("/") if uri.startswith("file:/") else uri

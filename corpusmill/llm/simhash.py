@@ -106,7 +106,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the least node reachable. Alternating large and small stars.
 
     Each turn is two grouped minima and joins; hub nodes are summed on the map side. The table is cut into the
-    shared folder every turn and compared with the last by its count and the sum of its hashes.
+    shared folder every turn and compared with the last by its count and the sum of its hashes. It never grows, and
+    its exchanges are fed by as many tasks as its rows fill.
     """
     pairs = shared.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
@@ -115,12 +116,14 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == state or not now[0]:
             break
         state = tuple(now)
+        few = lambda df: shared.gathered(df, 2 * now[0])  # noqa: B023, E731  used within the turn
+        pairs = few(pairs)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = shared.cut(lower.select("u", F.col("m").alias("v")).unionByName(rest).distinct())
+        pairs = shared.cut(few(lower.select("u", F.col("m").alias("v")).unionByName(rest)).distinct())
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
