@@ -46,6 +46,13 @@ def listing(paths: DataFrame) -> DataFrame:
     return paths.filter(~inside & wanted & (F.col("length") <= MOST_BYTES) & ~X.is_generated(path))
 
 
+def with_disk(files: DataFrame, disk: DataFrame) -> DataFrame:
+    """files(repo_id?, file_path, language, complexity, ...) and, without facts, those of ``disk`` that they lack."""
+    keys = [c for c in ("repo_id", "file_path") if c in files.columns]
+    extra = listing(disk).join(files.select(*keys), keys, "left_anti").select(*keys, X.context_language(F.col("file_path")).alias("language"), F.lit(0).alias("complexity"))
+    return files.unionByName(extra, allowMissingColumns=True)
+
+
 def documents(files: DataFrame, repo: list[str]) -> DataFrame:
     """Readme, licence and build files: repo, file_path, priority, content (4,000 characters), place; by priority, then as walked (ord)."""
     score = X.lookup({k: str(v) for k, v in PRIORITY.items()}, F.lower(X.basename(F.col("file_path")))).cast("int")

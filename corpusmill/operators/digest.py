@@ -53,7 +53,8 @@ def run_stats(files: DataFrame, findings: DataFrame, repo: list[str]) -> DataFra
 
 def full_stats(files: DataFrame, findings: DataFrame, repo: list[str], hotspots: DataFrame, links: DataFrame, deps: DataFrame, checked: DataFrame, runs: DataFrame) -> DataFrame:
     """``run_stats`` with what other stages counted: hotspots(repo), links(repo, source, target), deps(repo, file_path, name),
-    checked(repo, status, query, reason: of ``review.verify``) and runs(repo, head_sha, elapsed). What is missing is 0.
+    checked(repo, status, query, reason: of ``review.verify``) and runs(repo, head_sha, elapsed, analyzed_at?). What is
+    missing is 0. ``languages`` counts source files, where files have a language.
     """
     n = F.count(F.lit(1))
     ran = F.col("query").isNotNull() & ~F.coalesce(F.endswith("reason", F.lit("search failed")), F.lit(False))
@@ -65,7 +66,11 @@ def full_stats(files: DataFrame, findings: DataFrame, repo: list[str], hotspots:
     out = run_stats(files, findings, repo)
     for side in sides:
         out = out.join(side, repo, "left").na.fill(0, [c for c in side.columns if c not in repo])
-    return out.join(runs.select(*repo, "head_sha", F.round("elapsed", 2).alias("elapsed_seconds")), repo, "left")
+    if "language" in files.columns:
+        counts = files.filter("is_source").groupBy(*repo, F.coalesce("language", F.lit("unknown")).alias("language")).agg(n.alias("files"))
+        out = out.join(counts.groupBy(*repo).agg(F.map_from_entries(F.collect_list(F.struct("language", "files"))).alias("languages")), repo, "left")
+    at = ["analyzed_at"] if "analyzed_at" in runs.columns else []
+    return out.join(runs.select(*repo, "head_sha", F.round("elapsed", 2).alias("elapsed_seconds"), *at), repo, "left")
 
 
 def tech_stack(files: DataFrame, deps: DataFrame, repo: list[str]) -> DataFrame:

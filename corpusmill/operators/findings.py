@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,27 +136,44 @@ def _place(findings: DataFrame) -> list[str]:
     return [c for c in ("repo_id", "file_path", "line") if c in findings.columns]
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _add(kept: list[dict], row: dict) -> None:
+    """Puts a finding to those of its place: merged with the first that it restates, or beside them."""
     rank, judged = {s: i for i, s in enumerate(X.SEVERITIES)}, ("confirmed", "escalated")
-    kept: list[dict] = []
-    bare = lambda row: str(row["name"] or "").strip().lower()
-    for row in pdf.sort_values("ord").astype(object).to_dict("records"):
-        at = next((i for i, k in enumerate(kept) if bare(k) == bare(row) or "model-review" in (k["source"], row["source"])), None)
-        if at is None:
-            kept.append(row)
-            continue
-        first = kept[at]
-        worse = rank.get(str(row["severity"] or "LOW").upper(), 9) < rank.get(str(first["severity"] or "LOW").upper(), 9)
-        winner, loser = (dict(row), first) if worse else (dict(first), row)
-        winner |= {c: loser[c] for c in ("snippet", "recommendation", "description", "triage_note") if not winner.get(c) and loser.get(c)}
-        if loser["triage"] in judged and winner["triage"] not in judged:
-            winner["triage"] = loser["triage"]
-        if loser["source"] == "static-analysis" and winner["source"] == "model-review":
-            winner["source"] = loser["source"]
-        if not worse and row["triage"] and row["triage"] != "unverified" and row.get("triage_note"):
-            winner["triage_note"] = row["triage_note"]
-        kept[at] = winner
-    return pd.DataFrame(kept, columns=pdf.columns)
+    bare = lambda r: str(r["name"] or "").strip().lower()
+    at = next((i for i, k in enumerate(kept) if bare(k) == bare(row) or "model-review" in (k["source"], row["source"])), None)
+    if at is None:
+        kept.append(row)
+        return
+    first = kept[at]
+    worse = rank.get(str(row["severity"] or "LOW").upper(), 9) < rank.get(str(first["severity"] or "LOW").upper(), 9)
+    winner, loser = (dict(row), first) if worse else (dict(first), row)
+    winner |= {c: loser[c] for c in ("snippet", "recommendation", "description", "triage_note") if not winner.get(c) and loser.get(c)}
+    if loser["triage"] in judged and winner["triage"] not in judged:
+        winner["triage"] = loser["triage"]
+    if loser["source"] == "static-analysis" and winner["source"] == "model-review":
+        winner["source"] = loser["source"]
+    if not worse and row["triage"] and row["triage"] != "unverified" and row.get("triage_note"):
+        winner["triage_note"] = row["triage_note"]
+    kept[at] = winner
+
+
+def _merge_batches(keys: list[str]):
+    """Rows sorted by place and order, place after place: only the findings of one are held."""
+
+    def run(batches):
+        kept: list[dict] = []
+        schema = None
+        for batch in batches:
+            schema, done = batch.schema, []
+            for row in batch.to_pylist():
+                if kept and any(kept[0][k] != row[k] for k in keys):
+                    done, kept = done + kept, []
+                _add(kept, row)
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if kept:
+            yield pa.RecordBatch.from_pylist(kept, schema)
+
+    return run
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
@@ -170,7 +187,8 @@ def dedupe(findings: DataFrame) -> DataFrame:
         findings = findings.withColumn("triage_note", F.lit(None).cast("string"))
     if "ord" not in findings.columns:
         findings = findings.withColumn("ord", F.row_number().over(Window.partitionBy(*_place(findings)).orderBy(X.severity_rank(F.col("severity")), "id")))
-    return findings.groupBy(*_place(findings)).applyInPandas(_merge, findings.schema)
+    keys = _place(findings)
+    return findings.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInArrow(_merge_batches(keys), findings.schema)
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -35,20 +35,17 @@ def _answers(paths: DataFrame) -> DataFrame:
     the literal), so that a search by suffix is an equi-join. Kind d: a stem in its folder. Keys are unique: what is
     joined never multiplies, however many files share a name.
     """
-    path = F.col("path")
-    depth, cases = 1 - F.size(F.split(path, "/")), []
-    for rank, (end, source) in enumerate(EMITTED.items()):
-        index = F.regexp_extract(path, rf"^(?:(.*)/)?index\{source}$", 1)
-        cases += [F.when(F.endswith(path, F.lit(source)), F.struct(F.lit(0).alias("rank"), F.concat(F.regexp_replace(path, rf"\{source}$", ""), F.lit(end)).alias("base")))]
-        cases += [F.when(path.rlike(rf"^(?:.*/)?index\{source}$"), F.struct(F.lit(1).alias("rank"), F.concat(index, F.lit(end)).alias("base")))]
-    plain = []
-    for k, end in enumerate(ENDINGS):
-        safe = end.replace(".", r"\.")
-        plain.append(F.when(F.endswith(path, F.lit(end)), F.struct(F.lit(2 + k).alias("rank"), F.regexp_replace(path, safe + "$", "").alias("base"))))
-        plain.append(F.when(path.rlike(rf"^(?:.*/)?index{safe}$"), F.struct(F.lit(3 + len(ENDINGS) + k).alias("rank"), F.regexp_extract(path, rf"^(?:(.*)/)?index{safe}$", 1).alias("base"))))
-    plain.append(F.when(path.rlike(r"^(?:.*/)?__init__\.py$"), F.struct(F.lit(2 + len(ENDINGS)).alias("rank"), F.regexp_extract(path, r"^(?:(.*)/)?__init__\.py$", 1).alias("base"))))
+    path, depth = F.col("path"), 1 - F.size(F.split("path", "/"))
+    paths = paths.withColumn("ending", F.regexp_extract(path, r"(\.[^./]*)$", 1)).withColumns({
+        "bare": F.expr("substring(path, 1, length(path) - length(ending))"), "folder": X.dirname(path),
+        "at": F.array_position(F.array(*map(F.lit, ENDINGS)), F.col("ending")).cast("int"), "emitted": X.lookup({v: k for k, v in EMITTED.items()}, F.col("ending")),
+    })
+    bare, folder, at, index = F.col("bare"), F.col("folder"), F.col("at"), F.col("bare").rlike(r"(^|/)index$")
+    name = lambda rank, base: F.struct(rank.alias("rank"), base.alias("base"))
+    plain = [F.when(at > 0, name(1 + at, bare)), F.when((at > 0) & index, name(2 + len(ENDINGS) + at, folder)), F.when(path.rlike(r"(^|/)__init__\.py$"), name(F.lit(2 + len(ENDINGS)), folder))]
+    cases = [F.when(F.col("emitted").isNotNull(), name(F.lit(0), F.concat(bare, "emitted"))), F.when(F.col("emitted").isNotNull() & index, name(F.lit(1), F.concat(folder, "emitted")))]
     some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    named = paths.withColumns({"depth": depth, "plain": some(plain), "other": some([*cases, F.struct(F.lit(_LITERAL).alias("rank"), path.alias("base"))])})
+    named = paths.withColumns({"depth": depth, "plain": some(plain), "other": some([*cases, name(F.lit(_LITERAL), path)])})
     found = lambda rank: F.struct(rank.alias("rank"), "depth", "path").alias("found")
     bases = named.select("repo_id", "depth", "path", F.explode(F.concat("plain", "other")).alias("x")).select("repo_id", F.lit("b").alias("kind"), F.col("x.base").alias("key"), found(F.col("x.rank")))
     pieces = F.split(F.col("x.base"), "/")
@@ -79,26 +76,29 @@ def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     slashed = s.rlike(r"^\.\.?/")
     kind = F.when(outside, "external").when(F.startswith(s, F.lit(".")) & ~slashed, "python").when(slashed, "path").when(F.startswith(s, F.lit("/")), "root").otherwise("bare")
     asked = asked.withColumn("shape", kind)
+    norm = X.normalise_path
     level, parts = F.length(F.regexp_extract(s, r"^(\.+)", 1)), F.split(folder, "/")
     up = F.when(level <= 1, folder).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + 1, F.lit(0))), "/"))
-    rest, tail = F.replace(F.regexp_replace(s, r"^\.+", ""), F.lit("."), F.lit("/")), F.col("tail")
+    rest = F.replace(F.regexp_replace(s, r"^\.+", ""), F.lit("."), F.lit("/"))
+    # each of these is a column of its own, made once and used by several names
+    asked = asked.withColumns({"up": up, "rest": rest, "here": norm(_join(folder, s)), "alone": norm(s), "root": F.regexp_replace(F.substring(s, 2, 1 << 20), "/+$", "")})
+    up, rest, tail, here, alone, from_root = (F.col(c) for c in ("up", "rest", "tail", "here", "alone", "root"))
+    asked = asked.withColumns({"inner": norm(_join(up, rest)), "beside": norm(_join(up, tail)), "rooted": norm(from_root)})
+    inner, beside = F.col("inner"), F.col("beside")
+    asked = asked.withColumn("within", F.when(tail != "", norm(_join(inner, tail))).otherwise(inner))
     ask = lambda kind, key, place, literal: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(place).alias("place"), F.lit(literal).alias("literal"))
-    norm = X.normalise_path
-    inner = norm(_join(up, rest))
     python = (
-        F.when((rest == "") & (tail != ""), F.array(ask("b", norm(_join(up, tail)), 0, False), ask("b", up, 1, True)))
+        F.when((rest == "") & (tail != ""), F.array(ask("b", beside, 0, False), ask("b", up, 1, True)))
         .when(rest == "", F.array(ask("b", up, 1, True)))
-        .otherwise(F.array(ask("b", F.when(tail != "", norm(_join(inner, tail))).otherwise(inner), 0, True)))
+        .otherwise(F.array(ask("b", F.col("within"), 0, True)))
     )
-    here, alone = norm(_join(folder, s)), norm(s)
     bare = F.array(
         F.when(here != "", ask("b", here, 0, False)), F.when(alone != "", ask("b", alone, 1, False)),
         F.when(~s.rlike("[./]"), ask("d", F.concat(folder, F.lit("/"), s), 2, False)), F.when(~s.rlike("[./]"), ask("d", F.concat(F.lit("/"), s), 2, False)),
         F.when(alone != "", ask("s", F.replace(alone, F.lit("."), F.lit("/")), 3, False)),
     )
-    from_root = F.regexp_replace(F.substring(s, 2, 1 << 20), "/+$", "")
-    rooted = F.array(F.when((from_root == "") | (norm(from_root) != ""), ask("b", norm(from_root), 0, True)))
-    names = F.when(F.col("shape") == "python", python).when(F.col("shape") == "path", F.array(ask("b", norm(_join(folder, s)), 0, True))).when(F.col("shape") == "root", rooted).when(F.col("shape") == "bare", bare)
+    rooted = F.array(F.when((from_root == "") | (F.col("rooted") != ""), ask("b", F.col("rooted"), 0, True)))
+    names = F.when(F.col("shape") == "python", python).when(F.col("shape") == "path", F.array(ask("b", here, 0, True))).when(F.col("shape") == "root", rooted).when(F.col("shape") == "bare", bare)
     wanted = asked.select("repo_id", "source", "raw", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("repo_id", "source", "raw", "x.*")
     met = wanted.join(_answers(known), ["repo_id", "kind", "key"]).filter((F.col("found.rank") < _LITERAL) | F.col("literal"))
     best = met.groupBy("repo_id", "source", "raw").agg(F.min(F.struct("place", "found")).alias("f")).select("repo_id", "source", "raw", F.col("f.found.path").alias("target"))

@@ -42,6 +42,16 @@ def clean(diff: str) -> str:
     return "\n".join(out) + "\n"
 
 
+def unsafe(diff: str) -> bool:
+    """``exprs.unsafe_diff`` of a diff at hand."""
+    for line in diff.split("\n"):
+        if m := re.match(r"(?:---|\+\+\+) ([^\t\r]*)", line):
+            path = re.sub(r"^[ab]/", "", m[1])
+            if path != "/dev/null" and (path.startswith("/") or re.search(r"(^|/)\.\.(/|$)|(^|/)\.git/", path)):
+                return True
+    return False
+
+
 def hunks(diff: str) -> list[tuple[int, list[str]]]:
     out: list[tuple[int, list[str]]] = []
     for x in diff.split("\n"):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import dependencies, findings, tools
+from . import findings, patches, tools
 
 # Sizes of a batch, searches a run may make, how long to wait before trying again, and the domains and queries of guidance.
 TRIAGE_BATCH, FIX_BATCH, FIX_TARGETS = 12, 8, 24
@@ -314,5 +314,49 @@ def architecture(facts: DataFrame, provider: Callable[[str], str] | DataFrame, r
     return clean_architecture(asked.drop("prompt").join(ask(asked, provider), "request_id"), repo)
 
 
-def dependency_candidates(deps: DataFrame) -> DataFrame:
-    return dependencies.candidates(deps)
+# ---- patches
+
+PATCH_RADIUS, PATCH_TRIES = 60, 2
+PROPOSED = "id string, file_path string, diff string, explanation string, risk string, applies boolean, validation string, attempts int"
+
+
+def propose(found: DataFrame, files: DataFrame, provider: Callable[[str], str], head: str = "Mend this with a unified diff, as JSON.", tries: int = PATCH_TRIES) -> DataFrame:
+    """(id, file_path, diff, explanation, risk, applies, validation, attempts): a patch for each finding, checked against its file.
+
+    The provider sees the 60 lines around the finding. A diff is cleaned, anchored anew and applied to the file as it
+    is; one that does not apply is asked for once more, with the reason. Without a file, a region or a diff there is
+    none, and validation says why.
+    """
+    text = findings.region(found, files, PATCH_RADIUS, numbered=True).join(files.select("file_path", "content"), "file_path", "left")
+
+    def one(row: dict) -> tuple:
+        own = (row["id"], row["file_path"])
+        if not row["content"]:
+            return *own, "", "", "unknown", False, f"{row['file_path']} is not readable", 0
+        if not (row["region"] or "").strip():
+            return *own, "", "", "unknown", False, f"line {row['line']} is outside {row['file_path']}", 0
+        facts = json.dumps({k: row.get(k) for k in ("file_path", "line", "name", "severity", "description", "snippet", "recommendation")})
+        diff, said, risk, reason, k = "", "", "unknown", "", 0
+        for k in range(1, tries + 1):
+            answer, _, error = call(provider, "\n\n".join([head, facts, row["region"], *([f"The last diff did not apply: {reason}"] if reason else [])]))
+            data = tools.recover(answer or "")
+            if not isinstance(data, dict):
+                return *own, diff, said, risk, False, error or reason or "no usable patch", k
+            said, risk = str(data.get("explanation", ""))[:1500], str(data.get("risk", "unknown")).strip().lower() or "unknown"
+            raw = str(data.get("diff", ""))
+            cleaned = "" if patches.unsafe(raw) else patches.clean(raw)
+            if not cleaned:
+                return *own, "", said, risk, False, "explained, but no diff", k
+            diff = patches.reanchor(row["content"], cleaned, row["file_path"]) or cleaned
+            _, reason = patches.apply(row["content"], diff, strict=True)
+            if not reason:
+                return *own, diff, said, risk, True, "", k
+        return *own, diff, said, risk, False, reason, k
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [one(r) for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROPOSED.split(", ")])
+
+    kept = [c for c in ("id", "file_path", "line", "name", "severity", "description", "snippet", "recommendation", "region", "content") if c in text.columns]
+    return text.select(*kept).mapInPandas(run, PROPOSED)

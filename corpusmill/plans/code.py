@@ -302,7 +302,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("go.mod", F.concat(F.lit("\thost.org/"), n, F.lit(" v"), v, F.lit(".0")), "\n", "module m\n\nrequire (\n", "\n)\n"),
         ("Cargo.toml", F.concat(n, F.lit(' = { version = "'), v, F.lit('" }')), "\n", '[package]\nname = "x"\n[dependencies]\n', "\n"),
         ("poetry.lock", F.concat(F.lit('[[package]]\nname = "'), n, F.lit('"\nversion = "'), v, F.lit('"\n')), "\n", "", ""),
-        ("composer.json", F.concat(F.lit('"'), n, F.lit('": "'), v, F.lit('"')), ", ", '{"require": {"php": ">=8", ', "}}"),
+        ("composer.json", F.concat(F.lit('"'), n, F.lit('": "'), v, F.lit('"')), ", ", '{"require": {', "}}"),
         ("yarn.lock", F.concat(F.lit('"'), n, F.lit("@^"), v, F.lit('":\n  version "9.9.9"\n')), "\n", "# lock\n", ""),
     ]
     kind, name, line = F.col("file") % len(shapes), F.lit(""), F.lit("")
@@ -317,7 +317,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DEPS = f"""{_MADE}, deps AS (SELECT file, c_custkey, 'd' || file || '/' || ['requirements.txt', 'package.json', 'Gemfile', 'go.mod', 'Cargo.toml', 'poetry.lock', 'composer.json', 'yarn.lock'][file % 8 + 1] AS file_path,
     ['pypi', 'npm', 'rubygems', 'go', 'crates.io', 'pypi', 'packagist', 'npm'][file % 8 + 1] AS ecosystem, CASE WHEN file % 8 = 3 THEN 'host.org/' ELSE '' END || name AS name,
-    CASE file % 8 WHEN 0 THEN '==' || v WHEN 1 THEN '^' || v WHEN 2 THEN '~> ' || v WHEN 3 THEN 'v' || v || '.0' ELSE v END AS version, file % 8 IN (5, 7) AS resolved FROM made)"""
+    CASE file % 8 WHEN 0 THEN '[extra]==' || v || ' ; python_version > ''3''' WHEN 1 THEN '^' || v WHEN 2 THEN '~> ' || v WHEN 3 THEN 'v' || v || '.0' ELSE v END AS version, file % 8 IN (3, 5, 7) AS resolved FROM made)"""
 
 
 @query(f"WITH {_DEPS} SELECT file_path, ecosystem, name, version, resolved FROM deps")

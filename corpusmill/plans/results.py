@@ -32,7 +32,7 @@ def url_admission(spark, sf_dir):
         values = [F.concat(F.lit("Own" if k < 4 else "own"), (p % 7).cast("string")), F.concat(F.lit("repo."), p.cast("string"))]
         text = F.concat(*[x for i, part in enumerate(pieces) for x in (F.lit(part), *([values[i]] if i < len(pieces) - 1 else []))])
         raw = F.when(p % len(_URLS) == k, text).otherwise(raw)
-    seen = table(spark, sf_dir, "part").select("p_partkey", X.admit_url(raw).alias("a"))
+    seen = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", X.admit_url(F.col("raw")).alias("a"))
     return seen.select("p_partkey", "a.reason", "a.url", X.repo_id(F.col("a.url")).alias("repo_id"))
 
 

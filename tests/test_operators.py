@@ -114,8 +114,19 @@ def test_dependencies(spark):
     }
     deps = dependencies.dependencies(spark.createDataFrame(list(texts.items()), "file_path string, content string"))
     got = {(r.ecosystem, r.name, r.version) for r in deps.collect()}
-    assert got == {("npm", "a", "^1.2"), ("npm", "b", "2"), ("npm", "a", "1.0"), ("pypi", "flask", "==2.0"), ("pypi", "rich", ">=1"), ("go", "github.com/x/y", "v1.2.3"), ("go", "g", "v1"), ("pypi", "httpx", ">=0.2"), ("pypi", "python", "3"), ("pypi", "z", "1"), ("crates.io", "serde", "1.0"), ("rubygems", "rails", "~> 7"), ("packagist", "m/n", "3"), ("pypi", "q", "4")}
-    assert {r.name for r in dependencies.candidates(deps).collect()} == {n for _, n, _ in got} - {"python"}
+    assert got == {("npm", "a", "^1.2"), ("npm", "b", "2"), ("npm", "a", "1.0"), ("pypi", "flask", "[async]==2.0 ; x"), ("pypi", "rich", ">=1"), ("go", "github.com/x/y", "v1.2.3"), ("go", "g", "1"), ("pypi", "httpx", ">=0.2"), ("pypi", "z", "1"), ("crates.io", "serde", "1.0"), ("rubygems", "rails", "~> 7"), ("packagist", "m/n", "3"), ("pypi", "q", "==4")}
+    more = {
+        "a/package-lock.json": json.dumps({"packages": {"": {"name": "self"}, "node_modules/@s/t": {"version": "1"}, "node_modules/u": {"name": "real", "version": "2"}}}), "a/pnpm-lock.yaml": "packages:\n  /@s/t@1.2.3:\n  x@4:\n", "a/yarn.lock": '"@s/t@^1", "@s/t@2":\n  version "1.9"\nx@npm:3:\n',
+        "a/requirements.txt": "# c\n-e .\nhttps://x\n./local\nname other\nok # why\nz[a]>=1,<2\n", "a/pyproject.toml": '[project.optional-dependencies]\ndev = ["p >= 1", 3]\n[tool.poetry.group.t.dependencies]\nq = {python = "3", markers = "m"}\nr = ["1", "2"]\nPython = "3"\n',
+        "a/go.mod": "module m\nrequire one v1\nrequire (\n\ttwo v2 // indirect\n\n)\nrequire (\n\tthree v3\n)\n", "a/go.sum": "g v1/go.mod h\ng v1 h\n", "a/composer.json": json.dumps({"require": {"php": ">=8"}, "packages-dev": [{"name": "no"}]}), "a/Pipfile": "gem 'odd'\n", "a/Cargo.toml": '[dev-dependencies]\nc = {version = "1", features = []}\nd = "2"\n',
+    }
+    rows = dependencies.dependencies(spark.createDataFrame([("r", k, v, i) for i, (k, v) in enumerate(more.items())], "repo_id string, file_path string, content string, ord int")).collect()
+    assert {(r.file_path[2:], r.name, r.version) for r in rows} == {
+        ("package-lock.json", "t", "1"), ("package-lock.json", "real", "2"), ("pnpm-lock.yaml", "t", "1.2.3"), ("pnpm-lock.yaml", "x", "4"), ("yarn.lock", "@s/t", "1"), ("yarn.lock", "x", "npm:3"), ("requirements.txt", "ok", ""), ("requirements.txt", "z", "[a]>=1,<2"),
+        ("pyproject.toml", "p", ">= 1"), ("pyproject.toml", "q", "python 3, m"), ("pyproject.toml", "r", "1, 2"), ("go.mod", "one", "v1"), ("go.mod", "two", "v2"), ("go.sum", "g", "1"), ("composer.json", "php", ">=8"), ("Pipfile", "odd", ""), ("Cargo.toml", "c", "1"), ("Cargo.toml", "d", "2"),
+    }
+    assert {r.repo_id for r in rows} == {"r"} and {r.file_ord for r in rows} == set(range(10))
+    assert {r.name for r in dependencies.candidates(deps).collect()} == {n for _, n, _ in got}
 
 
 def test_urls_limits_and_json(spark):

@@ -281,3 +281,25 @@ def test_architectures():
 def test_holding_back():
     assert events.hold_back("plain text") == ("plain text", "") and events.hold_back("a <tool") == ("a ", "<tool")
     assert isinstance(pd.DataFrame(events.fold(["x"])), pd.DataFrame)
+
+
+def test_proposals(spark):
+    """A diff that does not apply is asked for again with the reason; what cannot be mended says why."""
+    text = "\n".join(f"line {k}" for k in range(1, 9))
+    found = spark.createDataFrame([("ok", "f", 3), ("again", "f", 4), ("never", "f", 5), ("prose", "f", 6), ("evil", "f", 6), ("far", "f", 0), ("gone", "g", 1)], "id string, file_path string, line long").withColumns({c: F.col("id") for c in ("name", "severity", "description", "snippet", "recommendation")})
+
+    def provider(prompt):
+        asked = json.loads(prompt.split("\n\n")[1])["name"]
+        good = "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n-line 3\n+LINE 3\n"
+        diffs = {"ok": good, "again": good if "did not apply" in prompt else good.replace("line 3", "absent"), "never": good.replace("line 3", "absent"), "prose": "", "evil": good.replace("b/f", "b/../f")}
+        return json.dumps({"diff": diffs[asked], "explanation": "so", "risk": " LOW"})
+
+    out = {r.id: r for r in review.propose(found, spark.createDataFrame([("f", text)], "file_path string, content string"), provider).collect()}
+    assert {k: (r.applies, r.attempts) for k, r in out.items()} == {"ok": (True, 1), "again": (True, 2), "never": (False, 2), "prose": (False, 1), "evil": (False, 1), "far": (False, 0), "gone": (False, 0)}
+    assert patches.apply(text, out["again"].diff, strict=True)[0] == text.replace("line 3", "LINE 3") and out["ok"].risk == "low" and "not readable" in out["gone"].validation
+
+
+def test_files_on_disk_that_are_not_known(spark):
+    files_ = spark.createDataFrame([("r", "a.py", "python", 3)], "repo_id string, file_path string, language string, complexity int")
+    disk = spark.createDataFrame([("r", "a.py", 1), ("r", "b.md", 1), ("s", "a.py", 1), ("r", "x.bin", 1)], "repo_id string, file_path string, length long")
+    assert {tuple(r) for r in context.with_disk(files_, disk).collect()} == {("r", "a.py", "python", 3), ("r", "b.md", "markdown", 0), ("s", "a.py", "python", 0)}
