@@ -202,7 +202,7 @@ def related_files(spark, sf_dir):
 _IFS, _LOOPS = "(doc_id % 4)", "(doc_id % 3)"
 
 
-@query(f"""SELECT doc_id, 'syntax-tree' AS parsed_with, CAST(1 + {_IFS} + {_LOOPS} + 2 AS INTEGER) AS complexity, 'f' || doc_id || ':' || (1 + {_IFS} + {_LOOPS} + 2) || ',g:1' AS functions, 'C' || doc_id AS classes, '.x import y,os' AS imports,
+@query(f"""SELECT doc_id, 'syntax-tree' AS parsed_with, CAST(1 + {_IFS} + {_LOOPS} + 2 AS INTEGER) AS complexity, 'f' || doc_id || ':' || (1 + {_IFS} + {_LOOPS} + 2) || ',g:1' AS functions, 'C' || doc_id AS classes, '.x,os,y' AS imports,
     CAST(2 + 1 + 2 * {_IFS} + 2 * {_LOOPS} + 1 + 1 + 3 AS INTEGER) AS loc, CAST(1 AS INTEGER) AS comment_lines FROM documents
     UNION ALL SELECT doc_id, 'regex', 0, '', '', 'os', 3, 0 FROM documents""")
 def parsed_files(spark, sf_dir):
@@ -226,8 +226,8 @@ _STATEMENTS = ["import os", "from a.b import c", "import x.y as z", "  import de
 
 
 @query(f"""WITH lines AS (SELECT doc_id, j, {pick_sql(_STATEMENTS, 'doc_id + j')} AS t FROM documents, (SELECT unnest(range(5)) AS j)),
-    hits AS (SELECT doc_id, j, 0 AS k, regexp_extract(t, '^[ \\t]*import[ \\t]+([\\w.]+)', 1) AS m FROM lines UNION ALL SELECT doc_id, j, 1, regexp_extract(t, '^[ \\t]*from[ \\t]+([\\w.]+)[ \\t]+import', 1) FROM lines),
-    first AS (SELECT doc_id, m, min(k * 100 + j) AS seen FROM hits WHERE m <> '' GROUP BY doc_id, m) SELECT doc_id, string_agg(m, ',' ORDER BY seen) AS imports FROM first GROUP BY doc_id""")
+    hits AS (SELECT doc_id, j, regexp_extract(t, '^\\s*(?:from\\s+([\\w.]+)\\s+import|import\\s+([\\w.]+))', 1) || regexp_extract(t, '^\\s*(?:from\\s+([\\w.]+)\\s+import|import\\s+([\\w.]+))', 2) AS m FROM lines),
+    first AS (SELECT doc_id, m, min(j) AS seen FROM hits WHERE m <> '' GROUP BY doc_id, m) SELECT doc_id, string_agg(m, ',' ORDER BY seen) AS imports FROM first GROUP BY doc_id""")
 def import_statements(spark, sf_dir):
     """Imports by pattern, as first seen."""
     d = F.col("doc_id")

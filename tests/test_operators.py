@@ -152,7 +152,7 @@ def test_patches(spark):
 def test_parsing(spark):
     code = "import os\nfrom . import b\n\ndef f(x):\n    if x and x > 1 or x:\n        return [i for i in x]\n    return 1 if x else 2\n\nclass C:\n    def m(self):\n        pass\n"
     rows = {r.file_path: r for r in parsing.facts(spark.createDataFrame([("a.py", "python", code), ("b.ts", "typescript", 'import x from "./y";\nexport class K {}\nexport async function g(a) {\n  if (a) { return 1 }\n}\n'), ("c.py", "python", "import os\ndef ("), ("d", None, None)], "file_path string, language string, content string")).collect()}
-    assert rows["a.py"].complexity == 5 and [f.name for f in rows["a.py"].functions] == ["f", "m"] and rows["a.py"].imports == [". import b", "os"]
+    assert rows["a.py"].complexity == 5 and [f.name for f in rows["a.py"].functions] == ["f", "m"] and rows["a.py"].imports == [".", "b", "os"]
     assert [f.name for f in rows["b.ts"].functions] == ["g"] and rows["b.ts"].imports == ["./y"] and [c.name for c in rows["b.ts"].classes] == ["K"] and rows["c.py"].parsed_with == "regex"
 
 
@@ -226,3 +226,26 @@ def test_digest_without_rows(spark):
     issues = spark.createDataFrame([("r", 1, None, None, None, None, None), ("r", 0, "HIGH", "x", "a.py", 4, "dismissed")], "repo string, ord int, severity string, rule string, file_path string, line int, triage string")
     got = {r.repo: r.digest for r in digest.digest(stats, spots, issues, ["repo"]).collect()}
     assert got == {"r": "Findings that survived triage:\n- [?] ? at None:None (pending)", "s": "Analysis measurements: 3 files"}
+
+
+def test_parsing_by_language():
+    """Branches, functions, classes, comments and imports as each language's grammar has them, by patterns."""
+    ts = parsing.parse('import {a} from "./x";\nimport "./y"; const z = require("z")\n// if (no)\nexport class K extends B {\n  async run(a?: number): Promise<void> {\n    for (const x of a) { if (x) { return } }\n    do { } while (x)\n    switch (x) { case 1: default: }\n    return a ? b : c?.d ?? e\n  }\n}\nfunction f() { const s = "if (x) {"; }\ninterface I {}\n', "typescript")
+    assert ts["complexity"] == 6 and [(f["name"], f["start_line"], f["end_line"], f["complexity"]) for f in ts["functions"]] == [("run", 5, 10, 6), ("f", 12, 12, 1)]
+    assert [c["name"] for c in ts["classes"]] == ["K", "I"] and ts["imports"] == ["./x", "./y", "z"] and ts["comment_lines"] == 1
+    java = parsing.parse("import static a.b.C;\npublic class A {\n  public A(int x) { }\n  private List<String> get(int x) throws E {\n    for (int i = 0; i < x; i++) { if (i > 2) { return null; } }\n    for (String s : xs) { }\n    try { } catch (E e) { }\n    return new Foo(x) { };\n  }\n}\n", "java")
+    assert java["complexity"] == 4 and [f["name"] for f in java["functions"]] == ["A", "get"] and java["imports"] == ["a.b.C"]
+    go = parsing.parse('package m\nimport (\n\t"fmt"\n\tx "a/b"\n)\ntype T struct {\n}\nfunc (t *T) Run(a int) error {\n\tfor i := range a {\n\t\tif i > 1 {\n\t\t}\n\t}\n\tswitch a {\n\tcase 1:\n\t}\n\treturn nil\n}\n', "go")
+    assert go["complexity"] == 3 and [(f["name"], f["complexity"]) for f in go["functions"]] == [("Run", 3)] and go["imports"] == ["a/b", "fmt"] and [c["name"] for c in go["classes"]] == ["T"]
+    rust = parsing.parse("use std::fs;\npub struct S {}\nimpl S {\n  pub fn run(&self) -> i32 {\n    if self.a { 1 } else { 2 }\n  }\n}\n", "rust")
+    assert rust["complexity"] == 2 and [f["name"] for f in rust["functions"]] == ["run"] and [c["name"] for c in rust["classes"]] == ["S", "S"] and rust["imports"] == ["std::fs"]
+    c = parsing.parse('#include <a.h>\n#include "b.h"\nstatic int f(int x) {\n  while (x) { x--; }\n  return x ? 1 : 2;\n}\nint g(void);\n', "c")
+    assert c["complexity"] == 3 and [f["name"] for f in c["functions"]] == ["f"] and c["imports"] == ["a.h", "b.h"]
+    py = parsing.parse("from __future__ import a\nfrom x.y import z as q, w\nfrom . import k\nimport os.path as p\nfrom m import *\ntry:\n    pass\nexcept E:  # why\n    pass\nmatch x:\n    case 1:\n        pass\n", "python")
+    assert py["imports"] == [".", "k", "m", "os.path", "w", "x.y", "z"] and py["complexity"] == 3 and py["comment_lines"] == 1
+    assert parsing.parse("def (:\n  import b\nfrom a import c\nimport b", "python") | {} == {"complexity": 0, "functions": [], "classes": [], "imports": ["b", "a"], "parsed_with": "regex", "comment_lines": 0}
+    import time
+
+    began = time.time()
+    parsing.parse("function f() {\n" * 20_000, "javascript"), parsing.parse("{" * 100_000 + "}" * 100_000, "java")
+    assert time.time() - began < 10
