@@ -29,8 +29,8 @@ def score(files: DataFrame, repo: list[str]) -> DataFrame:
     raw = {"complexity": F.col("complexity"), "churn": F.col("commits") + F.col("total_changes") / 20.0, "fan_in": F.col("fan_in"), "size": F.col("loc"), "findings": F.col("finding_count")}
     out = files.withColumns({f"raw_{k}": v.cast("double") for k, v in raw.items()})
     peaks = out.groupBy(*repo).agg(*[F.max(f"raw_{k}").alias(f"peak_{k}") for k in raw])
-    # peaks by aggregation and a broadcast of one row a repository: no window over a whole corpus
-    out = out.join(F.broadcast(peaks), repo) if repo else out.crossJoin(F.broadcast(peaks))
+    # peaks by aggregation, a row for each repository, which Spark broadcasts where they are few: no window over a whole corpus
+    out = out.join(peaks, repo) if repo else out.crossJoin(F.broadcast(peaks))
     out = out.withColumns({f"s_{k}": F.when(F.col(f"peak_{k}") > 0, F.col(f"raw_{k}") / F.col(f"peak_{k}")).otherwise(0.0) for k in raw})
     total = sum((F.col(f"s_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0))
     return out.withColumn("score", F.when(F.col("finding_count") > 0, F.greatest(total, F.lit(LEAST))).otherwise(total)).drop(*[f"raw_{k}" for k in raw], *[f"peak_{k}" for k in raw])

@@ -51,7 +51,7 @@ def _map_sql(known: dict[str, str], key: str, other: str) -> str:
     return f"coalesce(MAP {{{', '.join(f'{text_sql(k)}: {text_sql(v)}' for k, v in known.items())}}}[{key}], {other})"
 
 
-@query(f"""WITH {_PATHS} SELECT doc_id, {_map_sql(X.LANGUAGES, _EXT, "'text'")} AS language, {_map_sql(X.CONTEXT_LANGUAGES, _EXT, f"CASE WHEN {_EXT} <> '' THEN {_EXT} ELSE 'text' END")} AS context_language, {_EXT} AS extension,
+@query(f"""WITH {_PATHS} SELECT doc_id, {_map_sql(X.LANGUAGES, _EXT, f"CASE WHEN {_EXT} <> '' THEN {_EXT} ELSE 'text' END")} AS language, {_map_sql(X.CONTEXT_LANGUAGES, _EXT, f"CASE WHEN {_EXT} <> '' THEN {_EXT} ELSE 'text' END")} AS context_language, {_EXT} AS extension,
     split_part(file_path, '/', -1) AS name, array_to_string({_DIRS}, '/') AS folder, {_GENERATED} AS generated,
     CASE WHEN strpos(substr(split_part(file_path, '/', -1), 2), '.') > 0 THEN regexp_replace(split_part(file_path, '/', -1), '\\.[^.]*$', '') ELSE split_part(file_path, '/', -1) END AS stem FROM paths""")
 def path_facts(spark, sf_dir):

@@ -19,13 +19,13 @@ _URLS = [
     "https://github.com/{}/{}.git", "git@github.com:{}/{}.git", "www.github.com/{}/{}", "HTTPS://GitHub.com/{}/{}/", "http://github.com/{}/{}", "https://u:p@github.com/{}/{}", "https://github.com:444/{}/{}", "https://github.com/{}/{}?tab=x", "https://github.com/{}/{}#top",
     "https://github.com/{}/x/{}", "https://evil.com/{}/{}", "https://github.com/-{}/{}", "  ", "ftp://github.com/{}/{}", "github.com/{}/{}",
 ]
-_REASONS = ["", "", "", "", "scheme", "credentials", "port", "query", "fragment", "segments", "host", "name", "empty", "scheme", ""]
+_REASONS = ["", "", "scheme", "", "scheme", "credentials", "port", "query", "fragment", "segments", "host", "name", "empty", "scheme", "scheme"]
 
 
 @query(f"""WITH p AS (SELECT p_partkey, CAST(p_partkey % 15 AS INTEGER) AS k, 'own' || p_partkey % 7 AS o, 'repo.' || p_partkey AS n FROM part)
     SELECT p_partkey, {pick_sql(_REASONS, 'k')} AS reason, CASE WHEN {pick_sql(_REASONS, 'k')} = '' THEN 'https://github.com/' || o || '/' || n END AS url, CASE WHEN {pick_sql(_REASONS, 'k')} = '' THEN substr(sha256('https://github.com/' || o || '/' || n), 1, 12) END AS repo_id FROM p""")
 def url_admission(spark, sf_dir):
-    """Addresses of repositories in five accepted spellings, and refused ones for nine reasons."""
+    """Addresses of repositories in three accepted spellings, and refused ones for nine reasons."""
     p, raw = F.col("p_partkey"), F.lit("")
     for k, shape in enumerate(_URLS):
         pieces = shape.split("{}")

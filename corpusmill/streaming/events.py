@@ -66,12 +66,17 @@ def parse(chunks: DataFrame) -> DataFrame:
 
 
 def hold_back(pending: str, tail: int = 48) -> tuple[str, str]:
-    """(what may be shown, what waits): from the first < in the last characters on, text waits."""
+    """(what may be shown, what waits): text waits from the first < in the last characters on.
+
+    Without one, where the first line speaks of a recipient but does not begin so, the end of that line waits with what
+    follows; of a line that has not ended, its last character.
+    """
     at = pending.find("<", max(0, len(pending) - tail))
-    first = pending.split("\n", 1)[0]
-    if at < 0 and "\n" in pending and "recipient" in first:
-        at = pending.index("\n")
-    return (pending, "") if at < 0 else (pending[:at], pending[at:])
+    if at < 0:
+        first, _, rest = pending.partition("\n")
+        low = first.strip().lower()
+        at = len(pending) - len(rest) - 1 if "recipient" in low and not low.startswith("recipient") else len(pending)
+    return pending[:at], pending[at:]
 
 
 def fold(deltas: list[str | None]) -> list[tuple[str, str]]:

@@ -130,7 +130,7 @@ def test_dependencies(spark):
 
 
 def test_urls_limits_and_json(spark):
-    urls = {"https://github.com/Own/Repo.git": "https://github.com/own/repo", "git@github.com:own/repo.git": "https://github.com/own/repo", "www.github.com/own/repo": "https://github.com/own/repo", "http://github.com/a/b": None, "https://u:p@github.com/a/b": None, "https://github.com/a/b?x": None, "https://github.com/a": None, "https://evil.com/a/b": None, "https://github.com/../b": None, "": None}
+    urls = {"https://github.com/Own/Repo.git": "https://github.com/own/repo", "git@github.com:own/repo.git": "https://github.com/own/repo", "www.github.com/own/repo": None, "https://www.github.com/own/repo/": "https://github.com/own/repo", "git://github.com/a/b": None, "file:///etc/passwd": None, "https://github.com.evil.com/a/b": None, "https://github.com:own/b": None, "https://evil.com:1/a/b": None, "https://github.com/a/b#r": None, "https://github.com/a/b/tree/c": None, "https://github.com/-o/x": None, "https://github.com/a/.git": None, "https://github.com/--up=id": None, "javascript:alert(1)": None, "http://github.com/a/b": None, "https://u:p@github.com/a/b": None, "https://github.com/a/b?x": None, "https://github.com/a": None, "https://evil.com/a/b": None, "https://github.com/../b": None, "": None}
     got = {r.u: r.a.url for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", X.admit_url(F.col("u")).alias("a")).collect()}
     assert got == urls
     specs = {"5/60": (5, 60), " 3 / 2M ": (3, 120), "1/1h": (1, 3600), "0/5": (9, 9), "x": (9, 9), "": (9, 9)}

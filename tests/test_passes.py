@@ -4,7 +4,6 @@ import datetime
 import json
 import subprocess
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,7 +279,8 @@ def test_architectures():
 
 def test_holding_back():
     assert events.hold_back("plain text") == ("plain text", "") and events.hold_back("a <tool") == ("a ", "<tool")
-    assert isinstance(pd.DataFrame(events.fold(["x"])), pd.DataFrame)
+    assert events.hold_back("to recipient: x\nmore") == ("to recipient: x", "\nmore") and events.hold_back("Recipient: x\nmore") == ("Recipient: x\nmore", "") and events.hold_back("a recipient") == ("a recipien", "t")
+    assert events.hold_back("<" + "x" * 60) == ("<" + "x" * 60, "") and "".join(d for e, d in events.fold(list("a recipient <b")) if e == "delta") == "a recipient <b"
 
 
 def test_proposals(spark):
