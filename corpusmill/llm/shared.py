@@ -31,6 +31,7 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
     if held.isEmpty():
         sc.setCheckpointDir(root)
+        atexit.register(_remove_quietly, spark, sc._jsc.sc().getCheckpointDir().get())  # this session's own folder
     return root
 
 

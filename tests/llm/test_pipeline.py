@@ -25,3 +25,25 @@ def test_stages(spark, small, tmp_path):
     assert words(mixed).sum().to_dict() == {s: n for s, g in words(clean) if (n := plain_best(g.tolist(), want[s]))} and mixed.doc_id.value_counts().max() <= 2
     assert sorted(placed.doc_id) == sorted(mixed.doc_id) and placed.groupby("shard").slot.max().add(1).sum() == len(mixed)
     assert corpus_pipeline.run(spark, small).count() == len(placed)
+
+
+def test_stages_on_odd_rows(spark, small, tmp_path):
+    """Nulls in every column, repeats, a long text, clashing names, and no rows at all, through every stage."""
+    rows = [
+        (1, "One two three four five six seven.", "en", "a", 1), (1, "One two three four five six seven.", "en", "a", 1), (1, "another text with the same id as above", "en", "b", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "text without any id at all here", "en", "b", 1),
+        (None, None, "en", "c", 1), (4, " \n\t\n ", "en", "c", 1), (5, "word " * 50_000, "en", "a", 1), (6, "naïve café’s 日本語 ﬁ 12½\r\n end of the line for now", "fr", "d", 1),
+    ]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, `row` int, `key` string, `rank` int, `s` int, `th` string"
+    odd = spark.createDataFrame([(*r, 5, "k", 9, 1, "x") for r in rows], shape)
+    for label, start in (("odd", odd), ("none", odd.limit(0))):
+        docs = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, small).write.parquet(f"{tmp_path}/{label}{k}")
+            after = spark.read.parquet(f"{tmp_path}/{label}{k}")
+            if name in ("quality_classifier", "simhash_near_dedup", "benchmark_decontamination"):
+                assert after.columns == start.columns and after.exceptAll(docs).count() == 0
+            if name == "simhash_near_dedup":
+                assert sorted((r.doc_id is not None, r.doc_id, r.text or "") for r in after.collect()) == sorted({(r.doc_id is not None, r.doc_id, r.text or "") for r in after.collect()})
+            docs = after
+        assert docs.count() == 0 or label == "odd"
+        assert {"doc_id", "shard", "slot"} <= set(docs.columns)
