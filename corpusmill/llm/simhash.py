@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Fingerprints in one task that emits balls, and rows of a partition where variants meet.
-PER_TASK, PER_MEETING = 32_768, 4_000_000
+PER_TASK, PER_MEETING = 32_768, 1_000_000
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> list[int]:
