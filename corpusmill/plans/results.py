@@ -271,7 +271,7 @@ def run_overview(spark, sf_dir):
     h AS (SELECT doc_id % 4 AS repo, count(*) AS hotspot_count FROM documents WHERE n_chars % 9 = 0 GROUP BY 1), l AS (SELECT doc_id % 4 AS repo, count(DISTINCT doc_id // 3) AS graph_links FROM documents GROUP BY 1),
     d AS (SELECT doc_id % 4 AS repo, count(DISTINCT doc_id % 6) AS dependency_manifests, count(*) AS dependencies FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), v AS (SELECT doc_id % 4 AS repo, count_if(doc_id % 3 = 0) AS vulnerable_dependencies, count_if(doc_id % 3 = 1) AS outdated_dependencies, count_if(doc_id % 3 <> 2) AS research_queries FROM documents GROUP BY 1)
     SELECT repo, total_files, source_files, total_loc, coalesce(hotspot_count, 0) AS hotspot_count, coalesce(graph_links, 0) AS graph_links, coalesce(dependency_manifests, 0) AS dependency_manifests, coalesce(dependencies, 0) AS dependencies, coalesce(vulnerable_dependencies, 0) AS vulnerable_dependencies,
-        coalesce(outdated_dependencies, 0) AS outdated_dependencies, coalesce(research_queries, 0) AS research_queries, 'sha' || repo AS head_sha, 1.23 AS elapsed_seconds FROM f LEFT JOIN h USING (repo) LEFT JOIN l USING (repo) LEFT JOIN d USING (repo) LEFT JOIN v USING (repo)""")
+        coalesce(outdated_dependencies, 0) AS outdated_dependencies, coalesce(research_queries, 0) AS research_queries, 'sha' || repo AS head_sha, CAST(1.23 AS DOUBLE) AS elapsed_seconds FROM f LEFT JOIN h USING (repo) LEFT JOIN l USING (repo) LEFT JOIN d USING (repo) LEFT JOIN v USING (repo)""")
 def full_statistics(spark, sf_dir):
     """The rest of a run's statistics: hotspots, links, manifests, searches, commit and time."""
     d = F.col("doc_id")
