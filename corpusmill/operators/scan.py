@@ -50,8 +50,8 @@ RULES: list[Rule] = [
 # Names of credentials, and a value long enough to be judged by its entropy.
 ASSIGNMENT = r"""(?iU)\b([A-Za-z0-9_]*(?:key|secret|token|password|passwd|credential|auth)[A-Za-z0-9_]*)\s*[:=]\s*["']([^"'\n]{24,})["']"""
 ENTROPY = Rule("high_entropy_value", "High-entropy value assigned to a credential-like name", "HIGH", ASSIGNMENT, "A value with the entropy of a generated key.", "Rotate it if it is real, and load it from configuration.", (("key", "secret", "token", "passw", "credential", "auth"), ('"', "'"), (":", "=")))
-#: A cheaper pattern that every match of the two credential patterns satisfies.
-_ASSIGNED = r"""(?iU)(?:key|secret|token|password|passwd|passphrase|credential|auth)\w*\s*[:=]\s*["']"""
+#: A cheaper pattern, of lowered text, that every match of the two credential patterns satisfies.
+_ASSIGNED = r"""(?U)(?:key|secret|token|password|passwd|passphrase|credential|auth)\w*\s*[:=]\s*["']"""
 PER_RULE, LONGEST_LINE = 5, 1000
 _CUT = "\x01"
 _HIT = "array<struct<line:int,text:string,value:string>>"
@@ -61,7 +61,7 @@ def _fires(rule: Rule) -> Column:
     """Whether the rule may fire on ``content`` (lowered: ``low``): the cheap tests stand first and spare most regexes."""
     tests = [reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in group]) for group in rule.anchors]
     if rule.pattern in (ASSIGNMENT, RULES[0].pattern):
-        tests.append(F.col("content").rlike(_ASSIGNED))
+        tests.append(F.col("low").rlike(_ASSIGNED))
     if rule.languages:
         tests.append(F.coalesce(F.col("language").isin("", *rule.languages), F.lit(True)))
     return reduce(lambda a, b: a & b, [*tests, F.col("content").rlike(rule.pattern)])
@@ -102,7 +102,7 @@ def findings(files: DataFrame, rules: Sequence[Rule] = RULES, per_rule: int = PE
             files = files.filter(~F.coalesce(flag, F.lit(False)))
     language = F.col("language") if "language" in files.columns else F.lit("")
     content = F.when(F.contains("content", F.lit("\r")), X.clean_lines(F.col("content"))).otherwise(F.col("content"))
-    texts = files.filter("content <> ''").select(*keys, language.alias("language"), F.translate(content, _CUT, " ").alias("content"))
+    texts = files.filter("content <> ''").select(*keys, language.alias("language"), F.when(F.contains("content", F.lit(_CUT)), F.replace(content, F.lit(_CUT), F.lit(" "))).otherwise(content).alias("content"))
     # upper case first: it gives what a regex that ignores case takes for an ASCII letter
     texts = texts.withColumn("low", F.lower(F.upper("content")))
     fired = F.filter(F.array(*[F.when(_fires(r), F.lit(i)) for i, r in enumerate(every)]), lambda x: x.isNotNull())
