@@ -52,8 +52,10 @@ def oracle(sql: str, sf_dir: str):
 def same(df, other) -> None:
     """Equal rows in any order, columns by name."""
 
+    import pandas as pd
+
     def text(v) -> str:
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         try:
             return f"{float(v):.6f}"
