@@ -1,4 +1,4 @@
-"""Files to facts: complexity, functions, classes and imports; a syntax tree for Python, patterns for the rest."""
+"""Files to facts: complexity, functions, classes and imports; a syntax tree for Python, islands of tokens or patterns for the rest."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import islands, lexing
 
 OUT = "file_path string, language string, complexity int, loc int, comment_lines int, functions array<struct<name:string,start_line:int,end_line:int,complexity:int,lines:int>>, classes array<struct<name:string,start_line:int,end_line:int>>, imports array<string>, parsed_with string"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.match_case)
@@ -145,6 +146,10 @@ def parse(text: str, language: str) -> dict:
             return parse_python(text)
         except (SyntaxError, ValueError, RecursionError):
             return {"complexity": 0, "functions": [], "classes": [], "imports": imports_of(text, language), "parsed_with": "regex", "comment_lines": 0}
+    kind = lexing.ALIASES.get(language, language)
+    if kind in lexing.KNOWN:
+        name = {"c_sharp": "csharp", "tsx": "javascript"}.get(language, language)
+        return islands.parse_islands(text, language, re.compile(_BRANCHING.get(name, _BRANCHING.get(kind, _ANY_BRANCH))))
     return parse_patterns(text, language)
 
 
