@@ -86,12 +86,79 @@ def apply(source: str, diff: str, strict: bool = False) -> tuple[str | None, str
     return ("\n".join(lines), "") if hunks(diff) else (None, "no hunks")
 
 
+def _changes(body: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(removed, added) of each run of changes in a hunk, context left out."""
+    runs, open_ = [], False
+    for x in body:
+        if x[0] == " ":
+            open_ = False
+        elif not open_ or (x[0] == "-" and runs[-1][1]):
+            runs.append(([x[1:]], []) if x[0] == "-" else ([], [x[1:]]))
+            open_ = True
+        else:
+            runs[-1][x[0] == "+"].append(x[1:])
+    return runs
+
+
+class _Places:
+    """Where blocks of lines stand in a file; lines that one change took are no place for another."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.taken, self.first = [x.rstrip() for x in lines], set(), {}
+        for i, x in enumerate(self.lines):
+            self.first.setdefault(x, []).append(i)
+
+    def of(self, block: list[str]) -> list[int]:
+        want = [x.rstrip() for x in block]
+        return [i for i in self.first.get(want[0], []) if self.lines[i : i + len(want)] == want and self.taken.isdisjoint(range(i, i + len(want)))] if want else []
+
+
+def _placed(places: _Places, start: int, body: list[str]) -> list[tuple[int, list[str], list[str]]] | None:
+    """(line, removed, added) of a hunk's changes in the file, or None.
+
+    Where its context is the file's, the hunk stands there, at its own line or as near to it as can be. Else context is
+    not asked for: the removed lines as one block, wherever they stand first; or run by run, where each stands once.
+    """
+    runs, old = _changes(body), [x[1:] for x in body if x[0] in " -"]
+    exact = min(places.of(old), key=lambda i: (abs(i - start + 1), i), default=None)
+    if exact is not None:
+        out, at = [], exact
+        k, before = 0, " "
+        for x in body:
+            if x[0] != " " and (before == " " or (x[0] == "-" and before == "+")):
+                out.append((at, *runs[k]))
+                k += 1
+            at, before = at + (x[0] != "+"), x[0]
+        return out
+    removed, added = [x[1:] for x in body if x[0] == "-"], [x[1:] for x in body if x[0] == "+"]
+    if removed and (found := places.of(removed)):
+        return [(found[0], removed, added)]
+    spots = [places.of(r) for r, _ in runs]
+    return [(s[0], *run) for s, run in zip(spots, runs, strict=True)] if all(len(s) == 1 for s in spots) else None
+
+
 def reanchor(source: str, diff: str, path: str) -> str:
-    """The same change with right line numbers and three lines of context; empty where it has no place."""
-    after, why = apply(source, diff)
-    if why or after is None or after == source:
+    """The same change with the file's own lines around it; empty where a change has no place, or changes nothing.
+
+    Hunks are placed by falling number of removed lines, so that a short block does not take a line that a longer one
+    needs, then written into the file from its end on; the diff of the two gives numbers and context. Its own output
+    comes back as it is.
+    """
+    lines = source.split("\n")
+    places, found = _Places(lines), []
+    for start, body in sorted(hunks(diff), key=lambda h: -sum(x[0] == "-" for x in h[1])):
+        spots = _placed(places, start, body)
+        if not spots:
+            return ""
+        for at, removed, added in spots:
+            found.append((at, len(removed), added))
+            places.taken.update(range(at, at + len(removed)))
+    after = list(lines)
+    for at, n, added in sorted(found, key=lambda f: f[:2], reverse=True):
+        after[at : at + n] = added
+    if after == lines:
         return ""
-    return "\n".join(difflib.unified_diff(source.split("\n"), after.split("\n"), f"a/{path}", f"b/{path}", n=3, lineterm="")) + "\n"
+    return "\n".join(difflib.unified_diff(lines, after, f"a/{path}", f"b/{path}", n=3, lineterm="")) + "\n"
 
 
 def _check(batches):

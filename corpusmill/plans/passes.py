@@ -365,6 +365,25 @@ def checked_patches(spark, sf_dir):
     return out.select(F.substring("file_path", 2, 20).cast("bigint").alias("doc_id"), "applies", "reason", F.md5("diff").alias("diff"))
 
 
+@query(f"""WITH {_PATCHED}, h AS (SELECT *, greatest(1, k - 3) AS a, least(14, k + 3) AS b FROM lines)
+    SELECT doc_id, true AS applies, '' AS reason, md5('--- a/f' || doc_id || chr(10) || '+++ b/f' || doc_id || chr(10) || '@@ -' || a || ',' || (b - a + 1) || ' +' || a || ',' || (b - a + 1) || ' @@' || chr(10)
+        || array_to_string(list_transform(range(a, b + 1), lambda j: CASE WHEN j = k THEN '-' || ls[j] || chr(10) || '+changed ' || doc_id ELSE ' ' || ls[j] END), chr(10)) || chr(10)) AS diff FROM h
+    UNION ALL SELECT doc_id, true, '', md5('--- a/f' || doc_id || chr(10) || '+++ b/f' || doc_id || chr(10) || '@@ -8,7 +8,6 @@' || chr(10) || ' ' || ls[8] || chr(10) || ' ' || ls[9] || chr(10) || ' ' || ls[10] || chr(10) || '-' || ls[11] || chr(10) || '-' || ls[12] || chr(10) || '-' || ls[13] || chr(10) || '+one' || chr(10) || '+two' || chr(10) || ' ' || ls[14] || chr(10)) FROM lines
+    UNION ALL SELECT doc_id, false, 'no usable diff', md5('--- a/f' || doc_id || chr(10) || '+++ b/f' || doc_id || chr(10) || '@@ -3,2 +3,2 @@' || chr(10) || ' l3-' || doc_id || chr(10) || '-absent ' || doc_id || chr(10) || '+x' || chr(10)) FROM documents""")
+def reanchored_patches(spark, sf_dir):
+    """Diffs whose context is not the file's: the removed lines alone say where they stand; where these are missing the diff stays as it is."""
+    d, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    line = lambda j: F.concat(F.lit("l"), F.lit(j).cast("string") if isinstance(j, int) else j.cast("string"), F.lit("-"), s)
+    head = F.concat(F.lit("--- a/f"), s, F.lit("\n+++ b/f"), s, F.lit("\n"))
+    wrong = F.concat(head, F.lit("@@ -90,9 +1,7 @@\n nothing like it\n \n-"), line((d % 10 + 2).cast("int")), F.lit("\n+changed "), s, F.lit("\n no such line\n"))
+    block = F.concat(head, F.lit("@@ -1,4 +1,3 @@\n not here\n-"), line(11), F.lit("\n-"), line(12), F.lit("\n-"), line(13), F.lit("\n+one\n+two\n"))
+    absent = F.concat(head, F.lit("@@ -3,2 +3,2 @@\n "), line(3), F.lit("\n-absent "), s, F.lit("\n+x\n"))
+    source = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(14)), line), "\n")
+    base = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), s).alias("file_path"), source.alias("content"), F.explode(F.array(wrong, block, absent)).alias("diff"))
+    out = patches.check(base.select("file_path", "diff"), base.select("file_path", "content").distinct())
+    return out.select(F.substring("file_path", 2, 20).cast("bigint").alias("doc_id"), "applies", "reason", F.md5("diff").alias("diff"))
+
+
 _HEADS = ["--- a/x.py", "+++ b/x.py", "+++ /etc/passwd", "--- a/../x", "+++ b/.git/config", "--- /dev/null", " --- a/../x", "+++ b/a/..b/x", "--- a/x\t2020"]
 
 

@@ -270,6 +270,24 @@ def test_diffs_that_change_nothing_or_repeat():
     assert patches.reanchor(source, patches.clean("--- a/f\n+++ b/f\n@@ -1 +1 @@\n b\n"), "f") == "" and patches.clean("this text is no diff") == ""
 
 
+def test_changes_stand_where_their_removed_lines_do():
+    """Context that is not the file's is not asked for; long blocks come first; what cannot be placed is left alone."""
+    place = lambda source, diff: patches.apply(source, patches.reanchor(source, patches.clean(diff), "app.py"), strict=True)[0]
+    source = "import os\n\n\ndef f():\n    return 1\n\n\nclass A:\n    pass\n"
+    diff = "--- a/app.py\n+++ b/app.py\n@@ -1,11 +1,11 @@\n import os\n def f():\n-    return 1\n+    return 2\n class A:\n"
+    assert place(source, diff) == source.replace("return 1", "return 2")
+    once = patches.reanchor(source, patches.clean(diff), "app.py")
+    assert once.split("\n").count(" ") == 4 and patches.reanchor(source, once, "app.py") == once
+    two = "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n gone\n-x\n+X\n@@ -9,9 +9,9 @@\n gone too\n-x\n-y\n-z\n+long\n"
+    assert place("a\nx\ny\nz\nb\nx\nc", two) == "a\nlong\nb\nX\nc"  # the short block would take a line of the long one
+    assert patches.reanchor("keep\nsomething else\n", patches.clean("--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n keep\n-never in the file\n+x\n"), "f") == ""
+    repeated = "a\nx\nb\nx\nc\nx\nd"
+    assert place(repeated, "--- a/f\n+++ b/f\n@@ -5,3 +5,3 @@\n c\n-x\n+X\n d\n") == "a\nx\nb\nx\nc\nX\nd"  # right context says which
+    apart = "--- a/f\n+++ b/f\n@@ -1,5 +1,5 @@\n-one\n+ONE\n wrong\n-three\n+THREE\n+3b\n"
+    assert place("one\ntwo\nthree", apart) == "ONE\ntwo\nTHREE\n3b" and place("one\none\ntwo\nthree", apart) is None
+    assert place("a\nb", "--- a/f\n+++ b/f\n@@ -1,2 +1,3 @@\n a\n+new\n b\n") == "a\nnew\nb" and place("a\nb\nc", "--- a/f\n+++ b/f\n@@ -7 +7 @@\n no\n-b\n") == "a\nc"
+
+
 def test_architectures():
     empty = review.clean({"note": 1})
     assert not empty["extracted"] and empty["layers"] == [] and review.clean([1])["summary"] == ""
