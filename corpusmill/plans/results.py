@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import digest, graph, search, summaries
 from ..sources import snapshots
-from ..streaming import events, limits
+from ..streaming import events, keyed, limits
 from .registry import pick, pick_sql, query, table
 
 # ---- addresses and limits
@@ -138,6 +138,67 @@ def replayed_messages(spark, sf_dir):
     return events.subscribe(messages, who).select("subscriber", "job", "seq", "replayed")
 
 
+def _in_batches(rows: DataFrame, n: int) -> list[DataFrame]:
+    """The rows of a stream dealt to n batches by hash, so that many come before their turn; the last batch has some of the first again."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("stream_id", "seq"), F.lit(n)))
+    again = dealt.filter("_b = 0 and seq % 3 = 0").withColumn("_b", F.lit(n - 1))
+    every = dealt.unionByName(again)
+    return [every.filter(F.col("_b") == b).drop("_b") for b in range(n)]
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(place AS INTEGER) AS place, role AS event, md5(data) AS data FROM ({_EVENTS})")
+def streamed_events(spark, sf_dir):
+    """The chunks of parsed_events as a stream of three micro-batches, out of order and partly twice, with a restart between them."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", events.frame(F.col("role"), F.col("text")).alias("f")))), lambda x: x["f"]), "")
+    whole = c.groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(text.alias("t")).withColumn("n", F.floor((F.length("t") - 1) / 37))
+    cut = whole.select("stream_id", "t", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("seq")).select("stream_id", "seq", F.expr("substring(t, cast(seq * 37 + 1 as int), 37)").alias("piece"), (F.col("seq") == F.col("n")).alias("last"))
+    return keyed.replayed(_in_batches(cut, 3), keyed.parsed, "events").select("stream_id", "place", "event", F.md5("data").alias("data"))
+
+
+@query("""WITH s AS (SELECT conv_id, count(*) AS n, md5(string_agg(text, '' ORDER BY turn)) AS t FROM conversations GROUP BY conv_id)
+    SELECT CAST(conv_id AS VARCHAR) AS stream_id, CASE WHEN conv_id % 4 = 3 THEN md5('') ELSE t END AS text, 'f' || conv_id AS sources, CASE conv_id % 4 WHEN 1 THEN 'broken' WHEN 3 THEN 'empty' END AS error, CASE WHEN conv_id % 4 IN (1, 3) THEN 'false' ELSE 'true' END AS done, 1 AS ends FROM s""")
+def streamed_answers(spark, sf_dir):
+    """Answers as streams of pieces in two micro-batches: each begins with its sources and has one end, whatever becomes of it."""
+    c = table(spark, sf_dir, "conversations").withColumn("stream_id", F.col("conv_id").cast("string"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint")
+    heard = c.filter("conv_id % 4 <> 3").select("conv_id", "stream_id", place.alias("seq"), F.col("text").alias("piece"))
+    counts = c.groupBy("conv_id", "stream_id").agg(F.count(F.lit(1)).alias("n"))
+    heads = counts.select("conv_id", "stream_id", F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit('["f'), "stream_id", F.lit('"]')).alias("piece"), (F.col("conv_id") % 4 == 3).alias("last"))
+    broken = counts.filter("conv_id % 4 = 1").select("conv_id", "stream_id", (F.col("n") + 1).alias("seq"), F.lit(None).cast("string").alias("piece"), F.lit(True).alias("last"))
+    said = heard.join(counts, ["conv_id", "stream_id"]).select("conv_id", "stream_id", "seq", "piece", ((F.col("seq") == F.col("n")) & (F.col("conv_id") % 4 != 1)).alias("last"))
+    rows = heads.unionByName(said).unionByName(broken).drop("conv_id")
+    out = keyed.replayed(_in_batches(rows, 2), keyed.answered, "answers")
+    of = lambda e: F.max(F.when(F.col("event") == e, F.col("data")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == "delta", F.struct("place", "data")))), lambda x: x["data"]), "")
+    return out.groupBy("stream_id").agg(F.md5(text).alias("text"), F.get_json_object(of("sources"), "$[0]").alias("sources"), of("error").alias("error"), of("done").alias("done"), F.count_if(F.col("event") == "done").cast("int").alias("ends"))
+
+
+@query()
+def streamed_runs(spark, sf_dir):
+    """The requests of admitted_runs as a stream of three micro-batches, up to 200 seconds out of order; the same decisions."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("event_type").alias("instance"), "event_id", (F.col("user_id") % 12).cast("string").alias("url"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), ((F.col("user_id") % 7 + 1) * 9000.0).alias("seconds"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    third = F.floor((F.col("at") + F.pmod(F.xxhash64("event_id"), F.lit(200)) - first) * 3 / (last - first + 1))
+    dealt = [rows.filter(F.least(third, F.lit(2)) == b) for b in range(3)]
+    # a row far ahead moves the watermark past all others, and the batch after it lets their timers go
+    ahead = lambda days: rows.limit(1).select(F.lit("").alias("instance"), F.lit(-days).cast("bigint").alias("event_id"), "url", F.lit(last + days * 86_400.0).alias("at"), F.lit(0.0).alias("seconds"), F.timestamp_seconds(F.lit(last + days * 86_400.0)).alias("ts"))
+    return keyed.replayed([*dealt, ahead(1), ahead(2)], limits.admit_runs, "runs").filter("event_id >= 0")
+
+
+@query("""WITH s AS (SELECT user_id AS subscriber, user_id % 20 AS job, min(ts) AS since FROM events GROUP BY user_id)
+    SELECT subscriber, s.job, count(*) FILTER (e.ts < since) AS n_replayed, count(*) FILTER (e.ts >= since) AS n_followed, arg_min(event_id, {'a': ts, 'b': event_id}) FILTER (e.ts >= since) AS first_followed FROM s JOIN (SELECT user_id % 20 AS job, event_id, ts FROM events) e ON e.job = s.job GROUP BY subscriber, s.job""")
+def subscriber_offsets(spark, sf_dir):
+    """Every user subscribes to a job when first seen: how much of its log is replayed, and where what is new begins."""
+    e = table(spark, sf_dir, "events")
+    messages = e.select((F.col("user_id") % 20).alias("job"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    who = e.groupBy(F.col("user_id").alias("subscriber")).agg(F.min("ts").alias("at")).withColumn("job", F.col("subscriber") % 20)
+    return events.offsets(messages, who)
+
+
 # ---- stores
 
 _SHOTS = "s AS (SELECT 'i' || o_orderkey AS repo_id, 'u' || o_custkey AS repo_url, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'h' || o_orderkey % 4 END AS head_sha, CASE WHEN o_orderkey % 5 = 0 THEN true WHEN o_orderkey % 5 = 1 THEN NULL ELSE false END AS truncated, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '/c' END AS repo_path, o_orderdate FROM orders)"

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
+import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+_LINE_END = re.compile(r"\r\n|\r|\n")
+
+
 @dataclass
 class Parser:
-    """Lines end with LF, CR or CRLF, wherever chunks are cut; events without data are dropped."""
+    """Lines end with LF, CR or CRLF, wherever chunks are cut; events without data are dropped.
 
-    buffer: str = ""
+    The pieces of a line that has not ended are kept as they came, and joined once: the whole is linear in the text. A
+    CR that ends a chunk waits for what follows, for the next may begin with its LF.
+    """
+
+    parts: list[str] = field(default_factory=list)
+    cr: bool = False
     event: str = ""
     id: str = ""
     data: list[str] = field(default_factory=list)
 
     def push(self, chunk: str, end: bool = False) -> list[tuple[str, str, str]]:
-        text, out = self.buffer + chunk, []
-        while True:
-            at = min((i for i in (text.find("\n"), text.find("\r")) if i >= 0), default=-1)
-            if at < 0 or (text[at] == "\r" and at == len(text) - 1 and not end):
+        out, at = [], 0
+        if self.cr and (chunk or end):
+            out += self._ended("")
+            at, self.cr = int(chunk.startswith("\n")), False
+        for m in _LINE_END.finditer(chunk, at):
+            if m[0] == "\r" and m.end() == len(chunk) and not end:
+                self.parts.append(chunk[at : m.start()])
+                at, self.cr = len(chunk), True
                 break
-            out += self._line(text[:at])
-            text = text[at + 2 :] if text[at : at + 2] == "\r\n" else text[at + 1 :]
-        self.buffer = text
+            out += self._ended(chunk[at : m.start()])
+            at = m.end()
+        if at < len(chunk):
+            self.parts.append(chunk[at:])
         if end:
-            out += (self._line(text) if text else []) + self._line("")
-            self.buffer = ""
+            out += (self._ended("") if any(self.parts) else []) + self._line("")
+            self.parts = []
         return out
 
+    def _ended(self, tail: str) -> list[tuple[str, str, str]]:
+        line, self.parts = "".join([*self.parts, tail]), []
+        return self._line(line)
+
     def _line(self, line: str) -> list[tuple[str, str, str]]:
         if line == "":
             done = [(self.event or "message", "\n".join(self.data), self.id)] if self.data else []
@@ -52,17 +69,40 @@ class Parser:
         return []
 
 
-def _parse(pdf: pd.DataFrame) -> pd.DataFrame:
-    parser, stream, out = Parser(), pdf["stream_id"].iloc[0], []
-    for chunk in pdf.sort_values("seq")["chunk"]:
-        out += parser.push(chunk or "")
-    out += parser.push("", end=True)
-    return pd.DataFrame([(stream, i, *e) for i, e in enumerate(out)], columns=["stream_id", "place", "event", "data", "id"])
+def _in_streams(begin: Callable[[], object], step: Callable[[object, pd.DataFrame], list[tuple]], finish: Callable[[object], list[tuple]], columns: list[str]):
+    """Goes through rows sorted by stream, frame after frame: of a stream only its state is held, however long it is."""
+
+    def run(batches):
+        stream, state, place = None, None, 0
+        for pdf in batches:
+            out = []
+
+            def add(events: list[tuple]) -> None:
+                nonlocal place
+                out.extend((stream, place + i, *e) for i, e in enumerate(events))  # noqa: B023
+                place += len(events)
+
+            cuts = pdf["stream_id"].ne(pdf["stream_id"].shift()).cumsum()
+            for _, part in pdf.groupby(cuts, sort=False):
+                if state is None or part["stream_id"].iloc[0] != stream:
+                    if state is not None:
+                        add(finish(state))
+                    stream, place = part["stream_id"].iloc[0], 0
+                    state = begin()
+                add(step(state, part))
+            yield pd.DataFrame(out, columns=columns)
+        if state is not None:
+            yield pd.DataFrame([(stream, place + i, *e) for i, e in enumerate(finish(state))], columns=columns)
+
+    return run
 
 
 def parse(chunks: DataFrame) -> DataFrame:
-    """stream_id, place, event, data, id of chunks(stream_id, seq, chunk)."""
-    return chunks.groupBy("stream_id").applyInPandas(_parse, "stream_id string, place int, event string, data string, id string")
+    """stream_id, place, event, data, id of chunks(stream_id, seq, chunk); null chunks are empty, streams without an id are left out."""
+    step = lambda parser, part: [e for c in part["chunk"] for e in parser.push(c if isinstance(c, str) else "")]
+    run = _in_streams(Parser, step, lambda parser: parser.push("", end=True), ["stream_id", "place", "event", "data", "id"])
+    rows = chunks.select("stream_id", "seq", "chunk").filter("stream_id is not null").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return rows.mapInPandas(run, "stream_id string, place int, event string, data string, id string")
 
 
 def hold_back(pending: str, tail: int = 48) -> tuple[str, str]:
@@ -79,40 +119,62 @@ def hold_back(pending: str, tail: int = 48) -> tuple[str, str]:
     return pending[:at], pending[at:]
 
 
+@dataclass
+class Answer:
+    """An answer as it comes: deltas, held back where they may be a call of a tool, then exactly one end."""
+
+    pending: str = ""
+    shown: bool = False
+    over: bool = False
+    named: bool = False  # its sources have been given
+
+    def push(self, piece: str | None) -> list[tuple[str, str]]:
+        """The events of one more piece; a null one is where the stream broke."""
+        if self.over:
+            return []
+        if piece is None:
+            self.over = True
+            return [("error", "broken"), ("done", "false")]
+        show, self.pending = hold_back(self.pending + piece)
+        self.shown = self.shown or bool(show)
+        return [("delta", show)] if show else []
+
+    def end(self) -> list[tuple[str, str]]:
+        if self.over:
+            return []
+        out, self.over = [("delta", self.pending)] if self.pending else [], True
+        return [*out, ("done", "true")] if self.shown or out else [("error", "empty"), ("done", "false")]
+
+
 def fold(deltas: list[str | None]) -> list[tuple[str, str]]:
     """The events of an answer: deltas, then done; an empty stream is an error, and so is a broken one (None)."""
-    out, pending, shown = [], "", False
-    for d in deltas:
-        if d is None:
-            return [*out, ("error", "broken"), ("done", "false")]
-        show, pending = hold_back(pending + d)
-        if show:
-            out.append(("delta", show))
-            shown = True
-    if pending:
-        out.append(("delta", pending))
-        shown = True
-    return [*out, ("done", "true")] if shown else [("error", "empty"), ("done", "false")]
+    answer = Answer()
+    return [e for d in deltas for e in answer.push(d)] + answer.end()
 
 
 def answer_events(deltas: DataFrame, sources: DataFrame) -> DataFrame:
     """stream_id, place, event, data of answers: their sources (JSON) first, then what ``fold`` makes of deltas(stream_id, seq, piece).
 
     sources(stream_id, file_path, place). A null piece is where a stream broke. A stream of sources alone is empty,
-    and so an error. The pieces of one answer are one group.
+    and so an error. The pieces of an answer are read one after the other.
     """
     paths = F.transform(F.array_sort(F.collect_list(F.struct("place", "file_path"))), lambda x: x["file_path"])
     named = sources.groupBy("stream_id").agg(F.to_json(paths).alias("_sources"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", na_position="first")
-        head, here = pdf["_sources"].iloc[0], pdf[pdf["seq"].notna()]
-        pieces = [None if p is None or p != p else p for p in here["piece"]]
-        out = [("sources", head if isinstance(head, str) else "[]"), *fold(pieces)]
-        return pd.DataFrame([(pdf["stream_id"].iloc[0], i, *e) for i, e in enumerate(out)], columns=["stream_id", "place", "event", "data"])
+    def step(answer: Answer, part: pd.DataFrame) -> list[tuple[str, str]]:
+        out = []
+        for piece, seq, head in zip(part["piece"], part["seq"], part["_sources"], strict=True):
+            if not answer.named:
+                answer.named = True
+                out.append(("sources", head if isinstance(head, str) else "[]"))
+            if seq == seq and seq is not None:
+                out += answer.push(piece if isinstance(piece, str) else None)
+        return out
 
+    run = _in_streams(Answer, step, Answer.end, ["stream_id", "place", "event", "data"])
     kind = dict(deltas.dtypes)["stream_id"]
-    return deltas.select("stream_id", "seq", "piece").join(named, "stream_id", "full").groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, place int, event string, data string")
+    rows = deltas.select("stream_id", "seq", "piece").join(named, "stream_id", "full").filter("stream_id is not null").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return rows.mapInPandas(run, f"stream_id {kind}, place int, event string, data string")
 
 
 def subscribe(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
@@ -124,6 +186,20 @@ def subscribe(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
     return messages.join(own, "job").select("subscriber", "job", "seq", "message", (F.col("at") < F.col("_since")).alias("replayed"))
 
 
+def offsets(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """subscriber, job, n_replayed, n_followed, first_followed of ``subscribe`` without its rows: how much of its job's log a subscriber is given.
+
+    messages(job, seq, at), subscribers(subscriber, job, at). Both are put in one order of time for each job, messages of
+    a subscriber's own instant after it, and counted as they pass; no message is joined to any subscriber.
+    """
+    both = messages.select("job", "at", F.lit(1).alias("_kind"), "seq", F.lit(None).alias("subscriber")).unionByName(
+        subscribers.select("job", "at", F.lit(0).alias("_kind"), F.lit(None).cast(dict(messages.dtypes)["seq"]).alias("seq"), "subscriber")
+    )
+    order = Window.partitionBy("job").orderBy("at", "_kind", "seq")
+    passed = both.withColumns({"n_replayed": F.count("seq").over(order.rowsBetween(Window.unboundedPreceding, -1)), "first_followed": F.first("seq", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "_all": F.count("seq").over(Window.partitionBy("job"))})
+    return passed.filter("_kind = 0").select("subscriber", "job", "n_replayed", (F.col("_all") - F.col("n_replayed")).alias("n_followed"), "first_followed")
+
+
 def frame(event: Column, data: Column) -> Column:
     """An event as text: its name, a data line for each line, a blank line."""
     lines = F.transform(F.split(F.coalesce(data, F.lit("")), "\r\n|\r|\n"), lambda x: F.concat(F.lit("data: "), x))

@@ -76,33 +76,101 @@ def coalesce(requests: DataFrame, keys: list[str], grace: str = "300 seconds") -
 GRACE, AT_ONCE = 300, 4
 
 
+class Runs:
+    """The runs of one instance: those that go on, and those that began less than ``grace`` ago."""
+
+    def __init__(self, grace: float = GRACE, at_once: int = AT_ONCE, jobs: dict[str, tuple[float, float]] | None = None):
+        self.grace, self.at_once, self.jobs = grace, at_once, dict(jobs or {})
+
+    def ask(self, at: float, url: str, seconds: float) -> tuple[str, float | None]:
+        """(started, attached or rejected; when its run began). A run that goes on or is young is joined; as many as ``at_once`` go on."""
+        self.jobs = {u: j for u, j in self.jobs.items() if j[1] > at or at - j[0] <= self.grace}
+        held = self.jobs.get(url)
+        if held and (held[1] > at or at - held[0] < self.grace):
+            return "attached", held[0]
+        if sum(end > at for _, end in self.jobs.values()) >= self.at_once:
+            return "rejected", None
+        self.jobs[url] = (at, at + seconds)
+        return "started", at
+
+
 def decide(requests: list[tuple[float, str, float]], grace: float = GRACE, at_once: int = AT_ONCE) -> list[tuple[str, float | None]]:
-    """(started, attached or rejected; when its run began) for each (at, url, seconds a run takes), in order of time.
+    """``Runs.ask`` of each (at, url, seconds a run takes), in order of time."""
+    runs = Runs(grace, at_once)
+    return [runs.ask(*r) for r in requests]
+
+
+class Admission(StatefulProcessor):
+    """Decisions of a stream of requests(instance, event_id, url, at, seconds, ts): those of one instance in order of time.
 
-    A run that goes on, or began less than ``grace`` ago, is joined; another starts unless as many as ``at_once`` go on.
+    Requests wait in a list until the watermark has passed them, so that they may come out of order within its delay; a
+    timer at the earliest one's time then decides all that are due. What is kept besides are the runs that still count.
     """
-    jobs: dict[str, tuple[float, float]] = {}
-    out: list[tuple[str, float | None]] = []
-    for at, url, seconds in requests:
-        jobs = {u: j for u, j in jobs.items() if j[1] > at or at - j[0] <= grace}
-        held = jobs.get(url)
-        if held and (held[1] > at or at - held[0] < grace):
-            out.append(("attached", held[0]))
-        elif sum(end > at for _, end in jobs.values()) >= at_once:
-            out.append(("rejected", None))
-        else:
-            jobs[url] = (at, at + seconds)
-            out.append(("started", at))
-    return out
-
-
-def admit_runs(requests: DataFrame, grace: float = GRACE, at_once: int = AT_ONCE) -> DataFrame:
-    """requests(instance, event_id, url, at, seconds) with decision and started_at; the runs of an instance are one sequence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        said = decide(list(zip(pdf["at"], pdf["url"], pdf["seconds"], strict=True)), grace, at_once)
-        return pd.DataFrame({"instance": pdf["instance"], "event_id": pdf["event_id"], "decision": [d for d, _ in said], "started_at": [s for _, s in said]})
 
+    def __init__(self, grace: float, at_once: int):
+        self.grace, self.at_once = grace, at_once
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.jobs = handle.getMapState("jobs", "url string", "began double, ends double")
+        self.waiting = handle.getListState("waiting", "at double, event_id long, url string, seconds double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh = [(float(a), int(e), u, float(s)) for pdf in rows for a, e, u, s in zip(pdf["at"], pdf["event_id"], pdf["url"], pdf["seconds"], strict=True)]
+        self.waiting.appendList(fresh)
+        self._wake(min(r[0] for r in fresh))
+        yield from ()
+
+    def _wake(self, at: float, passed: int = -1) -> None:
+        """One timer, at the earliest request that waits; those up to ``passed``, which are going off, do not count."""
+        due, set_ = int(at * 1000) + 1, [t for t in self.handle.listTimers() if t > passed]
+        if not set_ or due < min(set_):
+            for timer in set_:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) / 1000
+        held = list(self.waiting.get())
+        due = sorted(r for r in held if r[0] < until)
+        if not due:
+            return
+        runs = Runs(self.grace, self.at_once, {k[0]: (v[0], v[1]) for k, v in self.jobs.iterator()})
+        out = [(key[0], e, *runs.ask(at, url, seconds)) for at, e, url, seconds in due]
+        self.jobs.clear()
+        for url, job in runs.jobs.items():
+            self.jobs.updateValue((url,), job)
+        rest = [r for r in held if r[0] >= until]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(r[0] for r in rest), expiredTimerInfo.getExpiryTimeInMs())
+        yield pd.DataFrame(out, columns=["instance", "event_id", "decision", "started_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def admit_runs(requests: DataFrame, grace: float = GRACE, at_once: int = AT_ONCE, delay: str = "300 seconds") -> DataFrame:
+    """requests(instance, event_id, url, at, seconds) with decision and started_at; the runs of an instance are one sequence.
+
+    A batch is sorted by instance and time and read through, of an instance only the runs that count being held. A stream
+    has ts beside at, and its requests may come as late as ``delay``.
+    """
+    names = ["instance", "event_id", "decision", "started_at"]
     shape = f"instance {dict(requests.dtypes)['instance']}, event_id long, decision string, started_at double"
-    return requests.select("instance", "event_id", "url", "at", "seconds").groupBy("instance").applyInPandas(run, shape)
+    if requests.isStreaming:
+        return requests.withWatermark("ts", delay).groupBy("instance").transformWithStateInPandas(Admission(grace, at_once), shape, "Append", "EventTime")
+
+    def run(batches):
+        instance, runs = None, None
+        for pdf in batches:
+            out = []
+            for key, event, url, at, seconds in zip(*(pdf[c].tolist() for c in ("instance", "event_id", "url", "at", "seconds")), strict=True):
+                if runs is None or key != instance:
+                    instance, runs = key, Runs(grace, at_once)
+                out.append((key, event, *runs.ask(at, url, seconds)))
+            yield pd.DataFrame(out, columns=names)
+
+    rows = requests.select("instance", "event_id", "url", "at", "seconds").repartition("instance").sortWithinPartitions("instance", "at", "event_id")
+    return rows.mapInPandas(run, shape)
