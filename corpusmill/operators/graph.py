@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import held
 
 # Endings tried in this order, emitted endings, and beginnings that are never files.
 ENDINGS = [".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go", ".rs", ".java", ".rb", ".php", ".cs", ".kt", ".lua"]
@@ -63,7 +64,7 @@ def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     those folders, then for any path that ends with it, the deepest first. Self-imports are neither edge nor
     external; null and blank specifiers and files without a path are left out.
     """
-    known = files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("path")).filter("path <> ''").distinct()
+    known = held.cut(files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("path")).filter("path <> ''").distinct())
     asked = files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("source"), F.explode("imports").alias("raw")).filter("source <> '' and trim(raw) <> ''").distinct()
     stripped, s, folder = F.btrim("raw"), F.col("s"), F.col("folder")
     split = F.contains(stripped, F.lit(" import "))
@@ -99,10 +100,12 @@ def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rooted = F.array(F.when((from_root == "") | (F.col("rooted") != ""), ask("b", F.col("rooted"), 0, True)))
     names = F.when(F.col("shape") == "python", python).when(F.col("shape") == "path", F.array(ask("b", here, 0, True))).when(F.col("shape") == "root", rooted).when(F.col("shape") == "bare", bare)
-    wanted = asked.select("repo_id", "source", "raw", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("repo_id", "source", "raw", "x.*")
-    met = wanted.join(_answers(known), ["repo_id", "kind", "key"]).filter((F.col("found.rank") < _LITERAL) | F.col("literal"))
-    best = met.groupBy("repo_id", "source", "raw").agg(F.min(F.struct("place", "found")).alias("f")).select("repo_id", "source", "raw", F.col("f.found.path").alias("target"))
-    joined = asked.select("repo_id", "source", "raw").join(best, ["repo_id", "source", "raw"], "left")
+    # what asks for nothing stays as a row without a name, so that one pass gives edges and externals alike
+    wanted = asked.select("repo_id", "source", "raw", F.explode_outer(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("repo_id", "source", "raw", "x.*")
+    met = wanted.join(_answers(known), ["repo_id", "kind", "key"], "left")
+    valid = F.col("found").isNotNull() & ((F.col("found.rank") < _LITERAL) | F.col("literal"))
+    best = met.groupBy("repo_id", "source", "raw").agg(F.min(F.when(valid, F.struct("place", "found"))).alias("f"))
+    joined = held.cut(best.select("repo_id", "source", "raw", F.col("f.found.path").alias("target")))
     edges = joined.filter("target <> source").select("repo_id", "source", "target").distinct()
     return edges, joined.filter("target is null").select("repo_id", "source", F.col("raw").alias("specifier"))
 
@@ -130,13 +133,15 @@ def hub(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 1) -> DataFrame:
     """start, node, hop: what ``hops`` links or fewer reach from starts(start), either way; each node at its least hop."""
     pairs = edges.select("source", "target").filter("source <> target")
-    ways = pairs.unionByName(pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct()
-    front = seen
+    ways = held.cut(pairs.unionByName(pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
+    front = seen = held.cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct())
     for k in range(1, hops + 1):
         reached = front.join(ways, F.col("node") == F.col("source")).select("start", F.col("target").alias("node"), F.lit(k).alias("hop")).distinct()
-        front = reached.join(seen, ["start", "node"], "left_anti")
-        seen = seen.unionByName(front)
+        # each hop is held: the plan of the next one has two tables, however many came before
+        front = held.cut(reached.join(seen, ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = held.cut(seen.unionByName(front))
     return seen.filter("hop > 0")
 
 
