@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import context, findings, patches, review
+from ..operators import context, conversations, findings, patches, review
 from .registry import list_sql, pick, pick_sql, query, table
 
 _SEVERITY = ["CRITICAL", "high", "MEDIUM", "LOW", "INFO", "odd", ""]
@@ -343,6 +343,33 @@ def general_context(spark, sf_dir):
     return context.general(shots, files, deps, none, ["repo_id"]).select("repo_id", F.md5("context").alias("context"))
 
 
+@query("""WITH c AS (SELECT conv_id, conv_id % 200 AS k, conv_id % 4 AS kind, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CAST([1, 2, 3, 7][CAST(kind + 1 AS BIGINT)] AS INTEGER) AS rounds, CAST([0, 1, 3, 6][CAST(kind + 1 AS BIGINT)] AS INTEGER) AS n_records, CAST(CASE kind WHEN 0 THEN 0 WHEN 1 THEN CAST(coalesce(d.text, '') = '' AS INTEGER) WHEN 2 THEN 1 ELSE 6 END AS INTEGER) AS n_errors,
+        CASE WHEN kind = 1 THEN 'd' || k || '.txt' ELSE '' END AS read, md5(CASE WHEN kind = 3 THEN 'All 6 rounds of look-ups were used without an answer.' ELSE coalesce(c.text, '') END) AS answer FROM c LEFT JOIN documents d ON d.doc_id = k""")
+def held_conversations(spark, sf_dir):
+    """Every conversation of the table, held at once: answered as it stands, after a look-up, after three, or never."""
+    d, conv = F.col("doc_id"), F.col("conv_id")
+    docs = table(spark, sf_dir, "documents")
+    files_ = docs.select(F.concat(F.lit("r"), (d % 13).cast("string")).alias("repo_id"), F.concat(F.lit("d"), d.cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").alias("content"), d.alias("ord"))
+    links = files_.select("repo_id", F.col("file_path").alias("source"), F.concat(F.lit("d"), (F.col("ord") + 13).cast("string"), F.lit(".txt")).alias("target"))
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    kind, path = conv % 4, F.concat(F.lit('{"path": "d'), (conv % 200).cast("string"), F.lit('.txt"}'))
+    call = lambda name, arguments: F.struct(F.lit(name).alias("name"), arguments.alias("arguments"))
+    turn = lambda number, text, *calls: F.struct(F.lit(number).alias("round"), text.alias("text"), (F.array(*calls) if calls else F.array()).cast(conversations.CALLS).alias("calls"))
+    text, quiet = F.col("text"), F.lit("")
+    script = (
+        F.when(kind == 0, F.array(turn(1, text)))
+        .when(kind == 1, F.array(turn(1, quiet, call("read_file", path)), turn(2, text)))
+        .when(kind == 2, F.array(turn(1, quiet, call("search_code", F.lit('{"query": "the", "max_results": 3}')), call("guess", F.lit("{}"))), turn(2, quiet, call("list_dependencies_of_file", path)), turn(3, text)))
+        .otherwise(F.array(*[turn(n, quiet, call("read_file", F.lit("none"))) for n in range(1, 7)], turn(7, F.lit('read_file({"path": "x"})'))))
+    )
+    turns = first.select("conv_id", F.explode(script).alias("x")).select("conv_id", "x.*")
+    asked = first.select("conv_id", F.concat(F.lit("r"), ((conv % 200) % 13).cast("string")).alias("repo_id"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", quiet).alias("content"))).alias("said"))
+    out = conversations.converse(asked, files_, links, conversations.scripted(turns))
+    errors = F.size(F.filter("records", lambda r: F.startswith(r["result_preview"], F.lit('{"error"'))))
+    return out.select("conv_id", "rounds", F.size("records").alias("n_records"), errors.alias("n_errors"), F.array_join("read", ",").alias("read"), F.md5("answer").alias("answer"))
+
+
 # ---- patches
 
 _PATCHED = "lines AS (SELECT doc_id, doc_id % 10 + 2 AS k, list_transform(range(1, 15), lambda j: 'l' || j || '-' || doc_id) AS ls FROM documents)"
