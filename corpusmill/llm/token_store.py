@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 END_ID = 2
-#: The file that names a folder's shards in order, each with the ids before it.
+#: The file that names a folder's shards in order, each with the ids before it and the keys it spans.
 MANIFEST = "manifest.jsonl"
 #: Distinct words whose ids a worker holds before it starts over.
 CACHE_WORDS = 500_000
@@ -274,6 +274,11 @@ class Shard:
         good[good] = self.table["print"][at[good]] == _prints(keys[good])
         return [(int(self.table["first"][i]), int(self.table["count"][i])) if g else None for i, g in zip(at.tolist(), good.tolist(), strict=True)]
 
+    def holds(self, key: int) -> bool:
+        """Whether the key found is the very one: a stranger's fingerprint of 32 bits may be another's."""
+        at = int(np.searchsorted(self.keys, key))
+        return at < len(self.keys) and int(self.keys[at]) == key
+
     def ids(self, handle, document: int) -> np.ndarray:
         a, b = self.starts[document : document + 2].tolist()
         handle.seek(a * self.head["width"])
@@ -298,7 +303,8 @@ def _write_batches(folder: str, tokenizer: str, end_id: int, width: int):
         out.close()
         with store.open_output_stream(name + ".mph") as f:
             f.write(pack_index(docs, sizes, width))
-        yield pa.RecordBatch.from_pydict({"shard": [name.rpartition("/")[2]], "part": pa.array([context.partitionId()], pa.int32()), "tokens": pa.array([sum(sizes)], pa.int64()), "documents": pa.array([len(docs)], pa.int64())})
+        known = [d for d in docs if d is not None]  # in ascending order, after the nulls
+        yield pa.RecordBatch.from_pydict({"least": pa.array([known[0] if known else None], pa.int64()), "most": pa.array([known[-1] if known else None], pa.int64()), "nulls": pa.array([len(docs) - len(known)], pa.int64()), "shard": [name.rpartition("/")[2]], "part": pa.array([context.partitionId()], pa.int32()), "tokens": pa.array([sum(sizes)], pa.int64()), "documents": pa.array([len(docs)], pa.int64())})
 
     return run
 
@@ -318,22 +324,82 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     rows = shared.columns_only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     ordered = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    made = ordered.mapInArrow(_write_batches(shared.normal_uri(folder), tokenizer, end_id, width), "shard string, part int, tokens long, documents long").collect()
+    made = ordered.mapInArrow(_write_batches(shared.normal_uri(folder), tokenizer, end_id, width), "least long, most long, nulls long, shard string, part int, tokens long, documents long").collect()
     out, at = [], 0
     for r in sorted(made, key=lambda r: r["part"]):
-        out.append((r["shard"], at))
+        out.append({"shard": r["shard"], "base": at, "least": r["least"], "most": r["most"], "nulls": r["nulls"]})
         at += r["tokens"]
     store, top = shared.open_store(shared.normal_uri(folder))
     with store.open_output_stream(f"{top}/{MANIFEST}") as f:
-        f.write("".join(json.dumps({"shard": name, "base": base}) + "\n" for name, base in out).encode())
-    return out
+        f.write("".join(json.dumps(x) + "\n" for x in out).encode())
+    return [(x["shard"], x["base"]) for x in out]
 
 
 def manifest(folder: str) -> list[tuple[str, int]]:
     """What ``write_shards`` gave back, from the folder itself; files that it does not name are left by lost attempts."""
+    return [(x["shard"], x["base"]) for x in _spans(folder)]
+
+
+def _spans(folder: str) -> list[dict]:
     store, top = shared.open_store(shared.normal_uri(folder))
     with store.open_input_file(f"{top}/{MANIFEST}") as f:
-        return [(x["shard"], x["base"]) for x in map(json.loads, f.read().decode().splitlines())]
+        return [json.loads(x) for x in f.read().decode().splitlines()]
+
+
+def shards_of(keys: list, spans: list[dict]) -> list[range | list[int]]:
+    """For each key the shards that may hold it, by two looks into the sorted spans: one as a rule, and each next to it whose span begins with the key that the one before ends with."""
+    held = [k for k, x in enumerate(spans) if x["least"] is not None]
+    least, most = (np.array([spans[k][c] for k in held], np.int64) for c in ("least", "most"))
+    nulls = [k for k, x in enumerate(spans) if x["nulls"]]
+    asked = np.array([0 if k is None else k for k in keys], np.int64)
+    a, b = np.searchsorted(most, asked, "left"), np.searchsorted(least, asked, "right")
+    return [nulls if key is None else held[i:j] for key, i, j in zip(keys, a.tolist(), b.tolist(), strict=True)]
+
+
+def lookup(keys: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids of the documents of ``keys`` (doc_id) in a folder of shards, without reading any other.
+
+    Each key goes to its shard by the manifest's spans (a row for each shard, sent to the tasks), there through the hash
+    to its offset. Keys asked for more than once count once; one that stands on several rows gives each of them, also
+    where they lie in two shards; null gives the documents without an id; one that is not there gives nothing.
+    """
+    spark, spans = keys.sparkSession, _spans(folder)
+    shared.ship(spark)
+    uri = shared.normal_uri(folder)
+
+    def route(batches):
+        for batch in batches:
+            asked = batch.column("doc_id").to_pylist()
+            rows = [(key, k) for key, of in zip(asked, shards_of(asked, spans), strict=True) for k in of]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], ["doc_id", "shard"])
+
+    def fetch(batches):
+        store, path = shared.open_store(uri)
+        shard, number = None, None
+        for batch in batches:
+            places, asked = batch.column("shard").to_numpy(), batch.column("doc_id").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                if places[a] != number:
+                    number = int(places[a])
+                    shard = Shard(store, f"{path}/{spans[number]['shard']}")
+                own = [k for k in asked[a:b] if k is not None]
+                wanted = [(key, hit[0] + i) for key, hit in zip(own, shard.find(own), strict=True) if hit and shard.holds(key) for i in range(hit[1])]
+                wanted += [(None, i) for i in range(shard.head["nulls"])] if None in asked[a:b] else []
+                with store.open_input_file(f"{path}/{spans[number]['shard']}.ids") as f:
+                    for k in range(0, len(wanted), 256):
+                        part = wanted[k : k + 256]
+                        ids = [shard.ids(f, doc) for _, doc in part]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key for key, _ in part], pa.int64()), pa.array([spans[number]["base"] + int(shard.starts[doc]) for _, doc in part], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))],
+                            names=["doc_id", "start", "n_tokens", "ids"],
+                        )
+
+    own = shared.columns_only(keys, "doc_id").select(F.col("doc_id").cast("bigint")).distinct()
+    routed = own.mapInArrow(route, "doc_id long, shard int").repartition("shard").sortWithinPartitions("shard")
+    return routed.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def _read_batches(folder: str):
