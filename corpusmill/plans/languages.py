@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import held
 from ..operators import graph, parsing
 from .registry import pick, query, table, text_sql
 
@@ -92,7 +93,8 @@ def parsed_languages(spark, sf_dir):
 def language_edges(spark, sf_dir):
     """Edges of what the files above import, to files that lie where the specifiers say."""
     rows = sources(spark, sf_dir)
-    parsed = parsing.facts(rows).select("file_path", "imports").join(rows.select("repo_id", "file_path"), "file_path")
+    # parsed once, though the resolution reads it as what is known and as what is asked for
+    parsed = held.cut(parsing.facts(rows).select("file_path", "imports")).join(rows.select("repo_id", "file_path"), "file_path")
     doc = F.regexp_extract("file_path", r"src/f(\d+)\.", 1)
     beside = {".ts": [("src/m", ".ts"), ("src/deep/d", "/index.ts"), ("src/lazy", ".js")]}
     more = [rows.filter(F.endswith("file_path", F.lit(end))).select("repo_id", F.concat(F.lit(a), doc, F.lit(b)).alias("file_path")) for end, names in beside.items() for a, b in names]
