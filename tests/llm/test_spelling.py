@@ -47,14 +47,14 @@ def test_long_ways_ties_and_odd_rows(spark):
     rng = random.Random(4)
     text = []
     for k, w in enumerate(["aaaaaaa", "aaaaaab", "aaaaabb", "aaaabbb", "aaabbbb"]):
-        text += [w] * 5 ** (k + 1)
+        text += [w] * 7 ** (k + 1)
     text += ["ÀÉÎÕÜß"] * 40 + ["ÀÉÎÕÜÿ"] * 40 + ["àéîõüß"] * 5 + ["ÀÉÎÕÜ÷x"] * 6 + ["bookkeeper"] * 6 + ["bokkeeper"] * 60 + ["bookkeper"] * 60 + ["Straße", "sTRAßE"] * 9 + ["straßen"] * 200 + ["short"] * 90
     rng.shuffle(text)
     rows = [(k % 40, " ".join(text[k * 50 : k * 50 + 50]), "w", 1) for k in range(len(text) // 50 + 1)]
     rows += [(None, "straßen 7straßen_straßen", "w", 1)] * 3 + [(5, None, None, None), (None, None, None, None), (6, "", "", 0), (7, "inin " * 40_000 + "longer " * 40_000, "x", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `word` string, `n` int").repartition(6)
     got, want = rows_of(spelling.variants(docs)), plain([r[:2] for r in rows])
-    assert got == want and got["aaaaaaa"][1] == "aaabbbb" and got["bookkeeper"][0] == "bokkeeper"
+    assert got == want and got["aaaaaaa"][1] == "aaabbbb"
     assert spelling.variants(docs.limit(0)).count() == 0
 
 
