@@ -88,6 +88,18 @@ def _keys(files: DataFrame) -> list[str]:
     return [c for c in ("repo_id", "file_path") if c in files.columns]
 
 
+def texts(files: DataFrame) -> DataFrame:
+    """keys, language, content with clean line ends, and low: what is scanned of files; no manifests, documents or empty texts."""
+    for flag in ("is_manifest", "is_document"):
+        if flag in files.columns:
+            files = files.filter(~F.coalesce(flag, F.lit(False)))
+    language = F.col("language") if "language" in files.columns else F.lit("")
+    content = F.when(F.contains("content", F.lit("\r")), X.clean_lines(F.col("content"))).otherwise(F.col("content"))
+    clean = F.when(F.contains("content", F.lit(_CUT)), F.replace(content, F.lit(_CUT), F.lit(" "))).otherwise(content)
+    # upper case first: it gives what a regex that ignores case takes for an ASCII letter
+    return files.filter("content <> ''").select(*_keys(files), language.alias("language"), clean.alias("content")).withColumn("low", F.lower(F.upper("content")))
+
+
 def findings(files: DataFrame, rules: Sequence[Rule] = RULES, per_rule: int = PER_RULE, entropy: bool = True) -> DataFrame:
     """Located findings of files(repo_id?, file_path, content, language?, is_manifest?, is_document?), an id for each place.
 
@@ -96,17 +108,9 @@ def findings(files: DataFrame, rules: Sequence[Rule] = RULES, per_rule: int = PE
     only texts that match are cut up, in time linear in their length. Manifests, documents, empty and null texts have
     none; a repeated file has its findings as often.
     """
-    keys, every = _keys(files), [*rules, *([ENTROPY] if entropy else [])]
-    for flag in ("is_manifest", "is_document"):
-        if flag in files.columns:
-            files = files.filter(~F.coalesce(flag, F.lit(False)))
-    language = F.col("language") if "language" in files.columns else F.lit("")
-    content = F.when(F.contains("content", F.lit("\r")), X.clean_lines(F.col("content"))).otherwise(F.col("content"))
-    texts = files.filter("content <> ''").select(*keys, language.alias("language"), F.when(F.contains("content", F.lit(_CUT)), F.replace(content, F.lit(_CUT), F.lit(" "))).otherwise(content).alias("content"))
-    # upper case first: it gives what a regex that ignores case takes for an ASCII letter
-    texts = texts.withColumn("low", F.lower(F.upper("content")))
+    keys, every, some = _keys(files), [*rules, *([ENTROPY] if entropy else [])], texts(files)
     fired = F.filter(F.array(*[F.when(_fires(r), F.lit(i)) for i, r in enumerate(every)]), lambda x: x.isNotNull())
-    some = texts.select(*keys, "content", F.explode(fired).alias("no"))
+    some = some.select(*keys, "content", F.explode(fired).alias("no"))
     hits = F.lit(None).cast(_HIT)
     for i, rule in enumerate(every):
         hits = F.when(F.col("no") == i, _random() if rule is ENTROPY else _matched(rule, per_rule)).otherwise(hits)

@@ -15,7 +15,7 @@ from ..functions import exprs as X
 from ..operators import churn, digest, findings, graph, hotspots, scan, search
 from ..sources import snapshots
 from ..streaming import limits
-from . import code, languages, passes, results  # noqa: F401  their queries register themselves
+from . import code, languages, passes, results, rules  # noqa: F401  their queries register themselves
 from .registry import ORACLE_SQL, QUERIES, found_sql, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
