@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,13 @@ def _remove(spark: SparkSession, uri: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared one; it goes when the driver's Python ends."""
+    uri = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, uri)
+    return uri
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage; what is held goes when the driver's Python ends."""
     spark = df.sparkSession

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import held
 from ..operators import digest, graph, search, summaries
-from ..sources import snapshots
+from ..sources import commits, snapshots
 from ..streaming import events, keyed, limits
 from .registry import pick, pick_sql, query, table
 
@@ -365,3 +366,17 @@ def file_dependencies(spark, sf_dir):
 def read_one_file(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
     return search.read_file(docs, "p17").select("file_path", F.md5("content").alias("content"), "lines", "truncated")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 'r' || o_custkey % 60 AS repo_id, 'u' || o_custkey % 20 AS repo_url, o_totalprice AS price, o_custkey % 60 AS r FROM orders),
+    kept AS (SELECT *, CASE WHEN r % 3 = 0 OR r % 5 = 0 THEN 2 ELSE 1 END AS version FROM o WHERE r % 7 <> 0 AND (r % 3 = 0 OR r % 5 = 0 OR k % 2 = 0))
+    SELECT repo_id, max(repo_url) AS repo_url, version, count(*) AS n, sum(k) AS keys, round(sum(CASE WHEN version = 2 THEN -price ELSE price END), 2) AS price FROM kept GROUP BY repo_id, version""")
+def committed_snapshots(spark, sf_dir):
+    """Orders as snapshots of sixty repositories: saved in part, replaced for some of them, some forgotten; what the last version holds."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("r"), (F.col("o_custkey") % 60).cast("string")).alias("repo_id"), F.concat(F.lit("u"), (F.col("o_custkey") % 20).cast("string")).alias("repo_url"), F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") % 60).alias("r"))
+    shared = commits.Registry(spark, held.scratch(spark, "registry"), "k bigint, price double, version int")
+    at = datetime.datetime(2024, 1, 1)
+    shared.save(o.filter("k % 2 = 0").withColumn("version", F.lit(1)), at, most=100)
+    shared.save(o.filter("r % 3 = 0 or r % 5 = 0").withColumn("version", F.lit(2)).withColumn("price", -F.col("price")), at + datetime.timedelta(hours=1), most=100)
+    shared.forget(o.filter("r % 7 = 0").select("repo_id"))
+    return shared.read().groupBy("repo_id", "version").agg(F.max("repo_url").alias("repo_url"), F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"), F.round(F.sum("price"), 2).alias("price"))

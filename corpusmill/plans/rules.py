@@ -14,18 +14,18 @@ _SQL_LETTERS = r"A-Za-z\x{C0}-\x{FF}"
 
 
 def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule for each word of five and more letters in a benchmark item; those of seven letters look at English texts alone."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    """A rule for each word of ten and more letters in a benchmark item; those of eleven letters look at English texts alone."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0))).alias("w")).distinct()
     pattern = F.concat(F.lit(f"(?i)(?<![{_LETTERS}])"), "w", F.lit(f"(?![{_LETTERS}])"))
-    some = F.when(F.length("w") == 7, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>"))
-    return words.select(F.concat(F.lit("word-"), "w").alias("id"), F.when(F.length("w") > 9, "HIGH").otherwise("LOW").alias("severity"), pattern.alias("pattern"), F.array(F.array("w")).alias("anchors"), some.alias("languages"))
+    some = F.when(F.length("w") == 11, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>"))
+    return words.select(F.concat(F.lit("word-"), "w").alias("id"), F.when(F.length("w") > 12, "HIGH").otherwise("LOW").alias("severity"), pattern.alias("pattern"), F.array(F.array("w")).alias("anchors"), some.alias("languages"))
 
 
-@query(rf"""WITH rules AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w FROM benchmark),
+@query(rf"""WITH rules AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{10,}}')) AS w FROM benchmark),
     lines AS (SELECT doc_id, coalesce(lang, '') AS lang, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS t, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS line FROM documents WHERE text <> ''),
     met AS (SELECT DISTINCT doc_id, lang, line, lower(w) AS w FROM (SELECT doc_id, lang, line, unnest(regexp_extract_all(t, '[{_SQL_LETTERS}]+')) AS w FROM lines)),
-    placed AS (SELECT doc_id, w, line, row_number() OVER (PARTITION BY doc_id, w ORDER BY line) AS n FROM met JOIN rules USING (w) WHERE length(w) <> 7 OR lang IN ('', 'en'))
-    SELECT doc_id, 'word-' || w AS rule, CASE WHEN length(w) > 9 THEN 'HIGH' ELSE 'LOW' END AS severity, line FROM placed WHERE n <= 5""")
+    placed AS (SELECT doc_id, w, line, row_number() OVER (PARTITION BY doc_id, w ORDER BY line) AS n FROM met JOIN rules USING (w) WHERE length(w) <> 11 OR lang IN ('', 'en'))
+    SELECT doc_id, 'word-' || w AS rule, CASE WHEN length(w) > 12 THEN 'HIGH' ELSE 'LOW' END AS severity, line FROM placed WHERE n <= 5""")
 def rule_table_findings(spark, sf_dir):
     """Hundreds of rules from a table over every document: whole words, by language, five lines a rule and document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content"), F.col("lang").alias("language"))
