@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,11 +158,11 @@ def gather(selected: DataFrame, files: DataFrame, edges: DataFrame, broad: bool)
     return rows.groupBy("repo_id").applyInPandas(_gather(broad), "repo_id string, place int, role string, file_path string, text string")
 
 
-def sources(used: DataFrame, read: DataFrame) -> DataFrame:
-    """file_path, place: context files (place), then files that tools read (seq), each once."""
-    both = used.select("file_path", F.lit(0).alias("_k"), F.col("place").alias("_p")).unionByName(read.select("file_path", F.lit(1).alias("_k"), F.col("seq").alias("_p")))
-    first = both.filter(F.coalesce("file_path", F.lit("")) != "").groupBy("file_path").agg(F.min(F.struct("_k", "_p")).alias("first"))
-    return first.select("file_path", F.row_number().over(Window.orderBy("first", "file_path")).alias("place"))
+def sources(used: DataFrame, read: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, file_path, place: context files (place), then files that tools read (seq), each once; a list for each value of ``by``."""
+    both = used.select(*by, "file_path", F.lit(0).alias("_k"), F.col("place").alias("_p")).unionByName(read.select(*by, "file_path", F.lit(1).alias("_k"), F.col("seq").alias("_p")))
+    first = both.filter(F.coalesce("file_path", F.lit("")) != "").groupBy(*by, "file_path").agg(F.min(F.struct("_k", "_p")).alias("first"))
+    return first.select(*by, "file_path", F.row_number().over(Window.partitionBy(*by).orderBy("first", "file_path")).alias("place"))
 
 
 def _lines(rows: DataFrame, repo: list[str], order: list, text: Column, most: int, out: str, sep: str = "\n") -> DataFrame:

@@ -196,12 +196,12 @@ def verify(deps: DataFrame, answers: DataFrame, repo: list[str], advisories: int
 
     answers(query, answer, snippets): the answer of a search, and its sources' texts. An advisory makes a package
     vulnerable if the text names it and a CVE; a version outdated if a later one is called current. What the budget
-    leaves out, and searches without an answer, are unverified with a reason.
+    leaves out, and searches without an answer, are unverified with a reason. Of several answers to a query the greatest counts.
     """
     asked = with_budget(deps, repo, advisories, versions)
     kinds = F.array(F.struct(F.lit("advisory").alias("kind"), F.col("advisory_query").alias("query")), F.struct(F.lit("version").alias("kind"), F.col("version_query").alias("query")))
     each = asked.select(*repo, "name", "version", "ecosystem", "declared_in", "ord", F.explode(F.filter(kinds, lambda k: k["query"].isNotNull() | (k["kind"] == "advisory"))).alias("k")).select("*", "k.*").drop("k")
-    known = answers.groupBy("query").agg(F.first(F.struct("answer", F.coalesce("snippets", F.lit("")).alias("snippets"))).alias("a"))
+    known = answers.groupBy("query").agg(F.max(F.struct("answer", F.coalesce("snippets", F.lit("")).alias("snippets"))).alias("a"))
     j = each.join(known, "query", "left")
     answer, text = F.coalesce("a.answer", F.lit("")), F.concat_ws("\n", F.coalesce("a.answer", F.lit("")), F.when(F.col("a.snippets") != "", F.col("a.snippets")))
     pinned, cves = X.parse_version(X.pinned_version(F.col("version"))), X.cves(text)
@@ -234,10 +234,11 @@ def verification_counts(checked: DataFrame, repo: list[str]) -> DataFrame:
 def ground(found: DataFrame, answers: DataFrame, repo: list[str], most: int = GROUNDED) -> DataFrame:
     """id, query, answer, sources (of the restricted search, else of the open one) for the first groundable findings (ord) of a repository.
 
-    answers(query, restricted, answer, sources): sources is an array; a restricted search without any is made again openly.
+    answers(query, restricted, answer, sources): sources is an array; a restricted search without any is made again openly. Of several
+    answers to a query the greatest counts.
     """
     targets = findings.budgeted(findings.groundable(found, list(GUIDANCE)), [F.col("ord")], most, repo).filter("within").select(*repo, "id", rule_query(F.col("rule"), F.col("name")).alias("query"))
-    side = lambda restricted, name: answers.filter(F.col("restricted") == restricted).groupBy("query").agg(F.first(F.struct("answer", "sources")).alias(name))
+    side = lambda restricted, name: answers.filter(F.col("restricted") == restricted).groupBy("query").agg(F.max(F.struct("answer", "sources")).alias(name))
     both = targets.join(side(True, "own"), "query", "left").join(side(False, "open"), "query", "left")
     used = F.when(F.size("own.sources") > 0, F.col("own")).when(F.col("own").isNotNull(), F.col("open"))
     return both.withColumn("used", used).filter("used is not null").select(*repo, "id", "query", F.substring("used.answer", 1, 600).alias("answer"), F.slice("used.sources", 1, 3).alias("sources"))

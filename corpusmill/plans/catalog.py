@@ -101,10 +101,13 @@ def graph_node_values(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
-    walk(node, hop) AS (SELECT 's1', 0 UNION SELECT b, hop + 1 FROM walk JOIN ways ON node = a WHERE hop < 2)
-    SELECT 's1' AS start, node, min(hop) AS hop FROM walk GROUP BY node HAVING min(hop) > 0""")
+    starts AS (SELECT DISTINCT source AS start FROM edges WHERE CAST(substr(source, 2) AS BIGINT) % 9 = 1),
+    walk(start, node, hop) AS (SELECT start, start, 0 FROM starts UNION SELECT start, b, hop + 1 FROM walk JOIN ways ON node = a WHERE hop < 2)
+    SELECT start, node, min(hop) AS hop FROM walk GROUP BY start, node HAVING min(hop) > 0""")
 def graph_neighbourhood(spark, sf_dir):
-    return graph.neighbourhood(edges(spark, sf_dir), spark.createDataFrame([("s1",)], "start string"), 2)
+    """Two links around every ninth source, all together."""
+    ways = edges(spark, sf_dir)
+    return graph.neighbourhood(ways, ways.filter(F.substring("source", 2, 20).cast("bigint") % 9 == 1).select(F.col("source").alias("start")).distinct(), 2)
 
 
 @query(f"WITH {_EDGES} SELECT target AS node, string_agg(source, ',' ORDER BY source) AS dependents FROM edges GROUP BY target")
@@ -156,14 +159,6 @@ def code_search(spark, sf_dir):
     return search.search_code(files(spark, sf_dir), "licensed? under", first_chars=None)
 
 
-@query("""WITH t AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '')) AS u FROM pages), s AS (SELECT page_id, list_filter(regexp_split_to_array(u, '[/\\\\._-]+'), lambda x: x <> '') AS parts FROM t)
-    SELECT page_id, CAST(CASE WHEN list_contains(parts, 'example') THEN 5 WHEN len(list_filter(parts, lambda x: length(x) >= 4 AND (x LIKE 'example%' OR starts_with('example', x)))) > 0 THEN 3 ELSE 0 END
-        + CASE WHEN list_contains(parts, 'me') THEN 5 ELSE 0 END AS INTEGER) AS relevance FROM s""")
-def path_relevance(spark, sf_dir):
-    """Relevance of page addresses to the one term that a query leaves."""
-    return table(spark, sf_dir, "pages").select("page_id", X.relevance(F.regexp_replace("url", "^https?://", ""), X.query_terms(F.lit("show me the example"))).cast("int").alias("relevance"))
-
-
 @query("SELECT conv_id AS stream_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")
 def joined_answers(spark, sf_dir):
     pieces = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"))

@@ -59,6 +59,24 @@ def path_facts(spark, sf_dir):
     return paths(spark, sf_dir).select("doc_id", X.language(p).alias("language"), X.context_language(p).alias("context_language"), X.extension(p).alias("extension"), X.basename(p).alias("name"), X.dirname(p).alias("folder"), X.is_generated(p).alias("generated"), X.stem(p).alias("stem"))
 
 
+#: Queries, and the terms that are left of each without stop words.
+ASKED = {
+    "main.py entry": ["main.py", "entry"], "Show me the package manifests": ["package", "manifests"], "pyproj TOML": ["pyproj", "toml"], "ckerf, makef!": ["ckerf", "makef"], "index util types": ["index", "util", "types"], "k12 kubernetes": ["k12", "kubernetes"],
+    "readme README notes": ["readme", "notes"], "": [], "third_party data.bin": ["third_party", "data.bin"],
+}
+_OWN = f"lower(CASE WHEN strpos(substr(split_part(file_path, '/', -1), 2), '.') > 0 THEN regexp_replace(split_part(file_path, '/', -1), '\\.[^.]*$', '') ELSE split_part(file_path, '/', -1) END)"
+
+
+@query(f"""WITH {_PATHS}, t AS (SELECT doc_id, {_BASE} AS name, {_OWN} AS own, list_filter(regexp_split_to_array(lower(file_path), '[/\\\\._-]+'), lambda x: x <> '') AS parts, CAST({'[' + ', '.join(map(list_sql, ASKED.values())) + ']'}[CAST((doc_id + doc_id // 20) % {len(ASKED)} AS BIGINT) + 1] AS VARCHAR[]) AS terms FROM paths),
+    s AS (SELECT doc_id, name, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(parts, t) THEN CASE WHEN t = own THEN 8 ELSE 5 END WHEN len(list_filter(parts, lambda s: length(s) >= 4 AND length(t) >= 4 AND (starts_with(s, t) OR starts_with(t, s)))) > 0 THEN 3 WHEN length(t) >= 5 AND contains(name, t) THEN 4 ELSE 0 END)), 0) AS n FROM t)
+    SELECT doc_id, CAST(n + CASE WHEN n > 0 AND list_contains(['readme.md', 'main.py', 'app.py', 'index.ts', 'package.json'], name) THEN 1 ELSE 0 END AS INTEGER) AS relevance FROM s""")
+def path_relevance(spark, sf_dir):
+    """Relevance of each path to a query of its own row: stems, segments, beginnings, parts of names, well-known names."""
+    d = F.col("doc_id")
+    asked = pick(list(ASKED), d + F.floor(d / 20))
+    return paths(spark, sf_dir).select("doc_id", X.relevance(F.col("file_path"), X.query_terms(asked)).cast("int").alias("relevance"))
+
+
 MESSY = ["a/./b.py", "./src/x.ts", "src/lib/../x.ts", "../outside.py", "a/../../b", "a//b/", "/rooted/y", "a/b/../../c", "", ".", "x/../.."]
 _STEP = r"regexp_replace({}, '(^|/)(?:[^/.][^/]*|\.[^/.][^/]*)/\.\.(/|$)', '\1')"
 _NORMAL = "regexp_replace(regexp_replace(regexp_replace({}, '(^|/)(\\./)+', '\\1', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '/+', '/', 'g')"

@@ -321,12 +321,13 @@ def gathered_context(spark, sf_dir):
     return context.gather(chosen, files, edges, True).select("repo_id", "place", "role", "file_path", F.length("text").alias("chars"))
 
 
-@query("""WITH s AS (SELECT DISTINCT 'p' || doc_id % 40 AS file_path, 0 AS k, doc_id AS p FROM documents WHERE doc_id < 100 UNION ALL SELECT 'p' || doc_id % 60, 1, doc_id FROM documents WHERE doc_id < 100),
-    f AS (SELECT file_path, min({'k': k, 'p': p}) AS first FROM s GROUP BY file_path) SELECT file_path, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS place FROM f""")
+@query("""WITH s AS (SELECT DISTINCT doc_id // 100 AS conv, 'p' || doc_id % 40 AS file_path, 0 AS k, doc_id AS p FROM documents UNION ALL SELECT doc_id // 100, 'p' || doc_id % 60, 1, doc_id FROM documents),
+    f AS (SELECT conv, file_path, min({'k': k, 'p': p}) AS first FROM s GROUP BY ALL) SELECT conv, file_path, CAST(row_number() OVER (PARTITION BY conv ORDER BY first) AS INTEGER) AS place FROM f""")
 def answer_sources(spark, sf_dir):
+    """The sources of each conversation, a hundred documents each."""
     d = F.col("doc_id")
-    some = table(spark, sf_dir, "documents").filter("doc_id < 100")
-    return context.sources(some.select(F.concat(F.lit("p"), (d % 40).cast("string")).alias("file_path"), d.alias("place")), some.select(F.concat(F.lit("p"), (d % 60).cast("string")).alias("file_path"), d.alias("seq")))
+    some = table(spark, sf_dir, "documents").select(F.floor(d / 100).alias("conv"), "doc_id")
+    return context.sources(some.select("conv", F.concat(F.lit("p"), (d % 40).cast("string")).alias("file_path"), d.alias("place")), some.select("conv", F.concat(F.lit("p"), (d % 60).cast("string")).alias("file_path"), d.alias("seq")), ["conv"])
 
 
 @query("""WITH d AS (SELECT 'r' || doc_id % 9 AS repo_id, doc_id, n_chars FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY repo_id) AS c FROM d),

@@ -131,12 +131,14 @@ def answered_streams(spark, sf_dir):
     return out.groupBy("stream_id").agg(F.md5(said).alias("text"), F.get_json_object(of("sources"), "$[0]").alias("sources"), of("error").alias("error"), of("done").alias("done"))
 
 
-@query("SELECT s.user_id AS subscriber, e.user_id % 20 AS job, e.event_id AS seq, e.ts < s.ts AS replayed FROM events e JOIN (SELECT user_id, min(ts) AS ts FROM events WHERE user_id < 30 GROUP BY user_id) s ON e.user_id % 20 = s.user_id % 20 WHERE e.event_id < 400")
+@query("""WITH s AS (SELECT user_id AS job, user_id * 2 AS subscriber, min(ts) AS ts FROM events GROUP BY user_id UNION ALL SELECT user_id, user_id * 2 + 1, max(ts) FROM events GROUP BY user_id)
+    SELECT subscriber, job, event_id AS seq, e.ts < s.ts AS replayed FROM events e JOIN s ON e.user_id = s.job""")
 def replayed_messages(spark, sf_dir):
+    """Every user's events as a job's log, for two subscribers each: one who is there from the start, one who comes with the last."""
     e = table(spark, sf_dir, "events")
-    messages = e.filter("event_id < 400").select((F.col("user_id") % 20).alias("job"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_type").alias("message"))
-    who = e.filter("user_id < 30").groupBy(F.col("user_id").alias("subscriber")).agg(F.min("ts").alias("at")).withColumn("job", F.col("subscriber") % 20)
-    return events.subscribe(messages, who).select("subscriber", "job", "seq", "replayed")
+    messages = e.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_type").alias("message"))
+    first, last = (e.groupBy(F.col("user_id").alias("job")).agg(f("ts").alias("at")).select((F.col("job") * 2 + k).alias("subscriber"), "at", "job") for k, f in enumerate((F.min, F.max)))
+    return events.subscribe(messages, first.unionByName(last)).select("subscriber", "job", "seq", "replayed")
 
 
 def _in_batches(rows: DataFrame, n: int) -> list[DataFrame]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,11 +38,14 @@ def scan_all(spark: SparkSession, roots: dict[str, str], most: int = MOST_FILES)
 
     The listing's filters come before any content is read: only collected files are opened.
     """
-    tops = {r: ("file:" + os.path.realpath(t) if "://" not in t else t).rstrip("/") + "/" for r, t in roots.items()}
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots.values())).withColumn("uri", F.regexp_replace("path", "^file:/+", "file:/"))
-    repo = reduce(lambda c, t: F.when(F.startswith("uri", F.lit(t[1])), F.lit(t[0])).otherwise(c), sorted(tops.items(), key=lambda t: len(t[1])), F.lit(None).cast("string"))
-    top = reduce(lambda c, t: F.when(F.col("repo_id") == t[0], F.lit(len(t[1]))).otherwise(c), tops.items(), F.lit(0))
-    listed = raw.withColumn("repo_id", repo).withColumn("file_path", F.substring(F.col("uri"), top + 1, F.lit(1 << 20)))
+    tops = {("file:" + os.path.realpath(t) if "://" not in t else t).rstrip("/"): r for r, t in roots.items()}
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots.values())).withColumn("uri", F.regexp_replace("path", "^file:/+", "file:/"))
+    depths = sorted({t.count("/") for t in tops}, reverse=True)
+    for depth in depths:  # a small join for each depth of folders; of nested ones the deepest counts
+        here = spark.createDataFrame([(t, r, len(t) + 2) for t, r in tops.items() if t.count("/") == depth], f"_top string, _id{depth} string, _from{depth} int")
+        listed = listed.join(here, F.substring_index("uri", "/", depth + 1) == F.col("_top"), "left").drop("_top")
+    first = lambda name: F.coalesce(*[F.col(f"{name}{d}") for d in depths])
+    listed = listed.withColumn("repo_id", first("_id")).withColumn("file_path", F.substring(F.col("uri"), first("_from"), F.lit(1 << 20)))
     chosen = collected(listed.select("repo_id", "file_path", "length"), most).drop("length")
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return listed.select("repo_id", "file_path", "content").join(chosen, ["repo_id", "file_path"]).select(
