@@ -53,10 +53,11 @@ def register(files: DataFrame, edges: DataFrame) -> None:
     """Makes the functions and the views they read, of files(repo_id, file_path, content, ord?) and edges(repo_id, source, target), for the session.
 
     - ``read_file(repo, path)``: path, content (8,000 characters), lines, truncated, error; always one row.
-    - ``list_dependencies_of_file(repo, path)``: path, dependencies, dependents, error, known (twenty files, where it is unknown); one row.
+    - ``list_dependencies_of_file(repo, path)``: path, dependencies, dependents, error; one row. ``known_files(repo)``: known, the first twenty files; one row.
     - ``search_code(TABLE(...) PARTITION BY ask ORDER BY file_path)``: matching lines, over ``asked_lines``.
 
-    A path that is null or empty, that climbs or is not among the files has an error; a repository that is null or
+    Paths are compared as they are: a call becomes equi-joins only where an argument stands alone, so callers trim. A path
+    that is null or blank, that climbs or is not among the files has an error; a repository that is null or
     unknown has no files. Of repeated files the greatest content counts; repeated edges count once.
     """
     spark = files.sparkSession
@@ -73,13 +74,14 @@ def register(files: DataFrame, edges: DataFrame) -> None:
     first = some.select("repo_id", "file_path").distinct().withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path"))).filter("n <= 20")
     first.groupBy("repo_id").agg(F.array_sort(F.collect_list("file_path")).alias("known")).createOrReplaceTempView("lookup_known")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION read_file(repo STRING, path STRING) RETURNS TABLE(path STRING, content STRING, lines INT, truncated BOOLEAN, error STRING)
-        RETURN SELECT trim(read_file.path), CASE WHEN content <> '' THEN substring(content, 1, {READ}) END, CASE WHEN content <> '' THEN length(content) - length(replace(content, '\\n')) + 1 END, CASE WHEN content <> '' THEN length(content) > {READ} END,
-            CASE WHEN coalesce(trim(read_file.path), '') = '' THEN 'path is required' WHEN coalesce(content, '') = '' THEN concat('could not read ', trim(read_file.path)) END
-        FROM (SELECT max(f.content) AS content FROM lookup_files f WHERE f.repo_id = read_file.repo AND f.file_path = trim(read_file.path))""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION list_dependencies_of_file(repo STRING, path STRING) RETURNS TABLE(path STRING, dependencies ARRAY<STRING>, dependents ARRAY<STRING>, error STRING, known ARRAY<STRING>)
-        RETURN SELECT trim(list_dependencies_of_file.path), dependencies, dependents, CASE WHEN dependencies IS NULL THEN concat(coalesce(trim(list_dependencies_of_file.path), ''), ' is not known') END, CASE WHEN dependencies IS NULL THEN coalesce(known, array()) END
-        FROM (SELECT max(l.dependencies) AS dependencies, max(l.dependents) AS dependents FROM lookup_links l WHERE l.repo_id = list_dependencies_of_file.repo AND l.path = trim(list_dependencies_of_file.path)),
-            (SELECT max(k.known) AS known FROM lookup_known k WHERE k.repo_id = list_dependencies_of_file.repo)""")
+        RETURN SELECT read_file.path, CASE WHEN content <> '' THEN substring(content, 1, {READ}) END, CASE WHEN content <> '' THEN length(content) - length(replace(content, '\\n')) + 1 END, CASE WHEN content <> '' THEN length(content) > {READ} END,
+            CASE WHEN coalesce(btrim(read_file.path), '') = '' THEN 'path is required' WHEN coalesce(content, '') = '' THEN concat('could not read ', read_file.path) END
+        FROM (SELECT max(f.content) AS content FROM lookup_files f WHERE f.repo_id = read_file.repo AND f.file_path = read_file.path)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION list_dependencies_of_file(repo STRING, path STRING) RETURNS TABLE(path STRING, dependencies ARRAY<STRING>, dependents ARRAY<STRING>, error STRING)
+        RETURN SELECT list_dependencies_of_file.path, dependencies, dependents, CASE WHEN dependencies IS NULL THEN concat(coalesce(list_dependencies_of_file.path, ''), ' is not known') END
+        FROM (SELECT max(l.dependencies) AS dependencies, max(l.dependents) AS dependents FROM lookup_links l WHERE l.repo_id = list_dependencies_of_file.repo AND l.path = list_dependencies_of_file.path)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION known_files(repo STRING) RETURNS TABLE(known ARRAY<STRING>)
+        RETURN SELECT coalesce(known, array()) FROM (SELECT max(k.known) AS known FROM lookup_known k WHERE k.repo_id = known_files.repo)""")
     spark.udtf.register("search_code", F.udtf(SearchCode, returnType=FOUND))
 
 

@@ -39,23 +39,22 @@ def rule_table_code(spark, sf_dir):
     return found.select("id", "rule", "severity", "line", "snippet", "detector")
 
 
-_PATH = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN '../' || doc_id WHEN doc_id % 7 = 2 THEN NULL ELSE ' ' || CAST(doc_id // 50 * 50 + doc_id * 3 % 50 AS VARCHAR) END"
+_PATH = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN '../' || doc_id WHEN doc_id % 7 = 2 THEN NULL ELSE CAST(doc_id // 50 * 50 + doc_id * 3 % 50 AS VARCHAR) END"
 
 
-@query(f"""WITH f AS (SELECT 'r' || doc_id // 50 AS repo_id, CAST(doc_id AS VARCHAR) AS p, text FROM documents), a AS (SELECT doc_id, 'r' || doc_id // 50 AS repo_id, trim({_PATH}) AS path FROM documents),
-    e AS (SELECT repo_id, p AS source, 'p' || length(text) % 9 AS target FROM f WHERE text IS NOT NULL), d AS (SELECT repo_id, source, target FROM e),
-    u AS (SELECT repo_id, target, count(DISTINCT source) AS n FROM e GROUP BY ALL)
+@query(f"""WITH f AS (SELECT 'r' || doc_id // 50 AS repo_id, CAST(doc_id AS VARCHAR) AS p, text FROM documents), a AS (SELECT doc_id, 'r' || doc_id // 50 AS repo_id, {_PATH} AS path FROM documents),
+    e AS (SELECT repo_id, p AS source, 'p' || length(text) % 9 AS target FROM f WHERE text IS NOT NULL), d AS (SELECT repo_id, source, target FROM e)
     SELECT doc_id, path, length(CASE WHEN text <> '' THEN substr(text, 1, 8000) END) AS n_read, CAST(CASE WHEN text <> '' THEN length(text) - length(replace(text, chr(10), '')) + 1 END AS INTEGER) AS lines, CASE WHEN text <> '' THEN length(text) > 8000 END AS truncated,
-        CASE WHEN coalesce(path, '') = '' THEN 'path is required' WHEN coalesce(text, '') = '' THEN 'could not read ' || path END AS error, CASE WHEN f.p IS NOT NULL THEN coalesce(d.target, '') END AS dependency, u.n AS n_dependents
-    FROM a LEFT JOIN f ON f.repo_id = a.repo_id AND f.p = a.path LEFT JOIN d ON d.repo_id = a.repo_id AND d.source = a.path LEFT JOIN u ON u.repo_id = a.repo_id AND u.target = d.target""")
+        CASE WHEN coalesce(path, '') = '' THEN 'path is required' WHEN coalesce(text, '') = '' THEN 'could not read ' || path END AS error, CASE WHEN f.p IS NOT NULL THEN coalesce(d.target, '') END AS dependency
+    FROM a LEFT JOIN f ON f.repo_id = a.repo_id AND f.p = a.path LEFT JOIN d ON d.repo_id = a.repo_id AND d.source = a.path""")
 def lateral_lookups(spark, sf_dir):
-    """Every document asks for another file of its repository, for what that imports, and for what imports the same: four LATERAL calls of SQL."""
+    """Every document asks for another file of its repository, and for what that imports: LATERAL calls of SQL."""
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").withColumn("repo_id", F.concat(F.lit("r"), F.floor(d / 50).cast("string")))
     files = docs.select("repo_id", d.cast("string").alias("file_path"), F.col("text").alias("content"), d.alias("ord"))
     edges = files.filter("content is not null").select("repo_id", F.col("file_path").alias("source"), F.concat(F.lit("p"), (F.length("content") % 9).cast("string")).alias("target"))
     lookups.register(files, edges)
-    path = F.when(d % 7 == 0, "").when(d % 7 == 1, F.concat(F.lit("../"), d.cast("string"))).when(d % 7 == 2, None).otherwise(F.concat(F.lit(" "), (F.floor(d / 50) * 50 + d * 3 % 50).cast("string")))
+    path = F.when(d % 7 == 0, "").when(d % 7 == 1, F.concat(F.lit("../"), d.cast("string"))).when(d % 7 == 2, None).otherwise(((F.floor(d / 50) * 50 + d * 3 % 50).cast("string")))
     docs.select("doc_id", "repo_id", path.alias("path")).createOrReplaceTempView("lookup_asks")
-    return spark.sql("""SELECT a.doc_id, r.path, length(r.content) AS n_read, r.lines, r.truncated, r.error, CASE WHEN l.error IS NULL THEN coalesce(try_element_at(l.dependencies, 1), '') END AS dependency, nullif(size(coalesce(t.dependents, array())), 0) AS n_dependents
-        FROM lookup_asks a, LATERAL read_file(a.repo_id, a.path) r, LATERAL list_dependencies_of_file(a.repo_id, a.path) l, LATERAL list_dependencies_of_file(a.repo_id, try_element_at(l.dependencies, 1)) t""")
+    return spark.sql("""SELECT a.doc_id, r.path, length(r.content) AS n_read, r.lines, r.truncated, r.error, CASE WHEN l.error IS NULL THEN coalesce(try_element_at(l.dependencies, 1), '') END AS dependency
+        FROM lookup_asks a, LATERAL read_file(a.repo_id, a.path) r, LATERAL list_dependencies_of_file(a.repo_id, a.path) l""")
