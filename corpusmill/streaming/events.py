@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import held
 
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
@@ -190,14 +191,28 @@ def offsets(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
     """subscriber, job, n_replayed, n_followed, first_followed of ``subscribe`` without its rows: how much of its job's log a subscriber is given.
 
     messages(job, seq, at), subscribers(subscriber, job, at). Both are put in one order of time for each job, messages of
-    a subscriber's own instant after it, and counted as they pass; no message is joined to any subscriber.
+    a subscriber's own instant after it, and counted as they pass; no message is joined to any subscriber. The order is
+    cut into ranges, so that a job's log is not one task's: what lies before and after a range is told by the ranges' own
+    counts and first messages. Both windows grow row by row; one that shrinks would be read again for each row.
     """
     both = messages.select("job", "at", F.lit(1).alias("_kind"), "seq", F.lit(None).alias("subscriber")).unionByName(
         subscribers.select("job", "at", F.lit(0).alias("_kind"), F.lit(None).cast(dict(messages.dtypes)["seq"]).alias("seq"), "subscriber")
     )
-    order = Window.partitionBy("job").orderBy("at", "_kind", "seq")
-    passed = both.withColumns({"n_replayed": F.count("seq").over(order.rowsBetween(Window.unboundedPreceding, -1)), "first_followed": F.first("seq", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "_all": F.count("seq").over(Window.partitionBy("job"))})
-    return passed.filter("_kind = 0").select("subscriber", "job", "n_replayed", (F.col("_all") - F.col("n_replayed")).alias("n_followed"), "first_followed")
+    # held, since ranges are drawn from a sample and must be the same for their sums and their rows
+    ranged = held.cut(both.repartitionByRange("job", "at", "_kind", "seq").withColumn("_range", F.spark_partition_id()))
+    time, back = ["at", "_kind", "seq"], [F.desc("at"), F.desc("_kind"), F.desc("seq")]
+    said = F.when(F.col("seq").isNotNull(), F.struct(*time))
+    sums = ranged.groupBy("job", "_range").agg(F.count("seq").alias("_n"), F.min(said)["seq"].alias("_first"))
+    ranges, past = Window.partitionBy("job"), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    around = sums.select(
+        "job", "_range", F.coalesce(F.sum("_n").over(past(ranges.orderBy("_range"))), F.lit(0)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(past(ranges.orderBy(F.desc("_range")))).alias("_next"), F.sum("_n").over(ranges).alias("_all"),
+    )
+    own = Window.partitionBy("job", "_range")
+    passed = ranged.withColumns({"_own": F.count("seq").over(past(own.orderBy(*time))), "_after": F.last("seq", ignorenulls=True).over(past(own.orderBy(*back)))}).filter("_kind = 0")
+    n = F.col("_before") + F.col("_own")
+    met = passed.withColumnRenamed("job", "_job").withColumnRenamed("_range", "_at_range").join(around, F.col("_job").eqNullSafe(F.col("job")) & (F.col("_at_range") == F.col("_range")))
+    return met.select("subscriber", F.col("_job").alias("job"), n.alias("n_replayed"), (F.col("_all") - n).alias("n_followed"), F.coalesce("_after", "_next").alias("first_followed"))
 
 
 def frame(event: Column, data: Column) -> Column:

@@ -101,3 +101,19 @@ def test_late_subscribers_get_the_log_once(spark):
 def test_batch_of_odd_chunks(spark, rows):
     out = events.parse(spark.createDataFrame(rows, "stream_id string, seq int, chunk string")).collect()
     assert [(r.stream_id, r.place, r.data) for r in out] == ([("s", 0, "y"), ("s", 1, "z")] if rows else [])
+
+
+def test_offsets_of_one_long_log(spark):
+    """One job's log over many ranges, with equal instants, messages without seq, and subscribers before, among and after them, in time that does not grow with its square."""
+    n, began = 150_000, time.time()
+    at = lambda i: i // 3  # noqa: E731  three messages an instant
+    messages = spark.range(n).selectExpr("cast(1 as bigint) as job", "if(id % 7 = 0, null, id) as seq", "cast(id div 3 as bigint) as at")
+    who = [(k, 1, t) for k, t in enumerate([-1, 0, 1, 777, n // 6, n // 3 - 1, n // 3, n])] + [(99, 1, None)]
+    out = events.offsets(messages, spark.createDataFrame([*who, (100, 2, 5)], "subscriber long, job long, at long")).collect()
+    said = [i for i in range(n) if i % 7]
+    want = {(100, 2): (0, 0, None)}
+    for k, job, t in who:
+        later = [i for i in said if t is None or at(i) >= t]
+        want[k, job] = (len(said) - len(later), len(later), later[0] if later else None)
+    assert {(r.subscriber, r.job): (r.n_replayed, r.n_followed, r.first_followed) for r in out} == want
+    assert time.time() - began < 90
