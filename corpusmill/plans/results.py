@@ -154,8 +154,8 @@ def streamed_events(spark, sf_dir):
     """The chunks of parsed_events as a stream of three micro-batches, out of order and partly twice, with a restart between them."""
     c = table(spark, sf_dir, "conversations")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", events.frame(F.col("role"), F.col("text")).alias("f")))), lambda x: x["f"]), "")
-    whole = c.groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(text.alias("t")).withColumn("n", F.floor((F.length("t") - 1) / 37))
-    cut = whole.select("stream_id", "t", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("seq")).select("stream_id", "seq", F.expr("substring(t, cast(seq * 37 + 1 as int), 37)").alias("piece"), (F.col("seq") == F.col("n")).alias("last"))
+    whole = c.groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(F.regexp_extract_all(text, F.lit("(?s).{1,37}"), F.lit(0)).alias("pieces"))
+    cut = whole.select("stream_id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "piece")).select("stream_id", F.col("seq").cast("bigint").alias("seq"), "piece", (F.col("seq") == F.col("n") - 1).alias("last"))
     return keyed.replayed(_in_batches(cut, 3), keyed.parsed, "events").select("stream_id", "place", "event", F.md5("data").alias("data"))
 
 

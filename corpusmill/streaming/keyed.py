@@ -17,11 +17,16 @@ from .events import Answer, Parser
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Pieces of a stream that wait are kept by blocks of so many places, and no more of them than so many in memory.
+BLOCK, MOST = 256, 65_536
+
+
 class _InOrder(StatefulProcessor):
     """Takes the pieces of each stream by seq, from 0 on: one that comes before its turn waits, one that comes again is passed over.
 
-    Subclasses say how a state begins (``fresh``), what a piece gives (``step``), and how the stream ends (``finish``).
-    State is one JSON text for each stream, and a map of the pieces that wait.
+    Subclasses say what reads a stream (``reader``, a dataclass of JSON values), what a piece gives (``step``), and how a
+    stream ends that falls silent (``broken``). State is one JSON text for each stream, and one for each block of the pieces
+    that wait: every call of the store is a message to the JVM, so there is one for many pieces.
     """
 
     def __init__(self, idle_ms: int | None):
@@ -29,46 +34,72 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "at long, place int, over boolean, held string")
-        self.early = handle.getMapState("early", "seq long", "piece string, last boolean")
+        self.state = handle.getValueState("state", "at long, place int, over boolean, held string, blocks int")
+        self.early = handle.getMapState("early", "block long", "pieces string")
 
     def handleInputRows(self, key, rows, timerValues):
-        at, place, over, held = self.state.get() if self.state.exists() else (0, 0, False, self.fresh())
-        new = {int(q): (p if isinstance(p, str) else None, bool(z)) for pdf in rows for q, p, z in zip(pdf["seq"], pdf["piece"], pdf["last"], strict=True)}
-        out = []
-        while not over:
-            if at in new:
-                piece, last = new.pop(at)
-            elif self.early.containsKey((at,)):
-                piece, last = self.early.getValue((at,))
-                self.early.removeKey((at,))
-            else:
-                break
-            held, made, over = self.step(held, piece, last)
-            out += made
-            at += 1
-        for q, value in ({} if over else new).items():
-            if q > at:
-                self.early.updateValue((q,), value)
-        if over:
+        at, place, over, held, blocks = self.state.get() or (0, 0, False, None, 0)
+        reader = self.reader(**json.loads(held)) if held else self.reader()
+        waiting, looked = {}, None
+        for pdf in rows:
+            if over:
+                continue
+            waiting.update((int(q), (p if isinstance(p, str) else None, bool(z))) for q, p, z in zip(pdf["seq"].tolist(), pdf["piece"].tolist(), pdf["last"].tolist(), strict=True) if q >= at)
+            out = []
+            while not over:
+                if at not in waiting and blocks and looked != at // BLOCK:
+                    looked = at // BLOCK
+                    known = self._block(looked)
+                    if known:
+                        self.early.removeKey((looked,))
+                        blocks, waiting = blocks - 1, {q: v for q, v in known.items() if q >= at} | waiting
+                if at not in waiting:
+                    break
+                made, over = self.step(reader, *waiting.pop(at))
+                out += made
+                at += 1
+            if out:
+                yield self._rows(key, place, out)
+                place += len(out)
+            if len(waiting) > MOST and not over:
+                blocks, waiting, looked = blocks + self._keep(waiting), {}, None
+        if not over:
+            blocks += self._keep(waiting)
+        elif blocks:
             self.early.clear()
-        yield self._rows(key, place, out)
-        self.state.update((at, place + len(out), over, held))
+            blocks = 0
+        self.state.update((at, place, over, json.dumps(reader.__dict__), blocks))
         if self.idle_ms:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             if not over:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
+    def _block(self, k: int) -> dict[int, tuple[str | None, bool]]:
+        kept = self.early.getValue((k,))
+        return {int(q): tuple(v) for q, v in json.loads(kept[0]).items()} if kept else {}
+
+    def _keep(self, waiting: dict[int, tuple[str | None, bool]]) -> int:
+        """Adds pieces to their blocks; how many blocks are new."""
+        new, parts = 0, {}
+        for q, value in waiting.items():
+            parts.setdefault(q // BLOCK, {})[q] = value
+        for k, part in parts.items():
+            known = self._block(k)
+            new += not known
+            self.early.updateValue((k,), (json.dumps(known | part),))
+        return new
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Nothing came for too long: the stream ends here, as broken."""
-        if self.state.exists():
-            at, place, over, held = self.state.get()
-            if not over:
-                out = self.broken(held)
-                self.early.clear()
-                self.state.update((at, place + len(out), True, held))
-                yield self._rows(key, place, out)
+        state = self.state.get()
+        if state and not state[2]:
+            at, place, _, held, _ = state
+            reader = self.reader(**json.loads(held))
+            out = self.broken(reader)
+            self.early.clear()
+            self.state.update((at, place + len(out), True, json.dumps(reader.__dict__), 0))
+            yield self._rows(key, place, out)
 
     def _rows(self, key, place: int, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], place + i, *e) for i, e in enumerate(out)], columns=self.columns)
@@ -78,38 +109,28 @@ class _InOrder(StatefulProcessor):
 
 
 class EventParser(_InOrder):
-    columns = ["stream_id", "place", "event", "data", "id"]
+    columns, reader = ["stream_id", "place", "event", "data", "id"], Parser
 
-    def fresh(self) -> str:
-        return json.dumps(Parser().__dict__)
+    def step(self, parser: Parser, piece: str | None, last: bool) -> tuple[list[tuple], bool]:
+        return parser.push(piece or "", end=last), last
 
-    def step(self, held: str, piece: str | None, last: bool) -> tuple[str, list[tuple], bool]:
-        parser = Parser(**json.loads(held))
-        out = parser.push(piece or "", end=last)
-        return json.dumps(parser.__dict__), out, last
-
-    def broken(self, held: str) -> list[tuple]:
-        return Parser(**json.loads(held)).push("", end=True)
+    def broken(self, parser: Parser) -> list[tuple]:
+        return parser.push("", end=True)
 
 
 class AnswerEvents(_InOrder):
-    columns = ["stream_id", "place", "event", "data"]
-
-    def fresh(self) -> str:
-        return json.dumps(Answer().__dict__)
+    columns, reader = ["stream_id", "place", "event", "data"], Answer
 
-    def step(self, held: str, piece: str | None, last: bool) -> tuple[str, list[tuple], bool]:
-        answer, out = Answer(**json.loads(held)), []
-        if not answer.named:
-            answer.named = True  # the first piece of an answer is its sources
-            out.append(("sources", piece or "[]"))
+    def step(self, answer: Answer, piece: str | None, last: bool) -> tuple[list[tuple], bool]:
+        if answer.named:
+            out = answer.push(piece)
         else:
-            out += answer.push(piece)
+            answer.named, out = True, [("sources", piece or "[]")]  # the first piece of an answer is its sources
         out += answer.end() if last else []
-        return json.dumps(answer.__dict__), out, answer.over
+        return out, answer.over
 
-    def broken(self, held: str) -> list[tuple]:
-        return Answer(**json.loads(held)).push(None)
+    def broken(self, answer: Answer) -> list[tuple]:
+        return answer.push(None)
 
 
 def _time_mode(idle_ms: int | None) -> str:

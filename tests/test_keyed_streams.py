@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from corpusmill.plans.catalog import QUERIES
@@ -117,3 +118,44 @@ def test_offsets_of_one_long_log(spark):
         want[k, job] = (len(said) - len(later), len(later), later[0] if later else None)
     assert {(r.subscriber, r.job): (r.n_replayed, r.n_followed, r.first_followed) for r in out} == want
     assert time.time() - began < 90
+
+
+class Store:
+    """A handle whose states are kept here, and whose calls are counted."""
+
+    def __init__(self):
+        self.calls, self.values, self.maps = 0, {}, {}
+
+    def _state(self, kept, **calls):
+        def counted(f):
+            def call(*a):
+                self.calls += 1
+                return f(*a)
+
+            return call
+
+        return type("State", (), {name: staticmethod(counted(f)) for name, f in calls.items()})
+
+    def getValueState(self, name, shape, *ttl):  # noqa: N802
+        v = self.values
+        return self._state(v, exists=lambda: name in v, get=lambda: v.get(name), update=lambda x: v.__setitem__(name, x))
+
+    def getMapState(self, name, shape, *ttl):  # noqa: N802
+        m = self.maps.setdefault(name, {})
+        return self._state(m, containsKey=lambda k: k in m, getValue=m.get, updateValue=m.__setitem__, removeKey=lambda k: m.pop(k, None), clear=m.clear, iterator=lambda: iter(list(m.items())), keys=lambda: iter(list(m)))
+
+
+@pytest.mark.parametrize("most", [65_536, 50])
+def test_waiting_pieces_take_few_calls(monkeypatch, most):
+    """Pieces that wait are stored by blocks, not one by one; also where more wait than memory may hold."""
+    monkeypatch.setattr(keyed, "MOST", most, raising=False)
+    pieces = [(k, f"data: {k}\n\n", k == 999) for k in range(1000)]
+    random.Random(4).shuffle(pieces)
+    store, got = Store(), []
+    for batch in (pieces[:400], pieces[350:700], pieces[700:]):
+        parser = keyed.EventParser(None)
+        parser.init(store)
+        frames = [pd.DataFrame(batch[i : i + 60], columns=["seq", "piece", "last"]) for i in range(0, len(batch), 60)]
+        got += [r for out in parser.handleInputRows(("s",), iter(frames), None) for r in out.itertuples(index=False)]
+    assert [(r.stream_id, r.place, r.data) for r in got] == [("s", k, str(k)) for k in range(1000)]
+    assert store.maps["early"] == {} and store.calls < (60 if most > 1000 else 400)
