@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import json
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -100,27 +104,58 @@ def decide(requests: list[tuple[float, str, float]], grace: float = GRACE, at_on
     return [runs.ask(*r) for r in requests]
 
 
+#: Requests wait by spans of so many seconds, in pieces of at most so many.
+SPAN, PIECE = 3600, 10_000
+
+
 class Admission(StatefulProcessor):
     """Decisions of a stream of requests(instance, event_id, url, at, seconds, ts): those of one instance in order of time.
 
-    Requests wait in a list until the watermark has passed them, so that they may come out of order within its delay; a
-    timer at the earliest one's time then decides all that are due. What is kept besides are the runs that still count.
+    Requests wait by spans of time until the watermark has passed them, so that they may come out of order within its
+    delay; a timer at the earliest one's time then decides all that are due, span after span: of an instance's requests
+    those of one span are in memory, however many wait. What is kept besides are the runs that still count.
     """
 
-    def __init__(self, grace: float, at_once: int):
-        self.grace, self.at_once = grace, at_once
+    def __init__(self, grace: float, at_once: int, span: int = SPAN):
+        self.grace, self.at_once, self.span = grace, at_once, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.jobs = handle.getMapState("jobs", "url string", "began double, ends double")
-        self.waiting = handle.getListState("waiting", "at double, event_id long, url string, seconds double")
+        self.spans = handle.getValueState("spans", "spans string")
+        self.waiting = handle.getMapState("waiting", "span long, piece long", "rows string")
+
+    def _spans(self) -> dict[int, tuple[float, int]]:
+        """The earliest request and the number of pieces of each span in which requests wait."""
+        held = self.spans.get()
+        return {int(k): tuple(v) for k, v in json.loads(held[0]).items()} if held else {}
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = [(float(a), int(e), u, float(s)) for pdf in rows for a, e, u, s in zip(pdf["at"], pdf["event_id"], pdf["url"], pdf["seconds"], strict=True)]
-        self.waiting.appendList(fresh)
-        self._wake(min(r[0] for r in fresh))
+        spans = self._spans()
+        for pdf in rows:
+            pdf = pdf[["at", "event_id", "url", "seconds"]]
+            for span, part in pdf.groupby((pdf["at"] // self.span).astype("int64"), sort=False):
+                self._keep(spans, int(span), list(zip(*(part[c].tolist() for c in part.columns), strict=True)))
+        self.spans.update((json.dumps(spans),))
+        self._wake(min(first for first, _ in spans.values()))
         yield from ()
 
+    def _keep(self, spans: dict[int, tuple[float, int]], span: int, rows: list[tuple]) -> None:
+        """Adds rows to a span, as pieces of their own."""
+        first, n = spans.get(span, (math.inf, 0))
+        first = min(first, min(r[0] for r in rows))
+        for i in range(0, len(rows), PIECE):
+            self.waiting.updateValue((span, n), (json.dumps(rows[i : i + PIECE]),))
+            n += 1
+        spans[span] = (first, n)
+
+    def _take(self, span: int, n: int) -> list[tuple]:
+        out = []
+        for k in range(n):
+            out += map(tuple, json.loads(self.waiting.getValue((span, k))[0]))
+            self.waiting.removeKey((span, k))
+        return sorted(out)
+
     def _wake(self, at: float, passed: int = -1) -> None:
         """One timer, at the earliest request that waits; those up to ``passed``, which are going off, do not count."""
         due, set_ = int(at * 1000) + 1, [t for t in self.handle.listTimers() if t > passed]
@@ -131,21 +166,25 @@ class Admission(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) / 1000
-        held = list(self.waiting.get())
-        due = sorted(r for r in held if r[0] < until)
-        if not due:
+        spans = self._spans()
+        ready = sorted(k for k, (first, _) in spans.items() if first < until)
+        if not ready:
             return
         runs = Runs(self.grace, self.at_once, {k[0]: (v[0], v[1]) for k, v in self.jobs.iterator()})
-        out = [(key[0], e, *runs.ask(at, url, seconds)) for at, e, url, seconds in due]
+        for span in ready:
+            held = self._take(span, spans.pop(span)[1])
+            due = bisect.bisect_left(held, (until,))
+            if held[due:]:
+                self._keep(spans, span, held[due:])
+            out = [(key[0], e, *runs.ask(at, url, seconds)) for at, e, url, seconds in held[:due]]
+            for i in range(0, len(out), PIECE):
+                yield pd.DataFrame(out[i : i + PIECE], columns=["instance", "event_id", "decision", "started_at"])
         self.jobs.clear()
         for url, job in runs.jobs.items():
             self.jobs.updateValue((url,), job)
-        rest = [r for r in held if r[0] >= until]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake(min(r[0] for r in rest), expiredTimerInfo.getExpiryTimeInMs())
-        yield pd.DataFrame(out, columns=["instance", "event_id", "decision", "started_at"])
+        self.spans.update((json.dumps(spans),))
+        if spans:
+            self._wake(min(first for first, _ in spans.values()), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -124,7 +125,7 @@ class Store:
     """A handle whose states are kept here, and whose calls are counted."""
 
     def __init__(self):
-        self.calls, self.values, self.maps = 0, {}, {}
+        self.calls, self.values, self.maps, self.timers = 0, {}, {}, []
 
     def _state(self, kept, **calls):
         def counted(f):
@@ -140,6 +141,19 @@ class Store:
         v = self.values
         return self._state(v, exists=lambda: name in v, get=lambda: v.get(name), update=lambda x: v.__setitem__(name, x))
 
+    def getListState(self, name, shape, *ttl):  # noqa: N802
+        rows = self.maps.setdefault(name, [])
+        return self._state(rows, get=lambda: iter(list(rows)), appendList=rows.extend, put=lambda x: rows.__setitem__(slice(None), x), clear=rows.clear)
+
+    def listTimers(self):  # noqa: N802
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
     def getMapState(self, name, shape, *ttl):  # noqa: N802
         m = self.maps.setdefault(name, {})
         return self._state(m, containsKey=lambda k: k in m, getValue=m.get, updateValue=m.__setitem__, removeKey=lambda k: m.pop(k, None), clear=m.clear, iterator=lambda: iter(list(m.items())), keys=lambda: iter(list(m)))
@@ -159,3 +173,26 @@ def test_waiting_pieces_take_few_calls(monkeypatch, most):
         got += [r for out in parser.handleInputRows(("s",), iter(frames), None) for r in out.itertuples(index=False)]
     assert [(r.stream_id, r.place, r.data) for r in got] == [("s", k, str(k)) for k in range(1000)]
     assert store.maps["early"] == {} and store.calls < (60 if most > 1000 else 400)
+
+
+def test_waiting_runs_are_not_held_at_once():
+    """A month of requests of one instance, all due with one timer: decided in order, with few of them in memory; what is not due yet waits on."""
+    n, rng = 60_000, random.Random(5)
+    rows = [(i * 43.25, i, f"u{i % 12}", (i % 7 + 1) * 9000.0) for i in range(n)]
+    cut, store = rows[-100][0] + 1, Store()
+    first, then = (limits.Admission(300, 4) for _ in range(2))
+    first.init(store)
+    mixed = rng.sample(rows, n)
+    frames = [pd.DataFrame(mixed[i : i + 10_000], columns=["at", "event_id", "url", "seconds"]) for i in range(0, n, 10_000)]
+    assert list(first.handleInputRows(("i",), iter(frames), None)) == []
+    want, got = limits.decide([(at, url, s) for at, _, url, s in rows]), []
+    time_of = lambda ms: type("T", (), {"getExpiryTimeInMs": lambda self: ms, "getCurrentWatermarkInMs": lambda self: ms})()
+    tracemalloc.start()
+    for pdf in first.handleExpiredTimer(("i",), time_of(cut * 1000), time_of(cut * 1000)):
+        got += pdf["event_id"].tolist()
+        assert list(zip(pdf["decision"], (None if x != x else x for x in pdf["started_at"]), strict=True)) == [want[e] for e in pdf["event_id"]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == list(range(n - 99)) and peak < 8_000_000
+    then.init(store)
+    assert [e for pdf in then.handleExpiredTimer(("i",), time_of(1e12), time_of(1e12)) for e in pdf["event_id"]] == list(range(n - 99, n))
