@@ -13,7 +13,7 @@ def renamed(path: Column) -> Column:
 
 
 def parse_log(logs: DataFrame) -> DataFrame:
-    """repo_id, ord, sha, author, date, path from (repo_id, log): records after \\x01, fields by \\x02, then a path a line."""
+    """repo_id, ord, sha, author, date, path from (repo_id, log): records after \\x01, fields by \\x02, then a path a line. A log may come in pieces that begin with a record; ord counts within each."""
     records = logs.select("repo_id", F.posexplode(F.split("log", "\x01")).alias("ord", "rec")).filter(F.btrim("rec") != "")
     head = F.substring_index("rec", "\n", 1)
     paths = F.filter(F.transform(F.split(F.regexp_replace("rec", r"^[^\n]*\n?", ""), "\n"), lambda p: F.btrim(p)), lambda p: p != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -275,17 +275,29 @@ def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).withColumn("repo_id", F.concat(F.lit("r"), (F.col("o_custkey") % 10).cast("string")))
 
 
-@query(f"SELECT repo_id, {_LOG_PATH} AS path, count(*) AS commits, count(DISTINCT CASE WHEN o_custkey % 4 <> 0 THEN o_custkey END) AS authors, strftime(max(o_orderdate), '%Y-%m-%d') AS last_commit FROM ({_COMMITTED}) GROUP BY ALL")
-def log_churn(spark, sf_dir):
-    """Orders written as a log with renamed files and nameless authors, and read back."""
+#: A repository's log is written in pieces, each of the commits of so many keys: no row grows with the repository.
+LOG_COMMITS = 20_000
+
+
+def _piece(key: str) -> Column:
+    return F.expr(f"{key} div {LOG_COMMITS}").alias("piece")
+
+
+def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id, piece, log: orders as a log with renamed files and nameless authors."""
     n = (F.col("l_partkey") % 50).cast("string")
     path = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("src/{old => new"), n, F.lit(".py}"))).otherwise(F.concat(F.lit("p"), n, F.lit(".py")))
     author = F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey").cast("string")).otherwise("")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", path.alias("p")))), lambda x: x["p"]), "\n")
     record = F.concat(F.lit("\x01"), F.col("o_orderkey").cast("string"), F.lit("\x02"), author, F.lit("\x02"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n"), F.col("paths"), F.lit("\n\n"))
     commits = _touches(spark, sf_dir).groupBy("repo_id", "o_orderkey", "o_custkey", "o_orderdate").agg(listed.alias("paths"))
-    logs = commits.groupBy("repo_id").agg(F.array_join(F.collect_list(record), "").alias("log"))
-    return churn.churn(churn.parse_log(logs), ["repo_id", "path"]).withColumn("last_commit", F.date_format("last_commit", "yyyy-MM-dd"))
+    return commits.groupBy("repo_id", _piece("o_orderkey")).agg(F.array_join(F.collect_list(record), "").alias("log"))
+
+
+@query(f"SELECT repo_id, {_LOG_PATH} AS path, count(*) AS commits, count(DISTINCT CASE WHEN o_custkey % 4 <> 0 THEN o_custkey END) AS authors, strftime(max(o_orderdate), '%Y-%m-%d') AS last_commit FROM ({_COMMITTED}) GROUP BY ALL")
+def log_churn(spark, sf_dir):
+    """Orders written as a log with renamed files and nameless authors, and read back."""
+    return churn.churn(churn.parse_log(commit_logs(spark, sf_dir)), ["repo_id", "path"]).withColumn("last_commit", F.date_format("last_commit", "yyyy-MM-dd"))
 
 
 @query(f"SELECT repo_id, {_LOG_PATH} AS path, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS added, CAST(sum(l_linenumber) AS BIGINT) AS removed FROM ({_COMMITTED}) WHERE l_linenumber <> 4 GROUP BY ALL")
@@ -294,7 +306,7 @@ def log_line_churn(spark, sf_dir):
     n = (F.col("l_partkey") % 50).cast("string")
     path = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("src/{old => new"), n, F.lit(".py}"))).otherwise(F.concat(F.lit("p"), n, F.lit(".py")))
     counts = F.when(F.col("l_linenumber") == 4, F.lit("-\t-")).otherwise(F.concat_ws("\t", F.col("l_quantity").cast("bigint").cast("string"), F.col("l_linenumber").cast("string")))
-    logs = _touches(spark, sf_dir).groupBy("repo_id").agg(F.array_join(F.collect_list(F.concat_ws("\t", counts, path)), "\n").alias("log"))
+    logs = _touches(spark, sf_dir).groupBy("repo_id", _piece("l_orderkey")).agg(F.array_join(F.collect_list(F.concat_ws("\t", counts, path)), "\n").alias("log"))
     return churn.parse_numstat(logs).groupBy("repo_id", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
 
 

@@ -321,3 +321,14 @@ def test_files_on_disk_that_are_not_known(spark):
     files_ = spark.createDataFrame([("r", "a.py", "python", 3)], "repo_id string, file_path string, language string, complexity int")
     disk = spark.createDataFrame([("r", "a.py", 1), ("r", "b.md", 1), ("s", "a.py", 1), ("r", "x.bin", 1)], "repo_id string, file_path string, length long")
     assert {tuple(r) for r in context.with_disk(files_, disk).collect()} == {("r", "a.py", "python", 3), ("r", "b.md", "markdown", 0), ("s", "a.py", "python", 0)}
+
+
+def test_logs_come_in_pieces(spark, small, monkeypatch):
+    """No row of a log grows with its repository, and the pieces hold every commit once."""
+    from corpusmill.plans import code
+
+    monkeypatch.setattr(code, "LOG_COMMITS", 100)
+    logs = code.commit_logs(spark, small).collect()
+    assert max(r.log.count("\x01") for r in logs) <= 100 < len(logs)
+    shas = [x.split("\x02")[0] for r in logs for x in r.log.split("\x01")[1:]]
+    assert len(shas) == len(set(shas)) == spark.read.parquet(f"{small}/lineitem.parquet").join(spark.read.parquet(f"{small}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey").distinct().count()
