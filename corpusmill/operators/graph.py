@@ -65,7 +65,7 @@ def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     external; null and blank specifiers and files without a path are left out.
     """
     known = held.cut(files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("path")).filter("path <> ''").distinct())
-    asked = files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("source"), F.explode("imports").alias("raw")).filter("source <> '' and trim(raw) <> ''").distinct()
+    every = asked = files.select(_repo(files), X.normalise_path(F.col("file_path")).alias("source"), F.explode("imports").alias("raw")).filter("source <> '' and trim(raw) <> ''").distinct()
     stripped, s, folder = F.btrim("raw"), F.col("s"), F.col("folder")
     split = F.contains(stripped, F.lit(" import "))
     asked = asked.withColumns({
@@ -78,15 +78,16 @@ def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(outside, "external").when(F.startswith(s, F.lit(".")) & ~slashed, "python").when(slashed, "path").when(F.startswith(s, F.lit("/")), "root").otherwise("bare")
     asked = asked.withColumn("shape", kind)
     norm = X.normalise_path
+    of = lambda shapes, p: F.when(F.col("shape").isin(shapes), norm(p))  # noqa: E731  null where no name is made of it
     level, parts = F.length(F.regexp_extract(s, r"^(\.+)", 1)), F.split(folder, "/")
     up = F.when(level <= 1, folder).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + 1, F.lit(0))), "/"))
     rest = F.replace(F.regexp_replace(s, r"^\.+", ""), F.lit("."), F.lit("/"))
     # each of these is a column of its own, made once and used by several names
-    asked = asked.withColumns({"up": up, "rest": rest, "here": norm(_join(folder, s)), "alone": norm(s), "root": F.regexp_replace(F.substring(s, 2, 1 << 20), "/+$", "")})
+    asked = asked.withColumns({"up": up, "rest": rest, "here": of(["path", "bare"], _join(folder, s)), "alone": of(["bare"], s), "root": F.regexp_replace(F.substring(s, 2, 1 << 20), "/+$", "")})
     up, rest, tail, here, alone, from_root = (F.col(c) for c in ("up", "rest", "tail", "here", "alone", "root"))
-    asked = asked.withColumns({"inner": norm(_join(up, rest)), "beside": norm(_join(up, tail)), "rooted": norm(from_root)})
+    asked = asked.withColumns({"inner": of(["python"], _join(up, rest)), "beside": of(["python"], _join(up, tail)), "rooted": of(["root"], from_root)})
     inner, beside = F.col("inner"), F.col("beside")
-    asked = asked.withColumn("within", F.when(tail != "", norm(_join(inner, tail))).otherwise(inner))
+    asked = asked.withColumn("within", F.when((tail != "") & inner.isNotNull(), norm(_join(inner, tail))).otherwise(inner))
     ask = lambda kind, key, place, literal: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(place).alias("place"), F.lit(literal).alias("literal"))
     python = (
         F.when((rest == "") & (tail != ""), F.array(ask("b", beside, 0, False), ask("b", up, 1, True)))
@@ -100,12 +101,11 @@ def resolve(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rooted = F.array(F.when((from_root == "") | (F.col("rooted") != ""), ask("b", F.col("rooted"), 0, True)))
     names = F.when(F.col("shape") == "python", python).when(F.col("shape") == "path", F.array(ask("b", here, 0, True))).when(F.col("shape") == "root", rooted).when(F.col("shape") == "bare", bare)
-    # what asks for nothing stays as a row without a name, so that one pass gives edges and externals alike
-    wanted = asked.select("repo_id", "source", "raw", F.explode_outer(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("repo_id", "source", "raw", "x.*")
-    met = wanted.join(_answers(known), ["repo_id", "kind", "key"], "left")
-    valid = F.col("found").isNotNull() & ((F.col("found.rank") < _LITERAL) | F.col("literal"))
-    best = met.groupBy("repo_id", "source", "raw").agg(F.min(F.when(valid, F.struct("place", "found"))).alias("f"))
-    joined = held.cut(best.select("repo_id", "source", "raw", F.col("f.found.path").alias("target")))
+    wanted = asked.select("repo_id", "source", "raw", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("repo_id", "source", "raw", "x.*")
+    # a specifier asks for several names and few are files: only those go on, and meet what asked for them once more
+    met = wanted.join(_answers(known), ["repo_id", "kind", "key"]).filter((F.col("found.rank") < _LITERAL) | F.col("literal"))
+    best = met.groupBy("repo_id", "source", "raw").agg(F.min(F.struct("place", "found")).alias("f")).select("repo_id", "source", "raw", F.col("f.found.path").alias("target"))
+    joined = held.cut(every.join(best, ["repo_id", "source", "raw"], "left"))
     edges = joined.filter("target <> source").select("repo_id", "source", "target").distinct()
     return edges, joined.filter("target is null").select("repo_id", "source", F.col("raw").alias("specifier"))
 
