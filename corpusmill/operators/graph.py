@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,13 +132,34 @@ def hub(edges: DataFrame) -> DataFrame:
     return d.orderBy(F.desc("degree"), F.desc("fan_in"), "node").limit(1)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from pa.Table.from_batches([batch]).group_by("node").aggregate([("other", "distinct")]).select(["node", "other_distinct"]).rename_columns(["node", "others"]).to_batches()
+
+
+def links(edges: DataFrame) -> DataFrame:
+    """node, others: the nodes that are linked to a node, either way, in as many rows as it takes.
+
+    Rows are dealt by node, and dealt anew where a node has too many for one task. A row's others are distinct and no
+    more than an Arrow batch holds; a link that edges repeat may stand in several rows.
+    """
+    ends = F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other")), F.struct(F.col("target").alias("node"), F.col("source").alias("other")))
+    both = edges.filter("source <> target").select(F.inline(ends)).hint("rebalance", F.col("node")).sortWithinPartitions("node")
+    kind = dict(both.dtypes)
+    return both.mapInArrow(_gathered, f"node {kind['node']}, others array<{kind['other']}>")
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 1) -> DataFrame:
-    """start, node, hop: what ``hops`` links or fewer reach from starts(start), either way; each node at its least hop."""
-    pairs = edges.select("source", "target").filter("source <> target")
-    ways = held.cut(pairs.unionByName(pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
+    """start, node, hop: what ``hops`` links or fewer reach from starts(start), either way; each node at its least hop.
+
+    A hop deals the lists of links by start, not a row for each link: what a start meets more than once goes where the lists
+    are opened, before anything is dealt again.
+    """
+    ways = held.cut(links(edges))
     front = seen = held.cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct())
     for k in range(1, hops + 1):
-        reached = front.join(ways, F.col("node") == F.col("source")).select("start", F.col("target").alias("node"), F.lit(k).alias("hop")).distinct()
+        met = front.join(ways, "node").select("start", "others").hint("rebalance", F.col("start"))
+        reached = met.select("start", F.explode("others").alias("node")).distinct().withColumn("hop", F.lit(k))
         # each hop is held: the plan of the next one has two tables, however many came before
         front = held.cut(reached.join(seen, ["start", "node"], "left_anti"))
         if front.isEmpty():

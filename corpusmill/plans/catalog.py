@@ -31,8 +31,13 @@ def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, "sha")
 
 
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and the parts they refer to, as often as they do."""
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    return references(spark, sf_dir).distinct()
 
 
 _FILES = "files AS (SELECT source || '/' || doc_id AS file_path, text AS content, lang AS language, doc_id FROM documents WHERE text IS NOT NULL)"
@@ -106,7 +111,7 @@ def graph_node_values(spark, sf_dir):
     SELECT start, node, min(hop) AS hop FROM walk GROUP BY start, node HAVING min(hop) > 0""")
 def graph_neighbourhood(spark, sf_dir):
     """Two links around every ninth source, all together."""
-    ways = edges(spark, sf_dir)
+    ways = references(spark, sf_dir)
     return graph.neighbourhood(ways, ways.filter(F.substring("source", 2, 20).cast("bigint") % 9 == 1).select(F.col("source").alias("start")).distinct(), 2)
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 import time
 
 import pytest
@@ -82,6 +83,33 @@ def test_graph(spark):
     assert {(r.node, r.hop) for r in graph.neighbourhood(e, start, 2).collect()} == {("b", 1), ("c", 2), ("d", 2)}
 
 
+def test_links_are_dealt_as_lists(spark):
+    """A node's links come as few rows, a hub's in pieces; repeated edges, loops and nulls change nothing; hops are a plain walk's."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), 100 + rng.randrange(300)) for _ in range(1500)] + [(7, 1000 + k) for k in range(30_000)] + [(5, 5), (None, 3), (3, None)] + [(8, 9)] * 50
+    e = spark.createDataFrame(pairs, "source long, target long").repartition(5)
+    want = {}
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            want.setdefault(a, set()).add(b)
+            want.setdefault(b, set()).add(a)
+    rows = graph.links(e).collect()
+    got = {}
+    for r in rows:
+        assert len(set(r.others)) == len(r.others) <= 10_000
+        got.setdefault(r.node, set()).update(r.others)
+    assert got == want and len(rows) < len(want) + 100
+    starts = spark.createDataFrame([(0,), (7,), (8,), (8,), (9999,)], "start long")
+    hop = {}
+    for s in (0, 7, 8, 9999):
+        seen, front = {s}, {s}
+        for k in (1, 2, 3):
+            front = {b for a in front for b in want.get(a, ())} - seen
+            seen |= front
+            hop.update({(s, n): k for n in front})
+    assert {(r.start, r.node): r.hop for r in graph.neighbourhood(e, starts, 3).collect()} == hop
+
+
 def test_history(spark):
     log = "\x01s2\x02ann\x022024-02-01T00:00:00\nsrc/{a => b}/x.py\nold.py => new.py\n\n\x01s1\x02\x022024-01-01T00:00:00\nsrc/b/x.py\n"
     rows = churn.parse_log(spark.createDataFrame([("r", log)], "repo_id string, log string"))
