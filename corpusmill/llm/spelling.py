@@ -1,17 +1,15 @@
 """Spelling variants of the words of a corpus, without pairs: wildcard groups for replacements, deletions for the rest.
 
-Everything is DataFrame expressions. A word of L code points joins L wildcard groups, each named by a position, what
-stands before and what stands after it; words of one group differ in that code point alone, so that a group has no
-more members than the alphabet has letters (some ninety). A group keeps its size and its two leading words: what a
-member is told of the others follows from these. Insertions and deletions meet where a word less one code point is
-itself a word.
+Everything is DataFrame expressions. A word of L code points is dealt once to each of its rests, which lack one of them, with that one's place and letter, and to itself. Words of one rest and place differ in that code point alone, so
+that they are no more than the alphabet has letters (some ninety). Their number and the two leading ones say what each is
+told of the others. Insertions and deletions meet where the rest is itself a word.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -43,32 +41,34 @@ def vocabulary(docs: DataFrame, least_points: int = 6, least_n: int = 5) -> Data
     return occurrences(docs, least_points).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_n)
 
 
-def _lead(n: str = "n", word: str = "word") -> Column:
-    """Orders words by falling n, then by code points (UTF-8 sorts alike): the least comes first."""
-    return F.struct((-F.col(n)).alias("m"), F.col(word).alias("w"))
+def meetings(words: DataFrame) -> DataFrame:
+    """(word, near, best): for each of its rests, how many words near a word meet it there, and their leading one.
 
-
-def replacements(words: DataFrame) -> DataFrame:
-    """(word, near, best): for each wildcard group of a word with other members how many they are and their leading one."""
-    holes = words.select("word", "n", F.explode(F.expr("sequence(1, length(word))")).alias("i"))
-    key = F.struct(F.col("i"), F.expr("substring(word, 1, i - 1)").alias("before"), F.expr("substring(word, i + 1)").alias("after"))
-    groups = holes.withColumn("key", key).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(_lead())).alias("held")).filter("size > 1")
-    groups = groups.select((F.col("size") - 1).alias("near"), F.col("held")[0].alias("first"), F.col("held")[1].alias("second"), F.explode("held").alias("member"))
-    return groups.select(F.col("member.w").alias("word"), "near", F.when(F.col("member.w") == F.col("first.w"), F.col("second")).otherwise(F.col("first")).alias("best"))
-
-
-def indels(words: DataFrame) -> DataFrame:
-    """(word, near, best) by one code point more or less: deletions joined to the vocabulary, told to both words.
-
-    Of equal code points in a row only the first is deleted, so that each shorter word comes once.
+    A word stands at each rest that it has less one code point, with that place and letter, and at place 0 of itself. Words
+    of one rest and place differ in that letter alone (replacements); a word at place 0 has one code point less than
+    the others (deletions, told to both). Of equal letters in a row only the first is a deletion, so that each shorter
+    word is met once. One row holds a rest's places: no more than the alphabet has letters for each.
     """
-    spots = F.expr("filter(sequence(1, length(word)), i -> i = 1 or substring(word, i, 1) <> substring(word, i - 1, 1))")
-    cuts = words.select(F.col("word").alias("longer"), F.col("n").alias("longer_n"), F.explode(spots).alias("i"))
-    cuts = cuts.select("longer", "longer_n", F.expr("concat(substring(longer, 1, i - 1), substring(longer, i + 1))").alias("word"))
-    ends = cuts.join(words, "word").select(
-        F.explode(F.array(F.struct(F.col("word"), _lead("longer_n", "longer").alias("best")), F.struct(F.col("longer").alias("word"), _lead().alias("best")))).alias("end")
+    spots = words.select("word", (-F.col("n")).alias("m"), F.explode(F.expr("sequence(0, length(word))")).alias("i"))
+    rest = F.expr("if(i = 0, word, concat(substring(word, 1, i - 1), substring(word, i + 1)))")
+    # a rest, a place and a letter tell the word: nothing more is dealt, and once for both kinds
+    dealt = spots.select(rest.alias("rest"), F.col("i").cast("short").alias("i"), F.expr("if(i = 0, '', substring(word, i, 1))").alias("c"), "m").repartition("rest")
+    places = dealt.groupBy("rest", "i").agg(F.sort_array(F.collect_list(F.struct("m", "c"))).alias("held"))
+    groups = places.groupBy("rest").agg(F.collect_list(F.struct("i", "held")).alias("places")).filter(F.expr("size(places) > 1 and exists(places, p -> p.i = 0) or exists(places, p -> size(p.held) > 1)"))
+    whole = "concat(substring(rest, 1, p.i - 1), h.c, substring(rest, p.i))"
+    first = "(p.i = 1 or substring(rest, p.i - 1, 1) <> h.c)"
+    own = groups.withColumn("own", F.expr("get(get(filter(places, p -> p.i = 0), 0).held, 0).m"))
+    longer = own.withColumn("longer", F.expr(f"if(own is null, null, flatten(transform(filter(places, p -> p.i > 0), p -> transform(filter(p.held, h -> {first}), h -> named_struct('m', h.m, 'w', {whole})))))"))
+    other = "get(p.held, if(k = 0, 1, 0))"
+    swapped = f"if(size(p.held) > 1, named_struct('m', {other}.m, 'w', {whole.replace('h.c', other + '.c')}), null)"
+    shorter = f"if(own is not null and {first}, named_struct('m', own, 'w', rest), null)"
+    told = F.expr(
+        f"""flatten(transform(filter(places, p -> p.i > 0), p -> transform(p.held, (h, k) ->
+        named_struct('word', {whole}, 'near', size(p.held) - 1 + if(own is not null and {first}, 1, 0), 'best', least({swapped}, {shorter})))))"""
     )
-    return ends.select("end.word", F.lit(1).cast("bigint").alias("near"), "end.best")
+    itself = F.expr("if(size(longer) > 0, array(named_struct('word', rest, 'near', size(longer), 'best', array_min(longer))), array())")
+    met = longer.select(F.explode(F.concat(told, itself)).alias("x")).filter("x.near > 0")
+    return met.select("x.word", F.col("x.near").cast("bigint").alias("near"), "x.best")
 
 
 def roots(forms: DataFrame, most_n: int) -> DataFrame:
@@ -92,7 +92,7 @@ def variants(docs: DataFrame, least_points: int = 6, least_n: int = 5) -> DataFr
     without frequent words, gives no rows.
     """
     words = shared.cut_small(vocabulary(docs, least_points, least_n))
-    met = replacements(words).unionByName(indels(words)).groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
+    met = meetings(words).groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
     leads = -F.col("best.m") >= LEAD * F.col("n")
     known = shared.cut_small(
         words.join(met, "word", "left").select(

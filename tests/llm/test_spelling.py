@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corpusmill.llm import spelling
 from corpusmill.llm.queries import QUERIES
 
@@ -63,3 +65,16 @@ def test_random_words(spark):
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 9))) for _ in range(1500)]
     rows = [(k, " ".join(w for w in rng.sample(words, 300) for _ in range(rng.choice((1, 1, 2, 9))))) for k in range(60)]
     assert rows_of(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
+def test_words_are_dealt_once(spark):
+    """Replacements and deletions meet in one shuffle of words; a rest, place and letter tell every word again."""
+    n = {"aaaaaa": 5, "aaaaaaa": 9, "aaaaaab": 9, "abaaaa": 70, "baaaaa": 70, "baaaaaa": 3, "abcdef": 8, "abcdeé": 8, "abcde": 80, "xbcdef": 1, "zzzzzz": 4}
+    words = spark.createDataFrame(list(n.items()), "word string, n long")
+    met = spelling.meetings(words)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    less = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    near = lambda a, b: a in less(b) or b in less(a) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1)
+    want = {w: [x for x in n if x != w and near(w, x)] for w in n}
+    got = {r.word: (r.near, tuple(r.best)) for r in met.groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best")).collect()}
+    assert got == {w: (len(xs), min((-n[x], x) for x in xs)) for w, xs in want.items() if xs} and "zzzzzz" not in got
