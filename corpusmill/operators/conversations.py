@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,78 +63,97 @@ def _error(text: Column) -> Column:
 
 
 _KEYS = ["conv_id", "pos"]
+#: So many keys at most are sent to every task.
+FEW = 100_000
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose columns of ``keys`` stand there. Few keys are sent to the rows, so that contents which nobody asks for are not dealt."""
+    asked = held.cut(keys.distinct())
+    return rows.join(F.broadcast(asked) if asked.count() <= FEW else asked, asked.columns, "left_semi")
 
 
 def read_files(calls: DataFrame, files: DataFrame) -> DataFrame:
-    """conv_id, pos, payload of calls(conv_id, pos, repo_id, path): the head of the file, its lines, and whether there is more."""
-    one = files.filter("file_path is not null").groupBy("repo_id", F.col("file_path").alias("path")).agg(F.max_by("content", F.struct("content")).alias("content"))
-    found = calls.join(one, ["repo_id", "path"], "left")
+    """calls(conv_id, pos, repo_id, path, more) with payload: the head of the file, its lines, and whether there is more."""
+    named = _only(files.filter("file_path is not null").select("repo_id", F.col("file_path").alias("path"), "content"), calls.select("repo_id", "path"))
+    one = named.groupBy("repo_id", "path").agg(F.max_by("content", F.struct("content")).alias("content")).filter("content <> ''")
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1
     payload = F.to_json(F.struct("path", F.substring("content", 1, READ).alias("content"), lines.alias("lines"), (F.length("content") > READ).alias("truncated")))
-    empty = F.coalesce(F.col("content"), F.lit("")) == ""
-    return found.select(*_KEYS, F.when(F.col("path") == "", _error(F.lit("path is required"))).when(empty, _error(F.concat(F.lit("could not read "), "path"))).otherwise(payload).alias("payload"))
+    found = calls.join(one.select("repo_id", "path", payload.alias("payload")), ["repo_id", "path"], "left")
+    return found.select(*calls.columns, F.when(F.col("path") == "", _error(F.lit("path is required"))).otherwise(F.coalesce("payload", _error(F.concat(F.lit("could not read "), "path")))).alias("payload"))
 
 
 def _matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first HITS lines of each file that match: of one file no more can be among the first HITS of many."""
     known: dict[str, re.Pattern] = {}
     for pdf in batches:
         out = []
-        for conv, pos, query, path, content in zip(pdf["conv_id"], pdf["pos"], pdf["query"], pdf["file_path"], pdf["content"], strict=True):
+        for repo, query, path, content in zip(pdf["repo_id"], pdf["query"], pdf["file_path"], pdf["content"], strict=True):
             if query not in known:
                 try:
                     known[query] = re.compile(query, re.I)
                 except re.error:
                     known[query] = re.compile(re.escape(query), re.I)
-            out += [(conv, pos, path, k + 1, line.strip()[:200]) for k, line in enumerate((content or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")) if known[query].search(line)]
-        yield pd.DataFrame(out, columns=["conv_id", "pos", "file_path", "line", "text"])
+            lines = enumerate((content or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+            out += islice(((repo, query, path, k + 1, line.strip()[:200]) for k, line in lines if known[query].search(line)), HITS)
+        yield pd.DataFrame(out, columns=["repo_id", "query", "file_path", "line", "text"])
 
 
 def search_files(calls: DataFrame, files: DataFrame) -> DataFrame:
-    """conv_id, pos, payload of calls(conv_id, pos, repo_id, query, most): the first matching lines of the repository's first files.
+    """calls(conv_id, pos, repo_id, query, most, more) with payload: the first matching lines of the repository's first files.
 
     Files are taken by ord, each by its head; a broken pattern is literal text. The first lines by path and place are kept.
+    What many calls ask of a repository is searched once, and which files are its first is told by their names alone.
     """
-    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("ord", "file_path")) if "ord" in files.columns else F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path"))
-    heads = files.filter("file_path is not null").withColumn("_n", place).filter(F.col("_n") <= SEARCHED_FILES).select("repo_id", "file_path", F.substring("content", 1, READ).alias("content"))
-    shape = f"conv_id {dict(calls.dtypes)['conv_id']}, pos int, file_path string, line int, text string"
-    found = calls.filter("query <> ''").join(heads, "repo_id").select("conv_id", "pos", "query", "file_path", "content").mapInPandas(_matches, shape)
-    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy(*_KEYS).orderBy("file_path", "line"))).join(calls.select(*_KEYS, "most"), _KEYS).filter(F.col("_n") <= F.col("most"))
-    rows = ranked.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("file_path", "line", "text"))).alias("matches"))
+    searches = held.cut(calls.filter("query <> ''").select("repo_id", "query").distinct())
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(*[c for c in ("ord",) if c in files.columns], "file_path"))
+    first = lambda rows: rows.withColumn("_n", place).filter(F.col("_n") <= SEARCHED_FILES)
+    here = files.filter("file_path is not null").withColumn("content", F.substring("content", 1, READ))
+    names = first(_only(here.drop("content"), searches.select("repo_id"))).select("repo_id", "file_path")
+    heads = first(_only(here, names)).select("repo_id", "file_path", "content")
+    shape = f"repo_id {dict(calls.dtypes)['repo_id']}, query string, file_path string, line int, text string"
+    found = searches.join(heads, "repo_id").select("repo_id", "query", "file_path", "content").mapInPandas(_matches, shape)
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("repo_id", "query").orderBy("file_path", "line"))).filter(F.col("_n") <= HITS)
+    rows = ranked.groupBy("repo_id", "query").agg(F.array_sort(F.collect_list(F.struct("file_path", "line", "text"))).alias("matches"))
     none = F.array().cast("array<struct<file_path:string,line:int,text:string>>")
-    done = calls.join(rows, _KEYS, "left").withColumn("matches", F.coalesce("matches", none))
+    done = calls.join(rows, ["repo_id", "query"], "left").withColumn("matches", F.slice(F.coalesce("matches", none), F.lit(1), F.col("most")))
     payload = F.to_json(F.struct("query", "matches", (F.size("matches") >= F.col("most")).alias("truncated")))
-    return done.select(*_KEYS, F.when(F.col("query") == "", _error(F.lit("query is required"))).otherwise(payload).alias("payload"))
+    return done.select(*calls.columns, F.when(F.col("query") == "", _error(F.lit("query is required"))).otherwise(payload).alias("payload"))
 
 
 def list_links(calls: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
-    """conv_id, pos, payload of calls(conv_id, pos, repo_id, path): what the file imports and what imports it; of a file unknown, twenty that are known."""
-    down = edges.groupBy("repo_id", F.col("target").alias("path")).agg(F.array_sort(F.collect_set("source")).alias("dependents"))
-    up = edges.groupBy("repo_id", F.col("source").alias("path")).agg(F.array_sort(F.collect_set("target")).alias("dependencies"))
-    here = files.filter("file_path is not null").select("repo_id", F.col("file_path").alias("path")).distinct()
-    first = here.withColumn("_n", F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))).filter("_n <= 20").groupBy("repo_id").agg(F.array_sort(F.collect_list("path")).alias("known"))
+    """calls(conv_id, pos, repo_id, path, more) with payload: what the file imports and what imports it; of a file unknown, twenty that are known."""
+    keys = calls.select("repo_id", "path")
+    down = _only(edges.select("repo_id", F.col("target").alias("path"), "source"), keys).groupBy("repo_id", "path").agg(F.array_sort(F.collect_set("source")).alias("dependents"))
+    up = _only(edges.select("repo_id", F.col("source").alias("path"), "target"), keys).groupBy("repo_id", "path").agg(F.array_sort(F.collect_set("target")).alias("dependencies"))
+    named = files.filter("file_path is not null").select("repo_id", F.col("file_path").alias("path"))
+    here = _only(named, keys).distinct()
+    early = _only(named, keys.select("repo_id")).withColumn("_n", F.dense_rank().over(Window.partitionBy("repo_id").orderBy("path"))).filter("_n <= 20")
+    first = early.groupBy("repo_id").agg(F.array_sort(F.collect_set("path")).alias("known"))
     none = F.array().cast("array<string>")
     linked = calls.join(down, ["repo_id", "path"], "left").join(up, ["repo_id", "path"], "left").join(here.withColumn("_here", F.lit(True)), ["repo_id", "path"], "left").join(first, "repo_id", "left")
     payload = F.to_json(F.struct("path", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("dependents", none).alias("dependents")))
     unknown = F.to_json(F.struct(F.concat("path", F.lit(" is not known")).alias("error"), F.coalesce("known", none).alias("known")))
     found = F.col("dependents").isNotNull() | F.col("dependencies").isNotNull() | F.col("_here").isNotNull()
-    return linked.select(*_KEYS, F.when(found, payload).otherwise(unknown).alias("payload"))
+    return linked.select(*calls.columns, F.when(found, payload).otherwise(unknown).alias("payload"))
 
 
 def execute(calls: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds arguments (an object) and payload (JSON) to calls(conv_id, pos, repo_id, name, arguments). None raises: a failure is a payload with an error."""
+    """Adds arguments (an object) and payload (JSON) to calls(conv_id, pos, repo_id, name, arguments). None raises: a failure is a payload with an error.
+
+    Only look-ups that are called for read their tables.
+    """
     args = held.cut(calls.withColumn("arguments", parsed_arguments(F.col("arguments"))))
     value = lambda name: F.btrim(F.coalesce(F.get_json_object("arguments", f"$.{name}"), F.lit("")))
-    of = lambda name, *columns: args.filter(F.col("name") == name).select("conv_id", "pos", "repo_id", *columns)
     most = F.greatest(F.lit(1), F.least(F.lit(HITS), F.coalesce(F.nullif(value("max_results").try_cast("int"), F.lit(0)), F.lit(HITS))))
-    path = value("path").alias("path")
-    parts = [
-        read_files(of("read_file", path), files), search_files(of("search_code", value("query").alias("query"), most.alias("most")), files), list_links(of("list_dependencies_of_file", path), files, edges),
-        args.filter(~F.coalesce(F.col("name").isin(NAMES), F.lit(False))).select(*_KEYS, _error(F.concat(F.lit("unknown tool: "), F.coalesce("name", F.lit("")))).alias("payload")),
-    ]
-    payloads = parts[0]
-    for part in parts[1:]:
-        payloads = payloads.unionByName(part)
-    return args.join(payloads, _KEYS)
+    path, query = {"path": value("path")}, {"query": value("query"), "most": most}
+    kinds = {"read_file": (path, lambda x: read_files(x, files)), "search_code": (query, lambda x: search_files(x, files)), "list_dependencies_of_file": (path, lambda x: list_links(x, files, edges))}
+    called = args.agg(*[F.max(F.col("name") == name).alias(name) for name in kinds]).first()
+    out = args.filter(~F.coalesce(F.col("name").isin(NAMES), F.lit(False))).withColumn("payload", _error(F.concat(F.lit("unknown tool: "), F.coalesce("name", F.lit("")))))
+    for name, (columns, answer) in kinds.items():
+        if called[name]:
+            out = out.unionByName(answer(args.filter(F.col("name") == name).withColumns(columns)).select(*out.columns))
+    return out
 
 
 def converse(conversations: DataFrame, files: DataFrame, edges: DataFrame, model: Model, rounds: int = 6) -> DataFrame:

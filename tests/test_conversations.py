@@ -1,6 +1,7 @@
 """Conversations as tables against the loop that holds one at a time."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,28 @@ def test_no_conversations(spark, given):
     convs, files, edges = given
     none = conversations.scripted(spark.createDataFrame([], f"conv_id long, round int, text string, calls {conversations.CALLS}"))
     assert conversations.converse(convs.filter(F.lit(False)), files, edges, none).count() == 0
+
+
+def dealt_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    known = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(known.apply(k).totalShuffleWrite() for k in range(known.size()))
+
+
+def test_contents_that_nobody_asks_for_are_not_dealt(spark):
+    """Ninety calls for one file and one search: other contents stay where they are, and each call has the first lines it asked for."""
+    rng = random.Random(2)
+    files = [("r", f"f{k:04d}.py", "Token a\n" * 40 if k == 1 else "token b\r\n token c" if k == 0 else rng.randbytes(10_000).hex(), 600 - k if k > 1 else k) for k in range(600)]
+    files += [("s", "g.py", "token d", 0)]
+    files = spark.createDataFrame(files, "repo_id string, file_path string, content string, ord int")
+    edges = spark.createDataFrame(EDGES, "repo_id string, source string, target string")
+    calls = [(c, 0, "r", "search_code", json.dumps({"query": "TOKEN", "max_results": c % 40})) for c in range(60)] + [(c, 1, "r", "read_file", '{"path": "f0000.py"}') for c in range(30)]
+    calls = spark.createDataFrame(calls, "conv_id long, pos int, repo_id string, name string, arguments string")
+    before = dealt_bytes(spark)
+    out = {(r.conv_id, r.pos): json.loads(r.payload) for r in conversations.execute(calls, files, edges).collect()}
+    assert dealt_bytes(spark) - before < 5_000_000  # the heads of 400 files are searched, 3.2 MB
+    lines = [("f0000.py", 1, "token b"), ("f0000.py", 2, "token c")] + [("f0001.py", k + 1, "Token a") for k in range(40)]
+    for c in range(60):
+        most = min(c % 40, 25) or 25
+        assert [(m["file_path"], m["line"], m["text"]) for m in out[c, 0]["matches"]] == lines[:most] and out[c, 0]["truncated"]
+    assert len(out) == 90 and out[3, 1] == {"path": "f0000.py", "content": "token b\r\n token c", "lines": 2, "truncated": False}
